@@ -9,8 +9,8 @@ MICROS_PER_DAY = 86_400_000_000
 
 # The characters a Unicode-aware strip() or \s treats as blank.
 BLANKS = (
-    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0       "
-    "         　"
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -18,6 +18,11 @@ def micros(ts) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     """Elapsed whole days, floored; not a count of midnights crossed."""
     return F.floor((micros(later) - micros(earlier)) / F.lit(MICROS_PER_DAY)).cast("long")
@@ -52,8 +57,11 @@ def exact_round(x: Column, digits: int = 2) -> Column:
     go up.  The product with 10**digits is taken with its rounding error, which
     settles whether a printed tie is a real one.
     """
+    return let(x.cast("double"), lambda v: _exact_round(v, digits))
+
+
+def _exact_round(x: Column, digits: int) -> Column:
     scale = F.lit(float(10**digits))
-    x = x.cast("double")
     product = x * scale
     high = x * F.lit(134217729.0)
     high = high - (high - x)
