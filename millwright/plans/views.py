@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millwright.session import spread
+
 RAW_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -572,12 +574,19 @@ def duck_sql(text: str) -> str:
 class Tables:
     """Raw tables by ``raw(name)``, domain views by attribute, of one data directory."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread_scans: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.spread_scans = spread_scans
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(scan) if self.spread_scans else scan
+
+    @property
+    def spread(self) -> Tables:
+        """The same tables for row-wise heavy work, see ``session.spread``."""
+        return Tables(self.spark, self.folder, spread_scans=True)
 
     def __getattr__(self, name: str) -> DataFrame:
         key = f"v_{name}"

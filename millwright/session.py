@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millwright-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a plain scan out over the cores when it arrives in fewer splits than that.
+
+    Only for row-wise heavy work: a large table has more splits than cores and is
+    returned as it is, so this never shuffles one.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
