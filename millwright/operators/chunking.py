@@ -39,6 +39,10 @@ def sentence_chunks(text: Column, size: int = 800, overlap: int = 100) -> Column
     longer sentence stays whole.  A pack that is no literal part of the text (its
     overlap breaks it) is placed at the running offset.
     """
+    return let(text, lambda body: _sentence_chunks(body, size, overlap))
+
+
+def _sentence_chunks(text: Column, size: int, overlap: int) -> Column:
     start = F.struct(
         F.lit("").alias("pack"), F.lit(0).alias("offset"), F.array().cast(CHUNKS).alias("done")
     )
@@ -106,6 +110,10 @@ def section_chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
 
     With fewer than two sections the whole text is packed without headings.
     """
+    return let(text, lambda body: _section_chunks(body, size, overlap))
+
+
+def _section_chunks(text: Column, size: int, overlap: int) -> Column:
 
     def of_section(section: Column) -> Column:
         return F.transform(

@@ -23,6 +23,11 @@ def plain_timestamps(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in zoned else F.col(c) for c in df.columns])
 
 
+def rendered_checks() -> dict[str, str]:
+    """Check SQL of every query, complete with the fragments it uses."""
+    return {name: duck_sql(text) for name, text in CHECKS.items()}
+
+
 def query(name: str, check: str | None = None):
     """Register ``build(tables) -> DataFrame`` under ``name`` with its check SQL."""
 
@@ -34,7 +39,7 @@ def query(name: str, check: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if check is not None:
-            CHECKS[name] = duck_sql(check)
+            CHECKS[name] = check
         return build
 
     return register
