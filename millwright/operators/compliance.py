@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions import text as tx
-from millwright.functions.common import strip
-from millwright.operators.vectors import DIMENSION, hash_vectors
+from millwright.functions.common import let, strip
+from millwright.operators.vectors import DIMENSION, distance_to, hash_entries
 
 # What evidence is looked up with.
 CHECK_QUERY = "procedure compliance safety operating requirements"
@@ -31,28 +31,16 @@ def query_weights(query: str) -> dict[int, int]:
 def document_evidence(chunks: DataFrame, query: str, k: int, separator: str) -> DataFrame:
     """Per document, the k chunks nearest to a fixed query joined in rank order.
 
-    ``chunks(document_id, chunk_id, chunk_index, text)``.  Only the positions the
-    query has are looked at, so no dense vector is built.
+    ``chunks(document_id, chunk_index, text)``.  Chunks are scored in their rows;
+    only the k nearest of each document and task are shuffled.
     """
     weights = query_weights(query)
-    norm = sum(w * w for w in weights.values()) ** 0.5
-    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    vectors = hash_vectors(chunks, "chunk_id", F.col("text")).select(
-        "chunk_id",
-        F.aggregate(
-            "entries", F.lit(0).cast("long"),
-            lambda acc, e: acc + e["weight"] * F.coalesce(F.try_element_at(table, e["idx"]), F.lit(0)),
-        ).alias("dot"),
-        "norm",
+    scored = chunks.select(
+        "document_id", "chunk_index", "text",
+        let(hash_entries(F.col("text")), lambda e: distance_to(e, weights)).alias("distance"),
     )
-    distance = F.round(1 - F.coalesce(F.col("dot") / (F.col("norm") * norm), F.lit(0.0)), 9)
     nearest = W.partitionBy("document_id").orderBy("distance", "chunk_index")
-    ranked = (
-        chunks.join(vectors, "chunk_id", "left")
-        .select("document_id", "chunk_index", "text", distance.alias("distance"))
-        .withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= k)
-    )
+    ranked = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), separator)
     return ranked.groupBy("document_id").agg(joined.alias("procedure_text")).where(strip(F.col("procedure_text")) != "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.functions.common import strip
+from millwright.functions.common import let, strip
 
 DIMENSION = 384
 # A query block is shipped to every task only up to this size.
@@ -28,34 +28,48 @@ def tokens(text: Column, max_chars: int | None = 5000) -> Column:
     return F.regexp_extract_all(F.lower(flat), F.lit("[a-z0-9-]+"), F.lit(0))
 
 
-def hash_entries(texts: DataFrame, key: str, text: Column, max_chars: int | None = 5000) -> DataFrame:
-    """Long form of the hashed vectors: (key, idx, weight) with non-zero integer weights.
+def token_codes(text: Column, max_chars: int | None = 5000) -> Column:
+    """Sorted codes of the tokens: twice the position, plus one for a negative sign."""
 
-    The rows are placed by key once; both this count and a later roll-up per key
-    reuse that placement.
-    """
-    words = texts.select(key, tokens(text, max_chars).alias("_tokens")).repartition(key)
-    hashed = words.select(key, F.explode("_tokens").alias("token")).select(
-        key, F.sha2(F.col("token").cast("binary"), 256).alias("h")
-    )
-    coded = hashed.select(
-        key,
-        (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % DIMENSION).cast("int").alias("idx"),
-        F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"),
-    )
-    return coded.groupBy(key, "idx").agg(F.sum("sign").alias("weight")).where("weight <> 0")
+    def code(token: Column) -> Column:
+        return let(
+            F.sha2(token.cast("binary"), 256),
+            lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % DIMENSION).cast("int") * 2
+            + (F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2),
+        )
 
+    return F.sort_array(F.transform(tokens(text, max_chars), code))
 
-def hash_vectors(texts: DataFrame, key: str, text: Column, max_chars: int | None = 5000) -> DataFrame:
-    """One sparse vector per key: arrays of positions and weights and the vector's length.
 
-    A text without tokens has no row; its vector is zero.
+def hash_entries(text: Column, max_chars: int | None = 5000) -> Column:
+    """Non-zero (idx, weight) entries of the text's hashed vector, by position.
+
+    Built inside the row from sorted codes, so embedding a store shuffles nothing.
     """
-    entries = hash_entries(texts, key, text, max_chars)
-    return entries.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("entries"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-    )
+    empty = F.array().cast("array<struct<idx:int,weight:int>>")
+    start = F.struct(F.lit(-1).alias("idx"), F.lit(0).alias("weight"), empty.alias("done"))
+
+    def flushed(state: Column) -> Column:
+        entry = F.struct(state["idx"].alias("idx"), state["weight"].alias("weight"))
+        return F.when(state["weight"] == 0, state["done"]).otherwise(F.array_append(state["done"], entry))
+
+    def step(state: Column, code: Column) -> Column:
+        idx, sign = F.floor(code / 2).cast("int"), 1 - 2 * (code % 2)
+        return F.when(
+            state["idx"] == idx,
+            F.struct(state["idx"].alias("idx"), (state["weight"] + sign).alias("weight"), state["done"].alias("done")),
+        ).otherwise(F.struct(idx.alias("idx"), sign.cast("int").alias("weight"), flushed(state).alias("done")))
+
+    return F.aggregate(token_codes(text, max_chars), start, step, flushed)
+
+
+def entries_norm(entries: Column) -> Column:
+    return F.sqrt(F.aggregate(entries, F.lit(0).cast("long"), lambda acc, e: acc + e["weight"] * e["weight"]).cast("double"))
+
+
+def hash_vectors(texts: DataFrame, key: str, text: Column, max_chars: int | None = 5000) -> DataFrame:
+    """One sparse vector per row: ``entries`` and their length ``norm``; no tokens, no entries."""
+    return texts.select(key, hash_entries(text, max_chars).alias("entries")).withColumn("norm", entries_norm(F.col("entries")))
 
 
 def hash_embedding_long(texts: DataFrame, key: str, text: Column, max_chars: int | None = 5000) -> DataFrame:
@@ -66,6 +80,17 @@ def hash_embedding_long(texts: DataFrame, key: str, text: Column, max_chars: int
     )
 
 
+def distance_to(entries: Column, weights: dict[int, int]) -> Column:
+    """Cosine distance of sparse entries to one small fixed vector; a zero vector is at distance 1."""
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    length = sum(w * w for w in weights.values()) ** 0.5
+    dot = F.aggregate(
+        entries, F.lit(0).cast("long"),
+        lambda acc, e: acc + e["weight"] * F.coalesce(F.try_element_at(table, e["idx"]), F.lit(0)),
+    )
+    return F.round(1 - F.coalesce(F.try_divide(dot, entries_norm(entries) * length), F.lit(0.0)), 9)
+
+
 # ---- exact search -----------------------------------------------------------
 def _matrix(column: pd.Series) -> np.ndarray:
     """Rows of dense arrays, or of (idx, weight) structs, as unit vectors; zero stays zero."""

@@ -338,6 +338,7 @@ def _pid_payloads(d):
     return f"""
     select concat('PID-', p_partkey) as document_id,
            p_size % 13 = 0 as document_low_confidence,
+           {d.plus_minutes(d.ts('2024-03-01 00:00:00'), 'p_partkey')} as received_at,
            concat('{o}"zone":', case when p_partkey % 6 = 0 then 'null' else concat('"Z-', p_size % 10, '"') end,
              ',"equipment":[{o}"id":" e-', p_partkey, '","type":"', lower(p_type), '","confidence":"', conf_a, '"{c},',
              '{o}"id":', case when p_partkey % 19 = 0 then 'null' else concat('"E-', p_partkey + 1, '"') end,
@@ -360,6 +361,7 @@ def _log_payloads(d):
     return f"""
     select concat('LOG-', event_id) as document_id,
            event_id % 31 = 0 as document_low_confidence,
+           {d.plus_minutes(d.ts('2024-03-01 00:00:30'), 'event_id')} as received_at,
            concat('{o}"entries":[{o}"Asset_ID":" p-', 100 + user_id, '","Failure_Mode":"', event_type, '","Date":',
              case event_id % 3 when 0 then concat('"', cast(cast(ts as date) as string), '"')
                                when 1 then 'null' else '"05/01/2024"' end,
@@ -371,6 +373,29 @@ def _log_payloads(d):
     from {d.table('events')}"""
 
 
+def _node_updates(d):
+    return f"""
+    select concat(' c-', o_custkey * 2) as tag, o_orderkey as seq,
+           case when o_orderkey % 3 = 0 then null else o_orderpriority end as name,
+           case when o_orderkey % 4 = 0 then null else lower(o_orderstatus) end as type,
+           case when o_orderkey % 5 = 0 then concat('DOC-', o_orderkey) else null end as source_document_id
+    from {d.table('orders')}"""
+
+
+def _known_equipment(d):
+    return f"select concat('E-', s_suppkey * 3) as id from {d.table('supplier')}"
+
+
+def _edge_updates(d):
+    return f"""
+    select concat('c-', o_custkey, ' ') as src,
+           case o_orderkey % 4 when 0 then 'controls' when 1 then 'feeds_into' when 2 then 'part_of' else 'weird' end as rel,
+           concat('S-', o_orderkey % 1201) as dst,
+           case when o_orderkey % 2 = 0 then 'manual' else 'import' end as source,
+           case when o_orderkey % 3 = 0 then 'high' else null end as confidence, o_orderkey as seq
+    from {d.table('orders')}"""
+
+
 def _requests(d):
     return f"select concat('client-', user_id) as client, event_id as request_id, ts from {d.table('events')}"
 
@@ -500,6 +525,9 @@ VIEWS: dict[str, Callable] = {
     "v_rule_edges": _rule_edges,
     "v_pid_payloads": _pid_payloads,
     "v_log_payloads": _log_payloads,
+    "v_node_updates": _node_updates,
+    "v_edge_updates": _edge_updates,
+    "v_known_equipment": _known_equipment,
     "v_requests": _requests,
     "v_stage_events": _stage_events,
     "v_runs": _runs,

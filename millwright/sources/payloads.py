@@ -26,10 +26,10 @@ def parse_payload(payload: Column, schema: str) -> Column:
 
 
 def scan_payloads(payloads: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(readable, corrupt) rows of ``payloads(document_id, document_low_confidence, payload)``."""
+    """(readable, corrupt) rows of ``payloads(document_id, document_low_confidence, received_at, payload)``."""
     parsed = payloads.withColumn("data", parse_payload(F.col("payload"), schema))
     bad = F.col("data").isNull() | F.col(f"data.{CORRUPT}").isNotNull()
-    good = parsed.where(~bad).select("document_id", "document_low_confidence", "data")
+    good = parsed.where(~bad).select("document_id", "document_low_confidence", "received_at", "data")
     return good, parsed.where(bad).select("document_id", "payload")
 
 
