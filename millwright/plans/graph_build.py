@@ -9,6 +9,7 @@ from millwright.operators import graph_build as gb
 from millwright.plans.registry import query
 from millwright.plans.text import WIDE, duck_tags
 from millwright.plans.views import CHECK_FRAGMENTS
+from millwright.session import cut_lineage
 from millwright.sources import payloads as pl
 
 _LOG = '[{"Asset_ID":"VARCHAR","Failure_Mode":"VARCHAR","Date":"VARCHAR","Technician_Notes":"VARCHAR","confidence":"VARCHAR"}]'
@@ -338,14 +339,20 @@ def _(t):
     )
 
 
-def decisions(t):
-    """Corrections for everything low in an extraction, by entity type."""
-    return pending(t).where("reason = 'low_confidence_extraction'").select(
+def promoted(t):
+    """Everything low in an extraction promoted, with corrections by entity type.
+
+    The queue is a stored table in a running plant; here it is stored once so
+    that the decisions and the graph read it instead of deriving it again.
+    """
+    queue = cut_lineage(pending(t).select(*PENDING))
+    actions = queue.where("reason = 'low_confidence_extraction'").select(
         F.col("id").alias("review_id"),
         F.when(F.col("entity_type") == "valve", F.create_map(F.lit("valve_type"), F.lit("globe")))
         .when(F.col("entity_type") == "instrument", F.create_map(F.lit("confidence"), F.lit("high"), F.lit("zone"), F.lit("Z-0")))
         .alias("corrected_fields"),
     )
+    return gb.promote_reviews(queue, actions)
 
 
 CHECK_FRAGMENTS.update(
@@ -372,13 +379,12 @@ CHECK_FRAGMENTS.update(
 
 @query("promote_reviews", "select id, entity_type, source_document_id, outcome as status from x_promoted")
 def _(t):
-    return gb.promote_reviews(pending(t), decisions(t)).select("id", "entity_type", "source_document_id", "status")
+    return promoted(t).select("id", "entity_type", "source_document_id", "status")
 
 
 @query("promoted_nodes", "select * from x_promoted_nodes")
 def _(t):
-    promoted = gb.promote_reviews(pending(t), decisions(t))
-    return gb.promoted_graph(promoted, t.equipment.select(F.col("tag").alias("id")))[0]
+    return gb.promoted_graph(promoted(t), t.equipment.select(F.col("tag").alias("id")))[0]
 
 
 @query(
@@ -390,8 +396,7 @@ def _(t):
          union all select asset_id, 'HAD_EVENT', event_id from x_promoted where entity_type = 'maintenance_event')""",
 )
 def _(t):
-    promoted = gb.promote_reviews(pending(t), decisions(t))
-    return gb.promoted_graph(promoted, t.equipment.select(F.col("tag").alias("id")))[1]
+    return gb.promoted_graph(promoted(t), t.equipment.select(F.col("tag").alias("id")))[1]
 
 
 @query(
