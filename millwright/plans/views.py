@@ -437,7 +437,7 @@ def _retrieved(d):
     # One fifth of the pick range lies past the last document, so some questions retrieve nothing.
     n = f"(select count(*) from {d.table('documents')})"
     return f"""
-    select q.question_id, q.rank as rank, x.text, cast(q.rank as double) / 10 as distance,
+    select q.question_id, q.rank as rank, case when q.rank % 2 = 0 then concat('Follow-up reading. ', x.text) else x.text end as text, cast(q.rank as double) / 10 as distance,
            case when x.doc_key % 7 = 0 or x.doc_key % 11 = 0 then null else x.id end as document_id,
            case when x.doc_key % 11 = 0 then null else x.id end as doc_id,
            x.original_filename as filename,
@@ -447,7 +447,7 @@ def _retrieved(d):
            case when x.doc_key % 13 = 0 then '2024-06-15' when x.doc_key % 17 = 0 then 'unknown' else null end as last_reviewed,
            case when x.doc_key % 19 = 0 then '03/04/2023' else null end as review_date
     from (select question_id, rank,
-                 (conv_id * 31 + turn * 7 + rank * 13) % ({n} + {d.idiv(n, '4')}) as pick
+                 (conv_id * 31 + turn * 7 + {d.idiv('rank', '2')} * 13) % ({n} + {d.idiv(n, '4')}) as pick
           from v_questions {d.series(1, 5, 'rank')}) q
     join v_documents x on x.doc_key = q.pick"""
 
