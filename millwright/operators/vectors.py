@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millwright.functions.common import let, strip
 
@@ -92,16 +93,20 @@ def distance_to(entries: Column, weights: dict[int, int]) -> Column:
 
 
 # ---- exact search -----------------------------------------------------------
-def _matrix(column: pd.Series) -> np.ndarray:
-    """Rows of dense arrays, or of (idx, weight) structs, as unit vectors; zero stays zero."""
-    values = column.to_list()
-    if values and len(values[0]) and isinstance(values[0][0], dict):
-        dense = np.zeros((len(values), DIMENSION))
-        for row, entries in enumerate(values):
-            for e in entries:
-                dense[row, e["idx"]] = e["weight"]
+def _matrix(column: pd.Series, sparse: bool = False) -> np.ndarray:
+    """Rows as unit vectors; a zero vector stays zero.
+
+    Dense rows are arrays; sparse rows list their positions, then their weights.
+    """
+    if sparse:
+        rows = [np.asarray(v, dtype=np.int64) for v in column]
+        sizes = np.array([len(r) // 2 for r in rows], dtype=np.int64)
+        dense = np.zeros((len(rows), DIMENSION))
+        if sizes.sum():
+            at = np.concatenate([r[: len(r) // 2] for r in rows])
+            dense[np.repeat(np.arange(len(rows)), sizes), at] = np.concatenate([r[len(r) // 2:] for r in rows])
     else:
-        dense = np.array([np.asarray(v, dtype=np.float64) for v in values])
+        dense = np.array([np.asarray(v, dtype=np.float64) for v in column])
     norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
     return np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
 
@@ -138,9 +143,16 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
 
+def _is_sparse(df: DataFrame, vec_col: str) -> bool:
+    return isinstance(df.schema[vec_col].dataType.elementType, T.StructType)
+
+
 def _columns(df: DataFrame, id_col: str, vec_col: str, group_col: str | None) -> DataFrame:
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
-    return df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), group.alias("grp"))
+    vec = F.col(vec_col)
+    if _is_sparse(df, vec_col):
+        vec = F.concat(F.transform(vec, lambda e: e["idx"]), F.transform(vec, lambda e: e["weight"]))
+    return df.select(F.col(id_col).alias("id"), vec.alias("vec"), group.alias("grp"))
 
 
 def vector_topk(
@@ -167,6 +179,7 @@ def vector_topk(
     q = _columns(queries, query_id_col, vec_col, query_group_col)
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, distance double"
     filtered = query_group_col is not None
+    sparse = _is_sparse(vectors, vec_col)
     size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     if not size["n"]:
         return _rank(q.sparkSession.createDataFrame([], schema), k)
@@ -174,7 +187,7 @@ def vector_topk(
     if bytes_needed <= broadcast_bytes:
         block = q.toPandas()
         shipped = q.sparkSession.sparkContext.broadcast(
-            (block["id"].to_numpy(), _matrix(block["vec"]), block["grp"].to_numpy() if filtered else None)
+            (block["id"].to_numpy(), _matrix(block["vec"], sparse), block["grp"].to_numpy() if filtered else None)
         )
 
         def scan(batches):
@@ -182,17 +195,17 @@ def vector_topk(
             for batch in batches:
                 if len(batch):
                     pos, ids, dist = _nearest(
-                        q_matrix, q_filter, _matrix(batch["vec"]), batch["grp"].to_numpy() if filtered else None,
+                        q_matrix, q_filter, _matrix(batch["vec"], sparse), batch["grp"].to_numpy() if filtered else None,
                         batch["id"].to_numpy(), k,
                     )
                     yield pd.DataFrame({"query_id": q_ids[pos], "id": ids, "distance": dist})
 
         return _rank(v.mapInPandas(scan, schema), k)
     q_parts = -(-bytes_needed // broadcast_bytes)
-    return _rank(_grid(v, q, k, schema, filtered, int(q_parts), rows_per_cell), k)
+    return _rank(_grid(v, q, k, schema, filtered, sparse, int(q_parts), rows_per_cell), k)
 
 
-def _grid(v: DataFrame, q: DataFrame, k: int, schema: str, filtered: bool, q_parts: int, rows_per_cell: int) -> DataFrame:
+def _grid(v: DataFrame, q: DataFrame, k: int, schema: str, filtered: bool, sparse: bool, q_parts: int, rows_per_cell: int) -> DataFrame:
     v_parts = max(1, -(-v.count() // rows_per_cell))
     v_cells = v.select(
         F.col("id").alias("v_id"), F.col("vec").alias("v_vec"), F.col("grp").alias("v_grp"),
@@ -204,20 +217,25 @@ def _grid(v: DataFrame, q: DataFrame, k: int, schema: str, filtered: bool, q_par
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_parts - 1).cast("long"))).alias("v_part"),
         F.pmod(F.xxhash64("id"), F.lit(q_parts)).alias("q_part"),
     )
-    return _search_cells(v_cells, q_cells, ["v_part", "q_part"], k, schema, filtered)
+    return _search_cells(v_cells, q_cells, ["v_part", "q_part"], ["v_part", "q_part"], k, schema, filtered, sparse)
+
 
+def _search_cells(
+    v_cells: DataFrame, q_cells: DataFrame, v_keys: list[str], q_keys: list[str], k: int, schema: str,
+    filtered: bool = False, sparse: bool = False,
+) -> DataFrame:
+    """k nearest within every cell that queries and vectors share."""
 
-def _search_cells(v_cells: DataFrame, q_cells: DataFrame, keys: list[str], k: int, schema: str, filtered: bool) -> DataFrame:
     def cell(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if vs.empty or qs.empty:
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         pos, ids, dist = _nearest(
-            _matrix(qs["q_vec"]), qs["q_grp"].to_numpy() if filtered else None,
-            _matrix(vs["v_vec"]), vs["v_grp"].to_numpy() if filtered else None, vs["v_id"].to_numpy(), k,
+            _matrix(qs["q_vec"], sparse), qs["q_grp"].to_numpy() if filtered else None,
+            _matrix(vs["v_vec"], sparse), vs["v_grp"].to_numpy() if filtered else None, vs["v_id"].to_numpy(), k,
         )
         return pd.DataFrame({"query_id": qs["q_id"].to_numpy()[pos], "id": ids, "distance": dist})
 
-    return v_cells.groupBy(*keys).cogroup(q_cells.groupBy(*keys)).applyInPandas(cell, schema)
+    return v_cells.groupBy(*v_keys).cogroup(q_cells.groupBy(*q_keys)).applyInPandas(cell, schema)
 
 
 # ---- approximate search -----------------------------------------------------
@@ -270,11 +288,5 @@ def vector_topk_approx(
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("q_part"),
     )
 
-    def cell(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if vs.empty or qs.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        pos, ids, dist = _nearest(_matrix(qs["q_vec"]), None, _matrix(vs["v_vec"]), None, vs["v_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": qs["q_id"].to_numpy()[pos], "id": ids, "distance": dist})
-
-    found = v_cells.groupBy("v_list", "v_part").cogroup(q_cells.groupBy("q_list", "q_part")).applyInPandas(cell, schema)
+    found = _search_cells(v_cells, q_cells, ["v_list", "v_part"], ["q_list", "q_part"], k, schema)
     return _rank(found, k)

@@ -13,8 +13,8 @@ from millwright.plans.views import CHECK_FRAGMENTS, duck_round
 from millwright.sources import payloads as pl
 
 CHECK_FRAGMENTS.update(
-    x_doc_sentences=f"select id, uploaded_at, unnest({duck_sentences('text')}) as s from v_documents",
-    x_doc_tags=f"select id, uploaded_at, unnest({duck_tags('text', STRICT)}) as tag from v_documents",
+    x_spoken=f"select id, uploaded_at, unnest({duck_sentences('text')}) as s from v_documents",
+    x_named_tags=f"select id, uploaded_at, unnest({duck_tags('text', STRICT)}) as tag from v_documents",
 )
 
 
@@ -25,7 +25,7 @@ def documents(t):
 @query(
     "store_new_equipment",
     """select tag, source_document_id from (
-         select tag, id as source_document_id, row_number() over (partition by tag order by uploaded_at, id) as r from x_doc_tags) where r = 1
+         select tag, id as source_document_id, row_number() over (partition by tag order by uploaded_at, id) as r from x_named_tags) where r = 1
           and tag not in (select tag from v_equipment)""",
 )
 def _(t):
@@ -36,7 +36,7 @@ def _(t):
     "inspection_events_from_text",
     f"""select id as source_document_id, s as findings, unnest(regexp_extract_all(s, '{STRICT}', 1)) as equipment_tag, 'auto_extracted' as inspection_type,
                cast(null as varchar) as severity
-        from x_doc_sentences where {" or ".join(f"contains(lower(s), '{w}')" for w in tx.INSPECTION_WORDS)}""",
+        from x_spoken where {" or ".join(f"contains(lower(s), '{w}')" for w in tx.INSPECTION_WORDS)}""",
 )
 def _(t):
     return ex.inspection_events(documents(t))
@@ -82,7 +82,7 @@ def _(t):
     "sentence_cooccurrence_edges",
     f"""select src, dst, arg_max(id, (uploaded_at, id)) as source_document_id, 'connected_to' as rel from (
           select id, uploaded_at, g[i] as src, g[i + 1] as dst
-          from (select id, uploaded_at, {duck_tags('s', STRICT)} as g from x_doc_sentences), unnest(range(1, len(g))) as u(i)) group by 1, 2""",
+          from (select id, uploaded_at, {duck_tags('s', STRICT)} as g from x_spoken), unnest(range(1, len(g))) as u(i)) group by 1, 2""",
 )
 def _(t):
     return ex.sentence_edges(documents(t))

@@ -141,10 +141,10 @@ DUCK_NODE_JSON = """'{' || array_to_string(list_filter([
 
 @query(
     "node_search",
-    f"""with x_found as (select id, label from v_nodes where contains(lower(id || ' ' || label || ' ' || {DUCK_NODE_JSON}), 'nation') order by id limit 90)
-        select 'node' as part, id as a, label as rel, '' as b from x_found
+    f"""with x_shown as (select id, label from v_nodes where contains(lower(id || ' ' || label || ' ' || {DUCK_NODE_JSON}), 'nation') order by id limit 90)
+        select 'node' as part, id as a, label as rel, '' as b from x_shown
         union all
-        select * from (select 'edge', src, rel, dst from v_edges where src in (select id from x_found) and dst in (select id from x_found) order by src, rel, dst limit 140)""",
+        select * from (select 'edge', src, rel, dst from v_edges where src in (select id from x_shown) and dst in (select id from x_shown) order by src, rel, dst limit 140)""",
 )
 def _(t):
     found = lk.node_search(t.nodes, "Nation")

@@ -67,6 +67,36 @@ def _(t):
     )
 
 
+CHECK_FRAGMENTS.update(
+    x_chunk_norms="select document_id, chunk_index, sqrt(sum(weight * weight)) as norm from x_chunk_entries group by all",
+    x_question_entries=duck_hash_entries("v_questions", "question_id", "question", ""),
+    x_question_norms="select question_id, sqrt(sum(weight * weight)) as norm from x_question_entries group by 1",
+    x_found="""
+        select question_id, document_id, chunk_index, distance, row_number() over (partition by question_id order by distance, document_id || '#' || chunk_index) as rank from (
+          select q.question_id, c.document_id, c.chunk_index, round(1 - sum(q.weight * c.weight) / (any_value(qn.norm) * any_value(cn.norm)), 9) as distance
+          from x_question_entries q join x_chunk_entries c on c.idx = q.idx join x_question_norms qn on qn.question_id = q.question_id
+          join x_chunk_norms cn on cn.document_id = c.document_id and cn.chunk_index = c.chunk_index group by 1, 2, 3)""",
+)
+
+
+@query(
+    "question_retrieval",
+    "select question_id, rank, document_id, chunk_index, round(distance, 6) as distance from x_found where rank <= 5",
+)
+def _(t):
+    """Every question against the whole chunk store, both embedded by token hashes."""
+    docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
+    chunks = ch.document_chunks(docs).withColumn("key", F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")))
+    stored = vec.hash_vectors(chunks, "key", F.col("text"))
+    asked = vec.hash_vectors(t.questions, "question_id", F.col("question"), None)
+    found = vec.vector_topk(stored, asked, 5, id_col="key", vec_col="entries", query_id_col="question_id")
+    return found.select(
+        F.col("query_id").alias("question_id"), F.col("rank").cast("long").alias("rank"),
+        F.substring_index("id", "#", 1).alias("document_id"), F.substring_index("id", "#", -1).cast("long").alias("chunk_index"),
+        F.round("distance", 6).alias("distance"),
+    )
+
+
 # Approximate by nature, so only rows are checked here; tests measure its recall.
 @query("vector_topk_approx")
 def _(t):

@@ -20,7 +20,7 @@ RAW_TABLES = (
 ).split()
 
 # Every "now" in the reports is this instant, so results do not drift.
-AS_OF = "2025-01-25 00:00:00"
+AS_OF = "2025-01-29 12:00:00"
 
 
 class SparkDialect:
@@ -606,8 +606,17 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.spread_scans = spread_scans
+        self.replaced: dict[str, DataFrame] = {}
+
+    def replacing(self, **tables: DataFrame) -> Tables:
+        """The same views with some raw tables given, such as a micro-batch."""
+        other = Tables(self.spark, self.folder, self.spread_scans)
+        other.replaced = {**self.replaced, **tables}
+        return other
 
     def raw(self, name: str) -> DataFrame:
+        if name in self.replaced:
+            return self.replaced[name]
         scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return spread(scan) if self.spread_scans else scan
 
@@ -625,4 +634,6 @@ class Tables:
         ctes = ", ".join(f"{n} as ({body})" for n, body in parts)
         text = f"with {ctes} select * from {key}"
         used = {n: self.raw(n) for n in RAW_TABLES if "{" + n + "}" in text}
-        return self.spark.sql(text, **used)
+        # a micro-batch lives in a session of its own
+        session = next((df.sparkSession for n, df in used.items() if n in self.replaced), self.spark)
+        return session.sql(text, **used)

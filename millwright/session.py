@@ -44,6 +44,12 @@ def local_session(cores: str = "8", app: str = "millwright", **extra: str) -> Sp
     return prepare(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; a temporary one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or tempfile.mkdtemp(prefix="millwright-checkpoint-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and restart its lineage there.
 
@@ -52,8 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millwright-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

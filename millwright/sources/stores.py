@@ -26,28 +26,28 @@ def deleted_counts(rows: DataFrame, ids: DataFrame, column: str = "document_id")
     )
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+def write_keyed(
+    spark: SparkSession, path: str, new: DataFrame, bucket_by: str, replace_by: list[str], buckets: int = 64
+) -> None:
+    """Merge ``new`` into a Parquet table, rewriting only the buckets it touches.
 
-
-def write_chunk_store(spark: SparkSession, path: str, new: DataFrame, buckets: int = 64, keys: tuple[str, ...] = ("chunk_id",)) -> None:
-    """Merge ``new`` into the chunk store, rewriting only the buckets it touches.
-
-    A document keeps to one bucket, so an upsert reads and replaces few
-    partitions.  Written chunks of a document are replaced as a whole: a shorter
-    new version leaves no stale tail.
+    Stored rows that share ``replace_by`` with a new row give way to the new
+    rows, so writing the same batch twice changes nothing.
     """
-    incoming = new.withColumn("bucket", _bucket(buckets))
+    bucket = F.pmod(F.xxhash64(bucket_by), F.lit(buckets)).cast("int")
+    incoming = new.withColumn("bucket", bucket)
     merged = incoming
     if _exists(spark, path):
         touched = incoming.select("bucket").distinct()
         old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
-        kept = old.join(incoming.select("document_id").distinct(), "document_id", "left_anti")
+        kept = old.join(incoming.select(*replace_by).distinct(), replace_by, "left_anti")
         merged = kept.unionByName(incoming, allowMissingColumns=True)
-    (
-        merged.repartition("bucket", F.pmod(F.xxhash64(*keys), F.lit(8)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    )
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_chunk_store(spark: SparkSession, path: str, new: DataFrame, buckets: int = 64) -> None:
+    """Put chunks into the store; a document's chunks are replaced as a whole, so no stale tail is left."""
+    write_keyed(spark, path, new, "document_id", ["document_id"], buckets)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
