@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
@@ -23,6 +23,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(rows: DataFrame, kept: list, items: Column, name: str, place: str | None = None) -> DataFrame:
+    """One row per item of a computed array, with its position if ``place`` is given.
+
+    A plain ``explode`` makes the optimizer add a filter that computes the array a
+    second time; the outer form with its empty rows dropped does not.
+    """
+    if place is None:
+        spread = rows.select(*kept, F.explode_outer(items).alias(name))
+    else:
+        spread = rows.select(*kept, F.posexplode_outer(items).alias(place, name))
+    return spread.where(F.col(name).isNotNull())
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     """Elapsed whole days, floored; not a count of midnights crossed."""
     return F.floor((micros(later) - micros(earlier)) / F.lit(MICROS_PER_DAY)).cast("long")

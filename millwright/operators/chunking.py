@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.functions.common import BLANKS, let, strip
+from millwright.functions.common import BLANKS, let, strip, unnest
 from millwright.functions.text import CHUNK_SENTENCE_ENDS, sentences
 
 CHUNKS = "array<struct<text:string,char_start:int,char_end:int>>"
@@ -190,9 +190,9 @@ def explode_chunks(documents: DataFrame, chunks: Column, document_id: str = "doc
     """One row per chunk, numbered from 0 within its row of ``documents``."""
     kept = [c for c in documents.columns if c != document_id]
     arrays = documents.withColumn("_chunks", chunks)
-    exploded = arrays.select(
-        F.col(document_id).alias("document_id"), *kept, F.size("_chunks").alias("total_chunks"),
-        F.posexplode("_chunks").alias("chunk_index", "_chunk"),
+    exploded = unnest(
+        arrays, [F.col(document_id).alias("document_id"), *kept, F.size("_chunks").alias("total_chunks")],
+        F.col("_chunks"), "_chunk", "chunk_index",
     )
     return exploded.select("document_id", *kept, "chunk_index", "total_chunks", "_chunk.*")
 
@@ -216,9 +216,8 @@ def paged_chunks(pages: DataFrame, size: int = 800, overlap: int = 100) -> DataF
         "document_id", "page_number", "chunks", before.alias("before"),
         F.sum("n").over(W.partitionBy("document_id")).alias("total_chunks"),
     )
-    return numbered.select(
-        "document_id", "page_number", "before", "total_chunks", F.posexplode("chunks").alias("i", "chunk")
-    ).select(
+    spread = unnest(numbered, ["document_id", "page_number", "before", "total_chunks"], F.col("chunks"), "chunk", "i")
+    return spread.select(
         "document_id", "page_number", (F.col("before") + F.col("i")).cast("long").alias("chunk_index"), "total_chunks", "chunk.*"
     )
 

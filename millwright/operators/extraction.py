@@ -6,31 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import text as tx
-from millwright.functions.common import exact_round, strip
+from millwright.functions.common import exact_round, strip, unnest
 from millwright.functions.dates import iso_date
 from millwright.functions.text import INSPECTION_WORDS
 
 
 def store_new_equipment(documents: DataFrame, equipment: DataFrame) -> DataFrame:
     """Tags in ``documents(document_id, text, uploaded_at)`` the register lacks, with the first document naming each."""
-    tags = documents.select("document_id", "uploaded_at", F.explode(tx.strict_tags(F.col("text"))).alias("tag"))
+    tags = unnest(documents, ["document_id", "uploaded_at"], tx.strict_tags(F.col("text")), "tag")
     first = tags.groupBy("tag").agg(F.min_by("document_id", F.struct("uploaded_at", "document_id")).alias("source_document_id"))
     return first.join(equipment.select("tag"), "tag", "left_anti")
 
 
 def inspection_events(documents: DataFrame) -> DataFrame:
     """One inspection per tag occurrence in sentences that speak of inspecting."""
-    said = documents.select("document_id", F.explode(tx.sentences(F.col("text"))).alias("findings"))
+    said = unnest(documents, ["document_id"], tx.sentences(F.col("text")), "findings")
     lowered = F.lower("findings")
     spoken = F.lit(False)
     for word in INSPECTION_WORDS:
         spoken = spoken | lowered.contains(word)
-    return said.where(spoken).select(
-        F.explode(tx.tag_occurrences(F.col("findings"))).alias("equipment_tag"),
-        "findings",
-        F.col("document_id").alias("source_document_id"),
-        F.lit("auto_extracted").alias("inspection_type"),
-        F.lit(None).cast("string").alias("severity"),
+    return unnest(
+        said.where(spoken),
+        [
+            "findings", F.col("document_id").alias("source_document_id"), F.lit("auto_extracted").alias("inspection_type"),
+            F.lit(None).cast("string").alias("severity"),
+        ],
+        tx.tag_occurrences(F.col("findings")),
+        "equipment_tag",
     )
 
 
@@ -67,17 +69,12 @@ def sentence_edges(documents: DataFrame) -> DataFrame:
 
     ``documents(document_id, text, uploaded_at)``.
     """
-    said = documents.select(
-        "document_id", "uploaded_at", F.explode(tx.sentences(F.col("text"))).alias("sentence")
-    ).select("document_id", "uploaded_at", tx.strict_tags(F.col("sentence")).alias("tags"))
-    pairs = said.where(F.size("tags") > 1).select(
-        "document_id", "uploaded_at",
-        F.explode(
-            F.arrays_zip(
-                F.slice("tags", 1, F.size("tags") - 1).alias("src"), F.slice("tags", 2, F.size("tags") - 1).alias("dst")
-            )
-        ).alias("p"),
+    said = unnest(documents, ["document_id", "uploaded_at"], tx.sentences(F.col("text")), "sentence").select("document_id", "uploaded_at", tx.strict_tags(F.col("sentence")).alias("tags"))
+    following = F.when(
+        F.size("tags") > 1,
+        F.arrays_zip(F.slice("tags", 1, F.size("tags") - 1).alias("src"), F.slice("tags", 2, F.size("tags") - 1).alias("dst")),
     )
+    pairs = unnest(said, ["document_id", "uploaded_at"], following, "p")
     return pairs.groupBy(F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).agg(
         F.max_by("document_id", F.struct("uploaded_at", "document_id")).alias("source_document_id")
     ).withColumn("rel", F.lit("connected_to"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions import text as tx
+from millwright.functions.common import unnest
 from millwright.session import cut_lineage
 
 
@@ -165,13 +166,11 @@ def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int = 15) -> Da
     runs are made distinct first, so the join is between vocabularies, and a run
     or term passes on no more rules than the cap can use.
     """
-    terms = questions.select(
-        "question_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit(RULE_TERM), F.lit(0)), F.upper))).alias("term")
-    )
+    words = F.regexp_extract_all("question", F.lit(RULE_TERM), F.lit(0))
+    terms = unnest(questions, ["question_id"], F.array_distinct(F.transform(words, F.upper)), "term")
     fields = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("rule_code", "title", "category", "regulation_body", "full_text")])
-    runs = rules.select(
-        "rule_code", F.explode(F.array_distinct(F.regexp_extract_all(F.upper(fields), F.lit("[A-Z0-9_-]{3,}"), F.lit(0)))).alias("run")
-    )
+    whole = F.array_distinct(F.regexp_extract_all(F.upper(fields), F.lit("[A-Z0-9_-]{3,}"), F.lit(0)))
+    runs = unnest(rules, ["rule_code"], whole, "run")
     run_rules = _first_rows(runs, ["run"], ["rule_code"], cap)
     grams = run_rules.select("run").distinct().select(
         "run",
@@ -195,7 +194,7 @@ def rule_context(near: DataFrame, matched: DataFrame, cap: int = 15) -> DataFram
 
 def known_tags(texts: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Tags of each text that the graph knows, in the order they appear."""
-    named = texts.select(key, F.posexplode(tx.wide_tags(F.col("text"))).alias("position", "tag"))
+    named = unnest(texts, [key], tx.wide_tags(F.col("text")), "tag", "position")
     kept = named.join(nodes.select(F.col("id").alias("tag")), "tag", "left_semi")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "tag"))), lambda x: x["tag"])
     return kept.groupBy(key).agg(ordered.alias("tags"))

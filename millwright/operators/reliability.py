@@ -91,10 +91,6 @@ def overdue_inspections(
     return result
 
 
-def _cell_key() -> list[Column]:
-    return [F.col(c).cast("long") for c in ("slab", "e", "l")]
-
-
 PAIR_PARTIAL = "tag_a string, tag_b string, n long, gap_sum long, last_us long"
 
 
@@ -107,99 +103,93 @@ def _pair_cell(window_days: int):
     """
 
     def run(earlier: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
-        if earlier.empty or later.empty:
-            return pd.DataFrame({"tag_a": [], "tag_b": [], "n": [], "gap_sum": [], "last_us": []})
-        tags, codes = np.unique(
-            np.concatenate([earlier["early_tag"].to_numpy(str), later["late_tag"].to_numpy(str)]), return_inverse=True
-        )
-        early_code, late_code = codes[: len(earlier)], codes[len(earlier):]
-        early_us, late_us = earlier["early_us"].to_numpy(np.int64), later["late_us"].to_numpy(np.int64)
-        order = np.lexsort((late_code, late_us))
-        late_us, late_code = late_us[order], late_code[order]
-        # Records of the same instant are ordered by tag, so each pair counts once.
-        instants = np.unique(np.concatenate([early_us, late_us]))
-        late_key = np.searchsorted(instants, late_us) * len(tags) + late_code
-        start = np.searchsorted(late_key, np.searchsorted(instants, early_us) * len(tags) + early_code, side="right")
-        steps = np.stack(
-            [np.searchsorted(late_us, early_us + k * MICROS_PER_DAY, side="left") for k in range(1, window_days + 2)]
-        )
-        steps = np.maximum(steps, start)
-        size = len(late_us) + 1
-        out = []
-        by_tag = np.argsort(early_code, kind="stable")
-        cuts = np.flatnonzero(np.diff(early_code[by_tag])) + 1
-        for rows in np.split(by_tag, cuts):
-            code = early_code[rows[0]]
-            opened = np.bincount(start[rows], minlength=size)
-            marks = np.bincount(steps[-1, rows], minlength=size) - opened
-            paired = np.cumsum(marks[::-1])[::-1][1:]
-            inner = np.bincount(steps[:-1, rows].ravel(), minlength=size) - window_days * opened
-            nearer = np.cumsum(inner[::-1])[::-1][1:]
-            hit = (paired > 0) & (late_code != code)
-            if not hit.any():
-                continue
-            n = np.bincount(late_code[hit], weights=paired[hit], minlength=len(tags))
-            near = np.bincount(late_code[hit], weights=nearer[hit], minlength=len(tags))
-            last = np.zeros(len(tags), dtype=np.int64)
-            last[late_code[hit]] = late_us[hit]
-            other = np.flatnonzero(n)
-            count = n[other].astype(np.int64)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "tag_a": tags[np.minimum(other, code)],
-                        "tag_b": tags[np.maximum(other, code)],
-                        "n": count,
-                        "gap_sum": window_days * count - near[other].astype(np.int64),
-                        "last_us": last[other],
-                    }
-                )
+        found = {"a": [], "b": [], "n": [], "gap_sum": [], "last_us": []}
+        tags = np.array([], dtype=object)
+        if len(earlier) and len(later):
+            tags, codes = np.unique(
+                np.concatenate([earlier["early_tag"].to_numpy(str), later["late_tag"].to_numpy(str)]), return_inverse=True
             )
-        if not out:
-            return pd.DataFrame({"tag_a": [], "tag_b": [], "n": [], "gap_sum": [], "last_us": []})
-        merged = pd.concat(out).groupby(["tag_a", "tag_b"], as_index=False)
-        return merged.agg({"n": "sum", "gap_sum": "sum", "last_us": "max"})
+            early_code, late_code = codes[: len(earlier)], codes[len(earlier):]
+            early_us, late_us = earlier["early_us"].to_numpy(np.int64), later["late_us"].to_numpy(np.int64)
+            order = np.lexsort((late_code, late_us))
+            late_us, late_code = late_us[order], late_code[order]
+            # Records of the same instant are ordered by tag, so each pair counts once.
+            instants = np.unique(np.concatenate([early_us, late_us]))
+            late_key = np.searchsorted(instants, late_us) * len(tags) + late_code
+            start = np.searchsorted(late_key, np.searchsorted(instants, early_us) * len(tags) + early_code, side="right")
+            steps = np.stack(
+                [np.searchsorted(late_us, early_us + k * MICROS_PER_DAY, side="left") for k in range(1, window_days + 2)]
+            )
+            steps = np.maximum(steps, start)
+            size = len(late_us) + 1
+            by_tag = np.argsort(early_code, kind="stable")
+            for rows in np.split(by_tag, np.flatnonzero(np.diff(early_code[by_tag])) + 1):
+                code = early_code[rows[0]]
+                opened = np.bincount(start[rows], minlength=size)
+                marks = np.bincount(steps[-1, rows], minlength=size) - opened
+                paired = np.cumsum(marks[::-1])[::-1][1:]
+                inner = np.bincount(steps[:-1, rows].ravel(), minlength=size) - window_days * opened
+                nearer = np.cumsum(inner[::-1])[::-1][1:]
+                hit = (paired > 0) & (late_code != code)
+                at = late_code[hit]
+                n = np.bincount(at, weights=paired[hit], minlength=len(tags))
+                near = np.bincount(at, weights=nearer[hit], minlength=len(tags))
+                last = np.zeros(len(tags), dtype=np.int64)
+                last[at] = late_us[hit]
+                other = np.flatnonzero(n)
+                found["a"].append(np.minimum(other, code))
+                found["b"].append(np.maximum(other, code))
+                found["n"].append(n[other].astype(np.int64))
+                found["gap_sum"].append((window_days * n[other] - near[other]).astype(np.int64))
+                found["last_us"].append(last[other])
+        whole = {k: np.concatenate(v) if v else np.array([], dtype=np.int64) for k, v in found.items()}
+        return pd.DataFrame({
+            "tag_a": tags[whole["a"]], "tag_b": tags[whole["b"]],
+            "n": whole["n"], "gap_sum": whole["gap_sum"], "last_us": whole["last_us"],
+        })
 
     return run
 
 
+def _cells(records: DataFrame, side: str, rows_per_cell: int) -> tuple[DataFrame, DataFrame]:
+    """(records with their cell, cells per slab) of one side.
+
+    Tags are dealt into as many parts as the slab needs, so a pair of tags meets
+    in one cell; a part that a single tag overfills is salted by record.
+    """
+    parts = records.groupBy("slab").agg(F.ceil(F.count("*") / rows_per_cell).cast("long").alias("parts"))
+    dealt = records.join(parts, "slab").withColumn("part", F.pmod(F.xxhash64("tag"), "parts"))
+    sizes = dealt.groupBy("slab", "part").agg(F.ceil(F.count("*") / (2 * rows_per_cell)).cast("long").alias("salts"))
+    cell = F.struct("part", F.pmod("salt", "salts").alias("piece"))
+    placed = dealt.join(sizes, ["slab", "part"]).select(
+        "slab", F.col("tag").alias(f"{side}_tag"), F.col("us").alias(f"{side}_us"), cell.alias(f"{side}_cell")
+    )
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda i: F.struct(F.col("part"), i.alias("piece")))
+    listed = sizes.groupBy("slab").agg(F.flatten(F.collect_list(pieces)).alias(f"{side}_cells"))
+    return placed, listed
+
+
 def cooccurrence_pairs(inspections: DataFrame, window_days: int = 30, rows_per_cell: int = 8192) -> DataFrame:
     """Every pair of assets failing within the window: count, mean gap, latest date.
 
     Time is cut into slabs one window long; an earlier record meets later ones of
-    its own slab and the next.  Counts add up over any split of either side, so a
-    crowded slab is salted on both sides until a cell holds about ``rows_per_cell``
-    records, whatever the share of one tag.  Only per-pair sums are shuffled.
+    its own slab and the next.  Counts add up over any split of either side, so
+    both sides of a slab are dealt into cells of bounded size, whatever the share
+    of one tag, and only per-pair sums are shuffled, never pairs of records.
     """
     slab_us = (window_days + 1) * MICROS_PER_DAY
     records = failure_records(inspections).select(
-        F.col("equipment_tag").alias("tag"),
-        micros("inspection_date").alias("us"),
-        F.xxhash64("id").alias("salt"),
-    )
-    early = records.withColumn("slab", F.floor(F.col("us") / F.lit(slab_us)))
-    late = early.withColumn("slab", F.explode(F.array(F.col("slab"), F.col("slab") - 1)))
-    parts = (
-        early.groupBy("slab").count()
-        .select("slab", F.ceil(F.col("count") / rows_per_cell).cast("int").alias("early_parts"))
-        .join(
-            late.groupBy("slab").count()
-            .select("slab", F.ceil(F.col("count") / rows_per_cell).cast("int").alias("late_parts")),
-            "slab",
-        )
-    )
-    early_cells = early.join(parts, "slab").select(
-        F.col("tag").alias("early_tag"), F.col("us").alias("early_us"), "slab",
-        F.pmod("salt", "early_parts").alias("e"),
-        F.explode(F.sequence(F.lit(0), F.col("late_parts") - 1)).alias("l"),
-    )
-    late_cells = late.join(parts, "slab").select(
-        F.col("tag").alias("late_tag"), F.col("us").alias("late_us"), "slab",
-        F.explode(F.sequence(F.lit(0), F.col("early_parts") - 1)).alias("e"),
-        F.pmod("salt", "late_parts").alias("l"),
+        F.col("equipment_tag").alias("tag"), micros("inspection_date").alias("us"), F.xxhash64("id").alias("salt")
     )
+    slab = F.floor(F.col("us") / F.lit(slab_us)).cast("long")
+    early, early_cells = _cells(records.withColumn("slab", slab), "early", rows_per_cell)
+    late, late_cells = _cells(records.withColumn("slab", F.explode(F.array(slab, slab - 1))), "late", rows_per_cell)
+    met_early = early.join(late_cells, "slab").withColumn("late_cell", F.explode("late_cells")).drop("late_cells")
+    met_late = late.join(early_cells, "slab").withColumn("early_cell", F.explode("early_cells")).drop("early_cells")
+    key = ["slab", "early_cell", "late_cell"]
     partial = (
-        early_cells.groupBy(*_cell_key()).cogroup(late_cells.groupBy(*_cell_key()))
+        met_early.select(*[F.col(c).alias(f"e_{c}") for c in key], "early_tag", "early_us").groupBy(*[f"e_{c}" for c in key])
+        .cogroup(met_late.select(*[F.col(c).alias(f"l_{c}") for c in key], "late_tag", "late_us").groupBy(*[f"l_{c}" for c in key]))
         .applyInPandas(_pair_cell(window_days), PAIR_PARTIAL)
     )
     return (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions import dates, scoring
 from millwright.functions import text as tx
-from millwright.functions.common import strip, whole_days
+from millwright.functions.common import strip, unnest, whole_days
 
 # ---- fixed values -----------------------------------------------------------
 REVIEW_INTERVALS = {
@@ -197,7 +197,7 @@ def extractive_answer(questions: DataFrame, retrieved: DataFrame, chunks: int =
     asked = questions.select("question_id", F.filter(_terms(F.col("question")), lambda x: F.length(x) > 2).alias("asked"))
     top = retrieved.where(F.col("rank") <= chunks)
     flat = strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
-    said = top.select("question_id", "rank", F.posexplode(tx.sentences(flat)).alias("place", "sentence"))
+    said = unnest(top, ["question_id", "rank"], tx.sentences(flat), "sentence", "place")
     scored = said.join(asked, "question_id").withColumn("score", F.size(F.array_intersect("asked", _terms(F.col("sentence")))))
     once = scored.groupBy("question_id", "sentence").agg(F.max("score").alias("score"), F.min(F.struct("rank", "place")).alias("at"))
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "at")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.functions.common import let, strip
+from millwright.functions.common import let, strip, unnest
 
 DIMENSION = 384
 # A query block is shipped to every task only up to this size.
@@ -76,7 +76,7 @@ def hash_vectors(texts: DataFrame, key: str, text: Column, max_chars: int | None
 def hash_embedding_long(texts: DataFrame, key: str, text: Column, max_chars: int | None = 5000) -> DataFrame:
     """L2-normalised long form: (key, idx, value)."""
     vectors = hash_vectors(texts, key, text, max_chars)
-    return vectors.select(key, "norm", F.explode("entries").alias("e")).select(
+    return unnest(vectors, [key, "norm"], F.col("entries"), "e").select(
         key, "e.idx", (F.col("e.weight") / F.col("norm")).alias("value")
     )
 

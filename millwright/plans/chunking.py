@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millwright.functions.common import strip
+from millwright.functions.common import strip, unnest
 from millwright.functions.text import CHUNK_SENTENCE_ENDS
 from millwright.operators import chunking as ch
 from millwright.plans.registry import query
@@ -86,7 +86,7 @@ def digest(column="text"):
 def _(t):
     docs = documents(t)
     chunks = ch.sentence_chunks(strip(F.col("text")))
-    rows = docs.select("document_id", F.posexplode(chunks).alias("chunk_index", "c"))
+    rows = unnest(docs, ["document_id"], chunks, "c", "chunk_index")
     return rows.select(
         "document_id", F.col("chunk_index").cast("long").alias("chunk_index"),
         F.md5(F.col("c.text").cast("binary")).alias("digest"), F.length("c.text").cast("long").alias("n"),
@@ -100,7 +100,7 @@ def _(t):
 def _(t):
     docs = documents(t)
     chunks = ch.sentence_chunks(strip(F.col("text")), 200, 30)
-    rows = docs.select("document_id", F.posexplode(chunks).alias("chunk_index", "c"))
+    rows = unnest(docs, ["document_id"], chunks, "c", "chunk_index")
     return rows.select(
         "document_id", F.col("chunk_index").cast("long").alias("chunk_index"),
         F.md5(F.col("c.text").cast("binary")).alias("digest"), F.length("c.text").cast("long").alias("n"),
@@ -122,9 +122,7 @@ def _(t):
        select key as document_id, no as chunk_index, char_start, char_start + length(text) as char_end from placed""",
 )
 def _(t):
-    rows = documents(t).select(
-        "document_id", F.posexplode(ch.sentence_chunks(strip(F.col("text")))).alias("chunk_index", "c")
-    )
+    rows = unnest(documents(t), ["document_id"], ch.sentence_chunks(strip(F.col("text"))), "c", "chunk_index")
     return rows.select("document_id", "chunk_index", "c.char_start", "c.char_end")
 
 
