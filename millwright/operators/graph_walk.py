@@ -26,13 +26,18 @@ def _first_rows(rows: DataFrame, key: list[str], order: list[str], most: int) ->
 
 def _within_cap(rows: DataFrame, key: str, order: list[str], cap: int) -> DataFrame:
     """Rows of one hop that fit under the cap with ``used`` earlier ones; ``used`` is carried on."""
-    numbered = _first_rows(rows, [key], order, cap).withColumn(
-        "_n", F.row_number().over(W.partitionBy(key).orderBy(*order))
-    )
+    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= cap)
     kept = numbered.where(F.col("used") + F.col("_n") <= cap).drop("_n")
     return kept.withColumn("used", F.col("used") + F.count("*").over(W.partitionBy(key)))
 
 
+def _edges_ahead(out: DataFrame, frontier: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    """The first edges of the nodes about to be expanded; the rest of the graph is not sorted."""
+    if most is None:
+        return out
+    return _first_rows(out.join(frontier.select(F.col("node").alias("src")), "src", "left_semi"), ["src"], order, most)
+
+
 # ---- neighbours -------------------------------------------------------------
 def neighbors_bfs(
     nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 1, cap: int | None = 50, relationship: str | None = None
@@ -44,17 +49,19 @@ def neighbors_bfs(
     start in the order (depth, src, dst); a relationship filter applies after it.
     """
     out = edges.select("src", "dst", "rel")
-    if cap is not None:
-        out = _first_rows(out, ["src"], ["dst", "rel"], cap)
     frontier = starts.select("start").distinct().join(nodes.select(F.col("id").alias("start")), "start", "left_semi").select(
         "start", F.col("start").alias("node"), F.lit(0).cast("long").alias("used")
     )
     visited = frontier.select("start", "node")
     levels = []
     for hop in range(1, depth + 1):
-        step = frontier.join(out, frontier["node"] == out["src"]).select("start", "src", "dst", "rel", "used")
+        ahead = _edges_ahead(out, frontier, ["dst", "rel"], cap)
+        step = frontier.join(ahead, frontier["node"] == ahead["src"]).select("start", "src", "dst", "rel", "used")
         if cap is not None:
             step = _within_cap(step, "start", ["src", "dst", "rel"], cap)
+        if hop < depth:
+            # read several times below; as long as the cap per start
+            step = cut_lineage(step)
         levels.append(step.select("start", "src", F.col("dst").alias("tag"), F.col("rel").alias("relationship"), F.lit(hop).alias("depth")))
         if hop < depth:
             reached = step if cap is None else step.where(F.col("used") < cap)
@@ -71,17 +78,17 @@ def _paths(out: DataFrame, seeds: DataFrame, key: str, depth: int, cap: int | No
     ``out(src, dst, rel, edge_id)`` holds every direction that may be taken.
     Ordered by (length, steps), capped per key.
     """
-    if cap is not None:
-        # up to depth - 1 of a node's first edges may be spent already
-        out = _first_rows(out, ["src"], ["dst", "rel", "edge_id"], cap + depth)
+    # up to depth - 1 of a node's first edges may be spent already
+    most = None if cap is None else cap + depth
     walks = seeds.select(
         key, F.col("tag").alias("node"), F.array(F.struct(F.col("tag").alias("id"), F.lit("").alias("rel"))).alias("steps"),
         F.array().cast("array<string>").alias("taken"), F.lit(0).cast("long").alias("used"),
     ).distinct()
     levels = []
     for hop in range(1, depth + 1):
+        ahead = _edges_ahead(out, walks, ["dst", "rel", "edge_id"], most)
         step = (
-            walks.join(out, walks["node"] == out["src"])
+            walks.join(ahead, walks["node"] == ahead["src"])
             .where(~F.array_contains("taken", F.col("edge_id")))
             .select(
                 key, F.col("dst").alias("node"), F.array_append("steps", F.struct(F.col("dst").alias("id"), "rel")).alias("steps"),
@@ -90,6 +97,8 @@ def _paths(out: DataFrame, seeds: DataFrame, key: str, depth: int, cap: int | No
         )
         if cap is not None:
             step = _within_cap(step, key, ["steps", "taken"], cap)
+        if hop < depth:
+            step = cut_lineage(step)
         levels.append(step.select(key, "node", "steps", F.lit(hop).alias("depth")))
         walks = step if cap is None else step.where(F.col("used") < cap)
     return reduce(DataFrame.unionByName, levels)
@@ -225,7 +234,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
     equally short ones the smallest by its node ids.  A source stops once all its
     targets are met; the walk ends when nothing moves.
     """
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     wanted = pairs.select(F.col("src").alias("source"), F.col("dst").alias("target")).distinct()
     frontier = wanted.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
     visited, reached, hop = frontier.select("source", "node"), [], 0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.common import MICROS_PER_DAY, contains_any, exact_round, flag_sum, micros, whole_days
+from millwright.session import deal
 
 # Fixed values.
 FAILURE_SEVERITIES = ("major", "critical")
@@ -184,12 +185,16 @@ def cooccurrence_pairs(inspections: DataFrame, window_days: int = 30, rows_per_c
     slab = F.floor(F.col("us") / F.lit(slab_us)).cast("long")
     early, early_cells = _cells(records.withColumn("slab", slab), "early", rows_per_cell)
     late, late_cells = _cells(records.withColumn("slab", F.explode(F.array(slab, slab - 1))), "late", rows_per_cell)
-    met_early = early.join(late_cells, "slab").withColumn("late_cell", F.explode("late_cells")).drop("late_cells")
-    met_late = late.join(early_cells, "slab").withColumn("early_cell", F.explode("early_cells")).drop("early_cells")
     key = ["slab", "early_cell", "late_cell"]
+    met_early = early.join(late_cells, "slab").withColumn("late_cell", F.explode("late_cells")).select(
+        *[F.col(c).alias(f"e_{c}") for c in key], "early_tag", "early_us"
+    )
+    met_late = late.join(early_cells, "slab").withColumn("early_cell", F.explode("early_cells")).select(
+        *[F.col(c).alias(f"l_{c}") for c in key], "late_tag", "late_us"
+    )
+    early_key, late_key = [f"e_{c}" for c in key], [f"l_{c}" for c in key]
     partial = (
-        met_early.select(*[F.col(c).alias(f"e_{c}") for c in key], "early_tag", "early_us").groupBy(*[f"e_{c}" for c in key])
-        .cogroup(met_late.select(*[F.col(c).alias(f"l_{c}") for c in key], "late_tag", "late_us").groupBy(*[f"l_{c}" for c in key]))
+        deal(met_early, *early_key).groupBy(*early_key).cogroup(deal(met_late, *late_key).groupBy(*late_key))
         .applyInPandas(_pair_cell(window_days), PAIR_PARTIAL)
     )
     return (

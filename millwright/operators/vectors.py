@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.common import let, strip, unnest
+from millwright.session import deal
 
 DIMENSION = 384
 # A query block is shipped to every task only up to this size.
@@ -235,7 +236,7 @@ def _search_cells(
         )
         return pd.DataFrame({"query_id": qs["q_id"].to_numpy()[pos], "id": ids, "distance": dist})
 
-    return v_cells.groupBy(*v_keys).cogroup(q_cells.groupBy(*q_keys)).applyInPandas(cell, schema)
+    return deal(v_cells, *v_keys).groupBy(*v_keys).cogroup(deal(q_cells, *q_keys).groupBy(*q_keys)).applyInPandas(cell, schema)
 
 
 # ---- approximate search -----------------------------------------------------

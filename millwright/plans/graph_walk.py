@@ -10,6 +10,7 @@ from millwright.operators import graph_walk as gw
 from millwright.plans.registry import query
 from millwright.plans.text import WIDE, duck_tags
 from millwright.plans.views import CHECK_FRAGMENTS
+from millwright.session import cut_lineage
 
 
 def starts(t):
@@ -174,7 +175,8 @@ def _(t):
     customers = t.raw("customer").select(
         F.concat(F.lit("C-"), "c_custkey").alias("src"), F.concat(F.lit("S-"), F.col("c_custkey") % 10).alias("dst")
     )
-    return gw.shortest_paths(t.edges, orders.unionByName(customers)).withColumn("path", join_lines(F.col("path"), ">"))
+    # the edges are a stored table in a running plant, not a view derived anew at every hop
+    return gw.shortest_paths(cut_lineage(t.edges), orders.unionByName(customers)).withColumn("path", join_lines(F.col("path"), ">"))
 
 
 @query(

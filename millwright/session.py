@@ -62,6 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Place rows by key over the full number of shuffle partitions.
+
+    For groups that are small in bytes but heavy to compute: without an explicit
+    count they would be packed into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal a plain scan out over the cores when it arrives in fewer splits than that.
 
