@@ -60,7 +60,8 @@ def start_intake(arriving: DataFrame, to_documents: Callable[[DataFrame], DataFr
 
 
 def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    layout = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(layout).option("recursiveFileLookup", "true").load(folder)
     return files.select(F.col("path").alias("name"), F.col("length").alias("size_bytes"), "content")
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force on small, skewed or cyclic inputs."""
 
 import random
+import time
 from collections import Counter, deque
 from datetime import datetime, timedelta
 
@@ -258,8 +259,12 @@ def test_streamed_limit_equals_batch(spark, tmp_path):
         df.where(F.floor(F.col("request_id") / 15) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = jobs.limited_requests(stream, 3, 60).writeStream.format("memory").queryName("verdicts").outputMode("append").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
+        "checkpointLocation", str(tmp_path / "cp")).start()
+    # timeouts keep such a query running, so it is stopped once all verdicts are out
+    deadline = time.time() + 60
+    while spark.table("verdicts").count() < len(rows) and time.time() < deadline:
+        time.sleep(0.5)
+    query.stop()
     got = {r["request_id"]: r["accepted"] for r in spark.table("verdicts").collect()}
     assert got == {r["request_id"]: r["accepted"] for r in rl.rate_limit_audit(df, 3, 60).collect()}
 
