@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from millwright.functions.common import BLANKS, let, strip, unnest
 from millwright.functions.text import CHUNK_SENTENCE_ENDS, sentences
+from millwright.session import cut_lineage
 
 CHUNKS = "array<struct<text:string,char_start:int,char_end:int>>"
+PAGES_PER_BLOCK = 256
 SECTIONED = "array<struct<text:string,char_start:int,char_end:int,section_header:string>>"
 
 # Fixed value: a markdown heading, a numbered heading or an upper-case label at a line start.
@@ -206,16 +208,24 @@ def document_chunks(documents: DataFrame, size: int = 800, overlap: int = 100) -
 
 
 def paged_chunks(pages: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """Chunks of ``pages(document_id, page_number, text)`` numbered across a document's pages."""
-    per_page = pages.select(
-        "document_id", "page_number", smart_chunks(F.col("text"), size, overlap).alias("chunks")
-    ).withColumn("n", F.size("chunks"))
-    by_page = W.partitionBy("document_id").orderBy("page_number")
-    before = F.coalesce(F.sum("n").over(by_page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = per_page.select(
-        "document_id", "page_number", "chunks", before.alias("before"),
+    """Chunks of ``pages(document_id, page_number, text)`` numbered across a document's pages.
+
+    Pages are counted in blocks, so that a document of very many pages is
+    numbered by many tasks; only block totals are summed per document.
+    """
+    per_page = cut_lineage(
+        pages.select("document_id", "page_number", smart_chunks(F.col("text"), size, overlap).alias("chunks"))
+    ).withColumns({"n": F.size("chunks"), "block": F.floor(F.col("page_number") / PAGES_PER_BLOCK)})
+    blocks = per_page.groupBy("document_id", "block").agg(F.sum("n").alias("n"))
+    by_block = W.partitionBy("document_id").orderBy("block")
+    starts = blocks.select(
+        "document_id", "block", (F.sum("n").over(by_block) - F.col("n")).alias("start"),
         F.sum("n").over(W.partitionBy("document_id")).alias("total_chunks"),
     )
+    by_page = W.partitionBy("document_id", "block").orderBy("page_number")
+    numbered = per_page.join(starts, ["document_id", "block"]).withColumn(
+        "before", F.col("start") + F.sum("n").over(by_page) - F.col("n")
+    )
     spread = unnest(numbered, ["document_id", "page_number", "before", "total_chunks"], F.col("chunks"), "chunk", "i")
     return spread.select(
         "document_id", "page_number", (F.col("before") + F.col("i")).cast("long").alias("chunk_index"), "total_chunks", "chunk.*"

@@ -38,7 +38,7 @@ def inspection_events(documents: DataFrame) -> DataFrame:
 
 def log_events(logs: DataFrame) -> DataFrame:
     """Inspections from parsed maintenance logs ``(document_id, data)``."""
-    entries = logs.select("document_id", F.explode("data.entries").alias("e"))
+    entries = unnest(logs, ["document_id"], F.col("data.entries"), "e")
     tag = F.upper(strip(F.coalesce("e.Asset_ID", F.lit(""))))
     return entries.where(tag != "").select(
         tag.alias("equipment_tag"),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.common import strip
+from millwright.functions.common import strip, unnest
 from millwright.functions.text import RELATIONSHIPS, wide_tags
 from millwright.sources.payloads import low_confidence_count
 
@@ -104,11 +104,11 @@ def pid_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     confidence = F.coalesce("x.confidence", F.lit("low")).alias("confidence")
     equipment = (
-        parsed.select(*base, zone, F.explode("data.equipment").alias("x")).where(stated("x.id"))
+        unnest(parsed, [*base, zone], F.col("data.equipment"), "x").where(stated("x.id"))
         .select(*base, "zone", tidy(F.col("x.id")).alias("id"), F.col("x.type").alias("type"), confidence)
     )
     valves = (
-        parsed.select(*base, zone, F.explode("data.valves").alias("x"))
+        unnest(parsed, [*base, zone], F.col("data.valves"), "x")
         .where(stated("x.valve_id") & stated("x.connects_from") & stated("x.connects_to"))
         .select(
             *base, "zone", tidy(F.col("x.valve_id")).alias("valve_id"), F.col("x.valve_type").alias("valve_type"),
@@ -120,7 +120,7 @@ def pid_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         tidy,
     )
     instruments = (
-        parsed.select(*base, zone, F.explode("data.instruments").alias("x")).where(stated("x.tag"))
+        unnest(parsed, [*base, zone], F.col("data.instruments"), "x").where(stated("x.tag"))
         .select(*base, "zone", tidy(F.col("x.tag")).alias("tag"), anchors.alias("attached_to_line_between"), confidence)
     )
     return equipment, valves, instruments
@@ -218,11 +218,11 @@ def pid_counts(parsed: DataFrame) -> DataFrame:
 def merge_pid_digraph(parsed: DataFrame, known_equipment: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the single-edge graph: nothing is held back, and valves need both ends."""
     base = parsed.select("document_id", "received_at", F.col("data.zone").alias("zone"), "data")
-    items = base.select("document_id", "received_at", "zone", F.explode("data.equipment").alias("x")).select(
+    items = unnest(base, ["document_id", "received_at", "zone"], F.col("data.equipment"), "x").select(
         "document_id", "received_at", "zone", tidy(F.col("x.id")).alias("id"), F.col("x.type").alias("type"),
         F.coalesce("x.confidence", F.lit("low")).alias("confidence"),
     ).where("id <> ''")
-    valves = base.select("document_id", "received_at", "zone", F.explode("data.valves").alias("x")).select(
+    valves = unnest(base, ["document_id", "received_at", "zone"], F.col("data.valves"), "x").select(
         "document_id", "received_at", "zone", tidy(F.col("x.valve_id")).alias("id"), F.lit("valve").alias("type"),
         tidy(F.col("x.connects_from")).alias("src"), tidy(F.col("x.connects_to")).alias("dst"),
         F.coalesce("x.confidence", F.lit("low")).alias("confidence"),
@@ -247,7 +247,7 @@ def merge_pid_digraph(parsed: DataFrame, known_equipment: DataFrame) -> tuple[Da
 
 # ---- maintenance logs -------------------------------------------------------
 def log_rows(parsed: DataFrame) -> DataFrame:
-    entries = parsed.select("document_id", "document_low_confidence", "received_at", F.posexplode("data.entries").alias("position", "x"))
+    entries = unnest(parsed, ["document_id", "document_low_confidence", "received_at"], F.col("data.entries"), "x", "position")
     return entries.where(F.coalesce("x.Asset_ID", F.lit("")) != "").select(
         "document_id", "document_low_confidence", "received_at", "position", tidy(F.col("x.Asset_ID")).alias("asset_id"),
         F.col("x.Date").alias("date"), F.col("x.Failure_Mode").alias("failure_mode"), F.col("x.Technician_Notes").alias("notes"),
@@ -317,7 +317,7 @@ def _held(rows: DataFrame, entity_type: str, key: str, fields: dict[str, Column]
 
 
 def _flags(parsed: DataFrame) -> DataFrame:
-    flagged = parsed.select("document_id", "document_low_confidence", "received_at", F.explode("data.confidence_flags").alias("flag"))
+    flagged = unnest(parsed, ["document_id", "document_low_confidence", "received_at"], F.col("data.confidence_flags"), "flag")
     rows = flagged.withColumn("confidence", F.lit("low")).withColumn("digest", F.sha2(F.col("flag").cast("binary"), 256))
     return _held(rows, "confidence_flag", "digest", {"flag": F.col("flag"), "source_document_id": F.col("document_id")})
 

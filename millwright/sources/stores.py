@@ -42,7 +42,9 @@ def write_keyed(
         old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
         kept = old.join(incoming.select(*replace_by).distinct(), replace_by, "left_anti")
         merged = kept.unionByName(incoming, allowMissingColumns=True)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # evens out files: crowded buckets are split, small ones packed
+    placed = merged.hint("rebalance", F.col("bucket"))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def write_chunk_store(spark: SparkSession, path: str, new: DataFrame, buckets: int = 64) -> None:
