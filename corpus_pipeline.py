@@ -7,17 +7,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import simhash
+from pyspark.sql import functions as F
+
+from millwright.llm import decontaminate, linededup, packing, quality, simhash
+from millwright.llm.common import free_name
 from millwright.session import prepare, shared_folder
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampler draws stay; documents labelled as good are its target."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mark = free_name(docs, "target")
+    marked = quality.with_target(docs, quality.labelled_target(labels, F.col("quality") == 1), mark)
+    return quality.sampled(marked, mark)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; texts and their lengths change, no document goes."""
+    index = linededup.build_index(docs)
+    name = free_name(docs, "lines")
+    kept = linededup.drop_common_lines(docs, index, name=name)
+    fresh = {"text": F.col(f"{name}.kept"), "n_chars": F.length(f"{name}.kept").cast("long")}
+    return kept.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document, or of its pieces, in sequences of 512, 1,024 or 2,048 words."""
+    return packing.pack(docs, packing.word_count("text"), {"doc_id": F.col("doc_id")})
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
     ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
 # No SQL: fingerprints, components and packing are iterative; tests hold run() against plain versions.

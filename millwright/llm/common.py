@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millwright.session import cut_lineage, deal
 
-__all__ = ["SLICE_BYTES", "by_slices", "cut_lineage", "deal", "free_name", "grouped_runs", "text_buffers"]
+__all__ = ["SLICE_BYTES", "by_slices", "cut_lineage", "deal", "free_name", "grouped_runs", "hex16", "number_rows", "text_buffers"]
 
 # Texts are worked on in slices of about this many bytes, whatever the size of an Arrow
 # batch, so a task's memory does not follow the batch.
@@ -37,7 +42,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def by_slices(texts: pa.Array, work: Callable[[pa.Array], list]) -> Iterator:
     """``work`` on runs of rows of about SLICE_BYTES each, results in row order."""
-    lengths = np.array([0 if x is None else x for x in _byte_lengths(texts)], np.int64)
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy()
     start = 0
     while start < len(lengths):
         size, end = int(lengths[start]), start + 1
@@ -48,12 +53,6 @@ def by_slices(texts: pa.Array, work: Callable[[pa.Array], list]) -> Iterator:
         start = end
 
 
-def _byte_lengths(texts: pa.Array) -> list:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(texts).to_pylist()
-
-
 def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
     """Sorted Arrow batches as tables of whole key groups, each of ``rows`` rows or a little more.
 
@@ -86,3 +85,29 @@ def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
 def hex16(value) -> F.Column:
     """A long as 16 lowercase hex digits of its two's complement."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def number_rows(df: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """``df`` with a column that numbers the rows of each ``key`` (an integer column) from 0 without gaps.
+
+    Each task counts its own rows per key as it writes them; only (task, key) counts are then
+    summed up, so a key that holds most rows is numbered by all tasks.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("task_", T.IntegerType()), T.StructField("place_", T.LongType())])
+
+    def count(batches):
+        task, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            values = pd.Series(batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False))
+            place = values.groupby(values).cumcount() + values.map(seen).fillna(0).astype(np.int64)
+            for value, n in values.value_counts().items():
+                seen[value] = seen.get(value, 0) + n
+            columns = [*batch.columns, pa.array(np.full(len(values), task, np.int32)), pa.array(place.to_numpy(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "task_", "place_"])
+
+    placed = cut_lineage(df.mapInArrow(count, schema))
+    sums = placed.groupBy("task_", key).count()
+    earlier = W.partitionBy(key).orderBy("task_").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("task_", key, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before_"))
+    out = placed.join(sums, ["task_", key]).withColumn(name, F.col("before_") + F.col("place_"))
+    return out.select(*df.columns, name)

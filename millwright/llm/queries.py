@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import simhash
-from millwright.llm.common import hex16
+from millwright.llm import decontaminate, linededup, packing, pii, quality, sharding, simhash
+from millwright.llm.common import free_name, hex16
 from millwright.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,85 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op2(spark, folder):
     groups = simhash.near_duplicates(table(spark, folder, "documents"))
     return groups.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+
+
+@query("op4_winnowing")
+def op4(spark, folder):
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), {"doc_id": F.col("doc_id")}
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op9_line_dedup", check=r"""
+with lines as (
+  select doc_id, unnest(split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(split(coalesce(text, ''), chr(10)), 1) as place
+  from documents),
+keyed as (
+  select doc_id, place, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from lines),
+common as (select k from keyed where k <> '' group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(common.k) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (where common.k is null), '')) as kept_sha256
+from keyed left join common on keyed.k = common.k
+group by doc_id
+""")
+def op9(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = linededup.build_index(docs)
+    return linededup.drop_common_lines(docs, index).select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept_sha256"
+    )
+
+
+@query("op5_best_fit_packing")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    return packing.pack(docs, packing.word_count("text"), {"doc_id": F.col("doc_id")})
+
+
+@query("op6_lpt_shards")
+def op6(spark, folder):
+    carry = {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}
+    shards = sharding.shard_documents(table(spark, folder, "documents"), carry)
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op8_skip_chain_pii")
+def op8(spark, folder):
+    found = pii.personal_data(table(spark, folder, "documents"), {"doc_id": F.col("doc_id")})
+    counts = [_spans_of(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
+    )
+
+
+@query("op7_importance_resampling")
+def op7(spark, folder):
+    docs = labelled_documents(spark, folder, table(spark, folder, "documents"))
+    _, least, scored = quality.resample(docs, "target")
+    kept = scored.where(F.lit(False) if least is None else F.col("sample_key") >= least)
+    return kept.select("doc_id", "log_weight", "sample_key", F.lit(True).alias("kept"))
+
+
+def labelled_documents(spark, folder, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``target``, which marks the sample of documents labelled as good."""
+    target = quality.labelled_target(table(spark, folder, "labels"), F.col("quality") == 1)
+    return quality.with_target(docs, target, quality_mark(docs))
+
+
+def quality_mark(docs: DataFrame) -> str:
+    return free_name(docs, "target")
+
+
+def _spans_of(kind: int):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
