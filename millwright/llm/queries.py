@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, linededup, packing, pii, quality, sharding, simhash
+from millwright.llm import decontaminate, linededup, neighbors, packing, pii, quality, sharding, simhash, urlfilter
 from millwright.llm.common import free_name, hex16
 from millwright.session import prepare
 
@@ -115,3 +115,76 @@ def quality_mark(docs: DataFrame) -> str:
 
 def _spans_of(kind: int):
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+# Captures and list histories derived from ``pages``: a fetch time from the page id; for every site (last three
+# labels of a host) a block rule that comes, goes and for half of them comes back; for a third of the hosts an
+# allow rule; for a quarter of the (host, first path segment) pairs a block rule on the path.
+_CAPTURES = """
+select page_id, url, {stamp} + {seconds} as fetched_at from {pages}
+"""
+_ENTRIES = """
+with hosts as (
+  select distinct lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/:?#@]*)', 2)) as host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) as seg
+  from {pages} where url is not null),
+sites as (select distinct regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) as pattern from hosts),
+marked as (
+  select 'abuse' as list, 'block' as kind, pattern, md5(pattern) as m from sites where pattern <> ''
+  union all select 'press', 'allow', host, md5(host) from (select distinct host from hosts) as h where host <> ''
+  union all select 'spam', 'block', concat(host, '/', seg), md5(concat(host, '/', seg)) from hosts where host <> '' and seg <> ''),
+drawn as (select list, kind, pattern, {a} as a, {b} as b, {c} as c from marked),
+chosen as (select * from drawn where list = 'abuse' or (list = 'press' and c % 3 = 0) or (list = 'spam' and c % 4 = 0)),
+steps as (
+  select list, kind, pattern, 'add' as action, a % 200 as days from chosen
+  union all select list, kind, pattern, 'remove', a % 200 + 20 + b % 90 from chosen where b % 5 <> 0
+  union all select list, kind, pattern, 'add', a % 200 + 130 from chosen where c % 2 = 0)
+select list, kind, pattern, action, {stamp} + {days} as dated from steps
+"""
+_SPARK_WORDS = {
+    "pages": "{pages}", "stamp": "timestamp_ntz'2024-01-01 00:00:00'", "seconds": "make_dt_interval(0, 0, 0, pmod(page_id * 7919 * 60, 31536000))",
+    "days": "make_dt_interval(days, 0, 0, 0)",
+    **{n: f"cast(conv(substr(m, {i}, 4), 16, 10) as int)" for n, i in (("a", 1), ("b", 5), ("c", 9))},
+}
+_DUCK_WORDS = {
+    "pages": "pages", "stamp": "timestamp '2024-01-01 00:00:00'", "seconds": "to_seconds((page_id * 7919 * 60) % 31536000)",
+    "days": "to_days(days)", **{n: f"cast('0x' || substr(m, {i}, 4) as int)" for n, i in (("a", 1), ("b", 5), ("c", 9))},
+}
+
+
+@query("op1_url_filter", check=f"""
+with captures as ({_CAPTURES.format(**_DUCK_WORDS)}),
+entries as ({_ENTRIES.format(**_DUCK_WORDS)}),
+states as (select list, kind, pattern, dated, max(action) = 'add' as is_on from entries group by all),
+turns as (
+  select *, lag(is_on, 1, false) over (partition by list, kind, pattern order by dated) as was from states
+  qualify is_on <> was),
+spans as (
+  select list, kind, pattern, is_on, dated as since,
+         lead(dated) over (partition by list, kind, pattern order by dated) as until from turns),
+parts as (
+  select page_id, url, fetched_at,
+         nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/:?#@]*)', 2)), '') as host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) as path
+  from captures),
+met as (
+  select p.page_id, s.* from parts p join spans s
+    on s.is_on and s.since <= p.fetched_at and (s.until is null or p.fetched_at < s.until)
+   and (p.host = s.pattern or ends_with(p.host, '.' || s.pattern) or
+        (contains(s.pattern, '/') and starts_with(p.host || p.path || '/', s.pattern || '/')))),
+best as (
+  select *, count(*) over (partition by page_id) as n,
+         row_number() over (partition by page_id order by length(pattern) desc, kind, list) as rank from met)
+select p.page_id, p.fetched_at, p.host, coalesce(b.n, 0) as n_active,
+       coalesce(b.kind, case when p.host is null then 'no host' else 'none' end) as decision, b.list, b.pattern, b.since
+from parts p left join best b on b.page_id = p.page_id and b.rank = 1
+""")
+def op1(spark, folder):
+    sql = lambda text: spark.sql(text.format(**_SPARK_WORDS), pages=table(spark, folder, "pages"))
+    judged = urlfilter.judge(sql(_CAPTURES), sql(_ENTRIES))
+    return judged.select("page_id", "fetched_at", "verdict.*")
+
+
+@query("op3_cross_polytope")
+def op3(spark, folder):
+    return neighbors.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
