@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, linededup, neighbors, packing, pii, quality, sharding, simhash, urlfilter
+from millwright.llm import decontaminate, licenses, linededup, neighbors, packing, pii, quality, sharding, simhash, urlfilter
 from millwright.llm.common import free_name, hex16
 from millwright.session import prepare
 
@@ -188,3 +188,14 @@ def op1(spark, folder):
 @query("op3_cross_polytope")
 def op3(spark, folder):
     return neighbors.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op10_license_scan")
+def op10(spark, folder):
+    # a tree of source / project / folder / file; every tenth document stands as a license file of its project
+    project = F.concat_ws("/", "source", F.concat(F.lit("p"), F.pmod(F.floor(F.col("doc_id") / 10), F.lit(97))))
+    name = F.when(F.pmod("doc_id", F.lit(10)) == 0, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(
+        F.concat(F.lit("d"), F.pmod("doc_id", F.lit(7)), F.lit("/"), "doc_id", F.lit(".txt"))
+    )
+    files = table(spark, folder, "documents").select("doc_id", F.concat_ws("/", project, name).alias("path"), "text")
+    return licenses.scan(files, carry=("doc_id",))
