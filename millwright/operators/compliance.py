@@ -45,17 +45,24 @@ def document_evidence(chunks: DataFrame, query: str, k: int, separator: str) ->
     return ranked.groupBy("document_id").agg(joined.alias("procedure_text")).where(strip(F.col("procedure_text")) != "")
 
 
-def compliance_work(evidence: DataFrame, rules: DataFrame, most_rules: int = 10) -> DataFrame:
-    """One row per document with evidence and active rule, rules by code up to the limit."""
-    active = rules.where("is_active").orderBy("rule_code").limit(most_rules)
-    bundle = active.agg(F.array_sort(F.collect_list(F.struct("rule_code", "id", "full_text")))).scalar()
-    listed = evidence.withColumn("rule", F.explode(bundle))
-    return listed.select("document_id", "procedure_text", "rule.rule_code", F.col("rule.id").alias("rule_id"), "rule.full_text")
+def compliance_work(evidence: DataFrame, rules: DataFrame, most_rules: int | None = 10) -> DataFrame:
+    """One row per document with evidence and active rule, rules by code up to the limit (all: None).
 
-
-def compliance_scan(documents: DataFrame, chunks: DataFrame, rules: DataFrame, most_documents: int = 5, most_rules: int = 3) -> DataFrame:
-    """The scheduled, bounded work list over completed documents by id."""
-    due = documents.where("status = 'completed'").select(F.col("id").alias("document_id")).orderBy("document_id").limit(most_documents)
+    Every document meets every rule: that is the work list. How the rules travel is left to their size.
+    """
+    active = rules.where("is_active").select("rule_code", F.col("id").alias("rule_id"), "full_text")
+    if most_rules is not None:
+        active = active.orderBy("rule_code").limit(most_rules)
+    return evidence.crossJoin(active).select("document_id", "procedure_text", "rule_code", "rule_id", "full_text")
+
+
+def compliance_scan(
+    documents: DataFrame, chunks: DataFrame, rules: DataFrame, most_documents: int | None = 5, most_rules: int | None = 3
+) -> DataFrame:
+    """The scheduled work list over completed documents by id; None lifts a limit."""
+    due = documents.where("status = 'completed'").select(F.col("id").alias("document_id"))
+    if most_documents is not None:
+        due = due.orderBy("document_id").limit(most_documents)
     evidence = document_evidence(chunks.join(due, "document_id", "left_semi"), SCAN_QUERY, 3, " ")
     return compliance_work(evidence, rules, most_rules)
 

@@ -169,25 +169,31 @@ def merge_pid(parsed: DataFrame, known_equipment: DataFrame) -> tuple[DataFrame,
     tied = valves.join(ends.withColumnRenamed("id", "connects_from"), "connects_from", "left_semi").join(
         ends.withColumnRenamed("id", "connects_to"), "connects_to", "left_semi"
     )
-    edge = lambda src, rel, dst, valve: F.struct(
-        src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), valve.alias("valve_id")
-    )
     nobody = F.lit(None).cast("string")
+    plain = {"valve_id": nobody, "confidence": nobody, "document_id": nobody, "received_at": F.lit(None).cast("timestamp_ntz")}
+
+    def edge(src, rel, dst, **given):
+        return F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), *[c.alias(n) for n, c in (plain | given).items()])
+
     frm, to, valve = F.col("connects_from"), F.col("connects_to"), F.col("valve_id")
+    own = {n: F.col(n) for n in ("valve_id", "confidence", "document_id")} | {"received_at": F.col("received_at").cast("timestamp_ntz")}
     valve_edges = tied.select(
         F.explode(F.array(
-            edge(frm, "CONNECTED_THROUGH", to, valve), edge(frm, "CONNECTED_TO", valve, nobody), edge(valve, "CONNECTED_TO", to, nobody)
+            edge(frm, "CONNECTED_THROUGH", to, **own), edge(frm, "CONNECTED_TO", valve), edge(valve, "CONNECTED_TO", to)
         )).alias("e")
     )
     instrument_edges = anchored.select(
-        F.explode(F.transform("attached_to_line_between", lambda a: edge(F.col("tag"), "HAS_INSTRUMENT", a, nobody))).alias("e")
+        F.explode(F.transform("attached_to_line_between", lambda a: edge(F.col("tag"), "HAS_INSTRUMENT", a))).alias("e")
     )
     zoned = [
-        rows.where("zone is not null").select(edge(F.col("zone"), "CONTAINS", F.col(key), nobody).alias("e"))
+        rows.where("zone is not null").select(edge(F.col("zone"), "CONTAINS", F.col(key)).alias("e"))
         for rows, key in ((equipment, "id"), (valves, "valve_id"), (instruments, "tag"))
     ]
-    edges = reduce(DataFrame.unionByName, [valve_edges, instrument_edges, *zoned]).select("e.*").distinct()
-    return nodes, edges
+    edges = reduce(DataFrame.unionByName, [valve_edges, instrument_edges, *zoned]).select("e.*")
+    # a link written by several drawings keeps what the last one said
+    last = F.max_by(F.struct("confidence", "document_id"), F.struct("received_at", "document_id"))
+    edges = edges.groupBy("src", "rel", "dst", "valve_id").agg(last.alias("v"))
+    return nodes, edges.select("src", "rel", "dst", "valve_id", "v.*")
 
 
 def pid_counts(parsed: DataFrame) -> DataFrame:
@@ -273,23 +279,34 @@ def log_counts(parsed: DataFrame) -> DataFrame:
 
 # ---- compliance graph -------------------------------------------------------
 def merge_compliance_graph(rules: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of rules and ``checks(rule_code, document_id, status, procedure_text)``."""
-    node = lambda label, key: F.struct(F.lit(label).alias("label"), key.alias("id"))
+    """(nodes, edges) of rules and ``checks(rule_code, document_id, status, findings, procedure_text)``.
+
+    Rule nodes carry the rule's fields and check nodes the status and findings of the last check written
+    under their key; ``rules`` and ``checks`` order themselves by ``id``.
+    """
+    empty = {n: F.lit(None).cast("string") for n in ("title", "full_text", "category", "regulation_body", "status", "findings", "document_id")}
+    empty |= {"is_active": F.lit(None).cast("boolean"), "written": F.lit(None).cast("string")}
+
+    def node(label, key, **given):
+        return F.struct(F.lit(label).alias("label"), key.alias("id"), *[c.alias(n) for n, c in (empty | given).items()])
+
     edge = lambda src, rel, dst: F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
     code, body, category = F.col("rule_code"), F.col("regulation_body"), F.col("category")
+    fields = {n: F.col(n) for n in ("title", "full_text", "category", "regulation_body", "is_active")}
     rule_nodes = rules.select(F.explode(F.array(
-        node("ComplianceRule", code), node("RegulationBody", body), node("ComplianceCategory", category))).alias("n"))
+        node("ComplianceRule", code, **fields, written=F.lit("1")), node("RegulationBody", body), node("ComplianceCategory", category))).alias("n"))
     rule_edges = rules.select(F.explode(F.array(
         edge(body, "ISSUES", code), edge(code, "APPLIES_TO_CATEGORY", category))).alias("e"))
     named = F.coalesce(F.nullif("document_id", F.lit("")), F.lit("ad_hoc"))
     made = checks.select(
-        "rule_code", F.coalesce("document_id", F.lit("")).alias("document_id"),
+        "rule_code", F.coalesce("document_id", F.lit("")).alias("document_id"), "status", "findings", F.col("id").alias("written"),
         F.concat_ws(":", "rule_code", named, "status").alias("check_id"), wide_tags(F.col("procedure_text")).alias("tags"),
     )
     check, doc = F.col("check_id"), F.col("document_id")
+    result = {n: F.col(n) for n in ("status", "findings", "document_id", "written")}
     written = F.concat(
-        F.array(node("ComplianceCheck", check), node("ComplianceRule", code)),
-        F.when(doc != "", F.array(node("Document", doc))).otherwise(F.array().cast("array<struct<label:string,id:string>>")),
+        F.array(node("ComplianceCheck", check, **result), node("ComplianceRule", code)),
+        F.when(doc != "", F.array(node("Document", doc))).otherwise(F.array()),
         F.transform("tags", lambda t: node("Equipment", t)),
     )
     linked = F.concat(
@@ -299,7 +316,12 @@ def merge_compliance_graph(rules: DataFrame, checks: DataFrame) -> tuple[DataFra
         F.transform("tags", lambda t: edge(t, "SUBJECT_TO", code)),
         F.transform("tags", lambda t: edge(t, "HAS_COMPLIANCE_CHECK", check)),
     )
-    nodes = rule_nodes.unionByName(made.select(F.explode(written).alias("n"))).select("n.*").distinct()
+    nodes = rule_nodes.unionByName(made.select(F.explode(written).alias("n"))).select("n.*")
+    kept = [n for n in empty if n != "written"]
+    # nodes that only name an end carry no ``written`` and never win over the fields of a rule or check
+    nodes = nodes.groupBy("label", "id").agg(
+        F.max_by(F.struct(*kept), F.coalesce("written", F.lit(""))).alias("v")
+    ).select("label", "id", "v.*")
     edges = rule_edges.unionByName(made.select(F.explode(linked).alias("e"))).select("e.*").distinct()
     return nodes, edges
 
@@ -357,11 +379,12 @@ def upsert_pending(existing: DataFrame, rows: DataFrame) -> DataFrame:
     return existing.join(latest.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def list_pending(pending: DataFrame, most: int = 100) -> DataFrame:
-    """The newest pending rows with their payload parsed; a broken payload reads as empty."""
+def list_pending(pending: DataFrame, most: int | None = 100) -> DataFrame:
+    """The newest pending rows (None: all) with their payload parsed; a broken payload reads as empty."""
     parsed = F.coalesce(F.from_json("payload_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
     waiting = pending.where(F.coalesce("status", F.lit("pending")) == "pending")
-    return waiting.orderBy(F.desc("created_at"), "id").limit(most).withColumn("payload", parsed)
+    listed = waiting if most is None else waiting.orderBy(F.desc("created_at"), "id").limit(most)
+    return listed.withColumn("payload", parsed)
 
 
 PROMOTABLE = ("equipment", "valve", "instrument", "maintenance_event")
@@ -401,7 +424,7 @@ def promoted_graph(promoted: DataFrame, equipment: DataFrame) -> tuple[DataFrame
     nodes = rows.select(
         node_id.alias("id"), label.alias("label"), type_.alias("type"), reviewed.alias("confidence"),
         F.when(kind.isin("valve", "instrument"), p("zone")).alias("zone"), p("source_document_id").alias("source_document_id"),
-        (kind != "equipment").alias("reviewed"),
+        (kind != "equipment").alias("reviewed"), F.when(kind == "maintenance_event", p("Technician_Notes")).alias("notes"),
     )
     events = rows.where(kind == "maintenance_event")
     assets = events.select(p("Asset_ID").alias("id"), F.lit("Equipment").alias("label")).distinct().join(
@@ -415,10 +438,12 @@ def promoted_graph(promoted: DataFrame, equipment: DataFrame) -> tuple[DataFrame
     tied = valves.join(known.withColumnRenamed("id", "frm"), "frm", "left_semi").join(
         known.withColumnRenamed("id", "to"), "to", "left_semi"
     )
-    edge = lambda src, rel, dst: F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+    edge = lambda src, rel, dst, valve=F.lit(None).cast("string"): F.struct(
+        src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), valve.alias("valve_id")
+    )
     frm, to, valve = F.col("frm"), F.col("to"), F.col("valve_id")
     edges = tied.select(
-        F.explode(F.array(edge(frm, "CONNECTED_THROUGH", to), edge(frm, "CONNECTED_TO", valve), edge(valve, "CONNECTED_TO", to))).alias("e")
+        F.explode(F.array(edge(frm, "CONNECTED_THROUGH", to, valve), edge(frm, "CONNECTED_TO", valve), edge(valve, "CONNECTED_TO", to))).alias("e")
     ).unionByName(events.select(edge(p("Asset_ID"), "HAD_EVENT", event_id).alias("e")))
     return all_nodes, edges.select("e.*").distinct()
 

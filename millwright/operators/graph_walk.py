@@ -19,7 +19,10 @@ from millwright.functions.common import unnest
 from millwright.session import cut_lineage
 
 
-def _first_rows(rows: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+def _first_rows(rows: DataFrame, key: list[str], order: list[str], most: int | None) -> DataFrame:
+    """The first rows of every key; all of them if ``most`` is None."""
+    if most is None:
+        return rows
     numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
     return numbered.where(F.col("_n") <= most).drop("_n")
 
@@ -134,31 +137,38 @@ def rag_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, cap: int | Non
 
 
 # ---- context around assets --------------------------------------------------
-def rules_near_assets(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int = 15) -> DataFrame:
-    """Rules within two undirected hops of a question's tags, the first by code.
+def rules_near_assets(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int | None = 15) -> DataFrame:
+    """Rules within two undirected hops of a question's tags, the first by code (all: None).
 
-    Two hops are the seed's neighbours joined to each node's own first rules, so
-    a shared neighbour of many rules hands on no more than the cap.
+    Worked out once per distinct tag and then handed to its questions. Only neighbours
+    with rules of their own are walked over, and each hands on no more than the cap.
     """
     rules = nodes.where("label = 'ComplianceRule'").select(F.col("id").alias("code"))
     links = both_ways(edges).select("src", "dst").distinct()
     adjacent = links.join(rules.withColumnRenamed("code", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("code"))
     first = _first_rows(adjacent, ["src"], ["code"], cap)
-    tags = seeds.select("question_id", "tag").distinct()
-    around = tags.join(links, tags["tag"] == links["src"]).select("question_id", F.col("dst").alias("tag"))
-    reached = tags.unionByName(around)
-    codes = reached.join(first, reached["tag"] == first["src"]).select("question_id", "code").unionByName(
-        tags.join(rules, tags["tag"] == rules["code"]).select("question_id", "code")
+    asked = seeds.select("question_id", "tag").distinct()
+    tags = asked.select("tag").distinct()
+    bridges = links.join(first.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    around = tags.join(bridges, tags["tag"] == bridges["src"]).select("tag", F.col("dst").alias("via"))
+    reached = tags.select("tag", F.col("tag").alias("via")).unionByName(around)
+    of_tag = reached.join(first, reached["via"] == first["src"]).select("tag", "code").unionByName(
+        tags.join(rules, tags["tag"] == rules["code"]).select("tag", "code")
     )
-    return _first_rows(codes.distinct(), ["question_id"], ["code"], cap)
+    of_tag = _first_rows(of_tag.distinct(), ["tag"], ["code"], cap)
+    return _first_rows(asked.join(of_tag, "tag").select("question_id", "code").distinct(), ["question_id"], ["code"], cap)
 
 
 EVENT_LINKS = ("HAD_EVENT", "HAS_COMPLIANCE_CHECK")
 
 
-def events_of_assets(edges: DataFrame, seeds: DataFrame, cap: int = 20) -> DataFrame:
-    """Events and checks tied to a question's tags, the first by tag and id."""
+def events_of_assets(edges: DataFrame, seeds: DataFrame, cap: int | None = 20) -> DataFrame:
+    """Events and checks tied to a question's tags, the first by tag and id (all: None).
+
+    A busy asset is cut to its own first events before questions are joined to it.
+    """
     links = both_ways(edges.where(F.col("rel").isin(*EVENT_LINKS))).select("src", F.col("dst").alias("event_id")).distinct()
+    links = _first_rows(links, ["src"], ["event_id"], cap)
     found = seeds.join(links, seeds["tag"] == links["src"]).select("question_id", F.col("tag").alias("asset_id"), "event_id").distinct()
     return _first_rows(found, ["question_id"], ["asset_id", "event_id"], cap)
 
@@ -167,7 +177,7 @@ def events_of_assets(edges: DataFrame, seeds: DataFrame, cap: int = 20) -> DataF
 RULE_TERM = "[A-Za-z][A-Za-z0-9_-]{2,}"
 
 
-def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int = 15) -> DataFrame:
+def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int | None = 15) -> DataFrame:
     """Rules whose code, title, category, body or text contains a term of the question, the first by code.
 
     Containment is looked up word by word: a term can only lie inside an unbroken
@@ -192,7 +202,7 @@ def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int = 15) -> Da
     return _first_rows(matched, ["question_id"], ["code"], cap)
 
 
-def rule_context(near: DataFrame, matched: DataFrame, cap: int = 15) -> DataFrame:
+def rule_context(near: DataFrame, matched: DataFrame, cap: int | None = 15) -> DataFrame:
     """Rules near a question's assets, then rules its words match, each code once."""
     both = near.select("question_id", "code", F.lit(0).alias("source")).unionByName(
         matched.select("question_id", "code", F.lit(1).alias("source"))

@@ -44,33 +44,33 @@ def list_rules(
     return page(rules, ["rule_code"], offset, limit)
 
 
-def rules_for_check(rules: DataFrame, codes: list[str] | None = None, most: int = 10) -> DataFrame:
-    """The first active rules, by code, that a check runs, with the number left out."""
+def _first(rows: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    return rows if most is None else rows.orderBy(*order).limit(most)
+
+
+def rules_for_check(rules: DataFrame, codes: list[str] | None = None, most: int | None = 10) -> DataFrame:
+    """The first active rules (None: all), by code, that a check runs, with the number left out."""
     active = rules.where("is_active")
     wanted = [c.strip() for c in codes or [] if c.strip()]
     if wanted:
         active = active.where(F.col("rule_code").isin(*wanted))
+    if most is None:
+        return active.withColumn("skipped", F.lit(0).cast("long"))
     skipped = active.agg(F.greatest(F.count("*") - most, F.lit(0).cast("long"))).scalar()
-    return active.orderBy("rule_code").limit(most).withColumn("skipped", skipped)
+    return _first(active, ["rule_code"], most).withColumn("skipped", skipped)
 
 
 def get_rule(rules: DataFrame, code: str) -> DataFrame:
     return rules.where(F.col("rule_code") == code.strip())
 
 
-def incident_counts(edges: DataFrame) -> DataFrame:
-    """Relationships touching each node, parallel ones counted, loops counted twice."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return ends.groupBy("id").agg(F.count("*").alias("degree"))
-
-
-def list_equipment(nodes: DataFrame, edges: DataFrame, equipment_type: str = "", most: int = 500) -> DataFrame:
-    """Equipment nodes by id with the number of relationships on them."""
+def list_equipment(nodes: DataFrame, edges: DataFrame, equipment_type: str = "", most: int | None = 500) -> DataFrame:
+    """Equipment nodes by id (None: all) with the number of relationships on them."""
     chosen = nodes.where("label = 'Equipment'")
     if equipment_type:
         chosen = chosen.where(F.lower(F.coalesce("type", F.lit(""))) == equipment_type.lower())
-    listed = chosen.orderBy("id").limit(most)
-    # Only edges on listed nodes are counted; the list is short whatever the graph.
+    listed = _first(chosen, ["id"], most)
+    # only edges on listed nodes are counted
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     counts = ends.join(listed.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
     return listed.join(counts, "id", "left").select(
@@ -132,24 +132,24 @@ def node_kind(label: Column, node_id: Column) -> Column:
     return kind
 
 
-def node_search(nodes: DataFrame, text: str = "", kind: str = "all", most: int = 90) -> DataFrame:
-    """Nodes whose id, label or attributes contain the text, by id."""
+def node_search(nodes: DataFrame, text: str = "", kind: str = "all", most: int | None = 90) -> DataFrame:
+    """Nodes whose id, label or attributes contain the text, by id (None: all)."""
     body = F.lower(F.concat_ws(" ", "id", "label", F.to_json(F.struct("type", "name", "confidence"))))
     found = nodes.withColumn("kind", node_kind(F.col("label"), F.col("id")))
     if kind != "all":
         found = found.where(F.col("kind") == kind)
     if text.strip():
         found = found.where(F.contains(body, F.lit(text.lower())))
-    return found.orderBy("id").limit(most)
+    return _first(found, ["id"], most)
 
 
-def induced_edges(nodes: DataFrame, edges: DataFrame, most: int = 140) -> DataFrame:
-    """Edges with both ends among the given nodes."""
+def induced_edges(nodes: DataFrame, edges: DataFrame, most: int | None = 140) -> DataFrame:
+    """Edges with both ends among the given nodes (None: all)."""
     seen = nodes.select(F.col("id"))
     inside = edges.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(
         seen.select(F.col("id").alias("dst")), "dst", "left_semi"
     )
-    return inside.orderBy("src", "rel", "dst").limit(most)
+    return _first(inside, ["src", "rel", "dst"], most)
 
 
 def equipment_search(equipment: DataFrame, text: str) -> DataFrame:

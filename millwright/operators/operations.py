@@ -121,16 +121,17 @@ def status_text(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def risk_text(summary: DataFrame) -> DataFrame:
-    """The risk summary row as a chat reply."""
-    return summary.select(
+    """The rows of the risk summary as a chat reply."""
+    rows = lambda part: F.count_if(F.col("part") == part)
+    return summary.agg(
         text_lines(
             "Risk Summary",
             [
-                ("Overall", F.col("overall_risk_level")),
-                ("Failure clusters", F.size("failure_clusters")),
-                ("Overdue inspections", F.col("overdue_inspections_count")),
-                ("Critical overdue", F.col("critical_overdue_count")),
-                ("Co-occurrence patterns", F.size("cooccurrence_patterns")),
+                ("Overall", F.max("overall_risk_level")),
+                ("Failure clusters", rows("cluster")),
+                ("Overdue inspections", F.max("overdue_inspections_count")),
+                ("Critical overdue", rows("critical_overdue")),
+                ("Co-occurrence patterns", rows("pair")),
             ],
         ).alias("text")
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwright.functions.common import MICROS_PER_DAY, contains_any, exact_round, flag_sum, micros, whole_days
-from millwright.session import deal
+from millwright.session import cut_lineage, deal
 
 # Fixed values.
 FAILURE_SEVERITIES = ("major", "critical")
@@ -35,9 +38,12 @@ def failure_records(inspections: DataFrame) -> DataFrame:
 
 def failure_clusters(inspections: DataFrame, min_occurrences: int = 2) -> DataFrame:
     """Assets with repeated failures, one aggregation with map-side combine."""
+    return _clusters_of(failure_records(inspections), min_occurrences)
+
+
+def _clusters_of(failures: DataFrame, min_occurrences: int = 2) -> DataFrame:
     grouped = (
-        failure_records(inspections)
-        .groupBy("equipment_tag")
+        failures.groupBy("equipment_tag")
         .agg(
             F.count("*").alias("occurrence_count"),
             F.count_if(F.col("severity") == "major").alias("major_count"),
@@ -166,8 +172,7 @@ def _cells(records: DataFrame, side: str, rows_per_cell: int) -> tuple[DataFrame
         "slab", F.col("tag").alias(f"{side}_tag"), F.col("us").alias(f"{side}_us"), cell.alias(f"{side}_cell")
     )
     pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda i: F.struct(F.col("part"), i.alias("piece")))
-    listed = sizes.groupBy("slab").agg(F.flatten(F.collect_list(pieces)).alias(f"{side}_cells"))
-    return placed, listed
+    return placed, sizes.select("slab", F.explode(pieces).alias(f"{side}_cell"))
 
 
 def cooccurrence_pairs(inspections: DataFrame, window_days: int = 30, rows_per_cell: int = 8192) -> DataFrame:
@@ -178,18 +183,22 @@ def cooccurrence_pairs(inspections: DataFrame, window_days: int = 30, rows_per_c
     both sides of a slab are dealt into cells of bounded size, whatever the share
     of one tag, and only per-pair sums are shuffled, never pairs of records.
     """
+    return cooccurrence_of(failure_records(inspections), window_days, rows_per_cell)
+
+
+def cooccurrence_of(failures: DataFrame, window_days: int = 30, rows_per_cell: int = 8192) -> DataFrame:
     slab_us = (window_days + 1) * MICROS_PER_DAY
-    records = failure_records(inspections).select(
+    records = failures.select(
         F.col("equipment_tag").alias("tag"), micros("inspection_date").alias("us"), F.xxhash64("id").alias("salt")
     )
     slab = F.floor(F.col("us") / F.lit(slab_us)).cast("long")
     early, early_cells = _cells(records.withColumn("slab", slab), "early", rows_per_cell)
     late, late_cells = _cells(records.withColumn("slab", F.explode(F.array(slab, slab - 1))), "late", rows_per_cell)
     key = ["slab", "early_cell", "late_cell"]
-    met_early = early.join(late_cells, "slab").withColumn("late_cell", F.explode("late_cells")).select(
+    met_early = early.join(late_cells, "slab").select(
         *[F.col(c).alias(f"e_{c}") for c in key], "early_tag", "early_us"
     )
-    met_late = late.join(early_cells, "slab").withColumn("early_cell", F.explode("early_cells")).select(
+    met_late = late.join(early_cells, "slab").select(
         *[F.col(c).alias(f"l_{c}") for c in key], "late_tag", "late_us"
     )
     early_key, late_key = [f"e_{c}" for c in key], [f"l_{c}" for c in key]
@@ -210,28 +219,30 @@ def cooccurrence_pairs(inspections: DataFrame, window_days: int = 30, rows_per_c
 
 
 def failure_cooccurrence(inspections: DataFrame, window_days: int = 30, top: int = 10) -> DataFrame:
-    return (
-        cooccurrence_pairs(inspections, window_days)
-        .orderBy(F.desc("co_occurrence_count"), "tag_a", "tag_b")
-        .limit(top)
-    )
+    return _top_pairs(cooccurrence_pairs(inspections, window_days), top)
+
+
+def _top_pairs(pairs: DataFrame, top: int) -> DataFrame:
+    return pairs.orderBy(F.desc("co_occurrence_count"), "tag_a", "tag_b").limit(top)
 
 
 def overall_risk(clusters: DataFrame, overdue: DataFrame) -> DataFrame:
-    """One row: the plant's risk level from clusters and overdue assets."""
+    """One row: the plant's risk level from clusters and overdue assets, and how many are overdue."""
     signals = clusters.select(F.col("risk_score"), F.lit(None).cast("long").alias("days")).unionByName(
         overdue.select(F.lit(None).cast("double").alias("risk_score"), F.col("days_since_last_inspection").alias("days"))
     )
     totals = signals.agg(
         F.coalesce(F.max(F.col("risk_score") > 10), F.lit(False)).alias("risky"),
         F.coalesce(F.max("days"), F.lit(0)).alias("longest"),
+        F.count("days").alias("overdue_inspections_count"),
     )
     return totals.select(
         F.when((F.col("longest") > 365) & F.col("risky"), "Critical")
         .when(F.col("longest") > 365, "High")
         .when(F.col("longest") > 180, "Medium")
         .otherwise("Low")
-        .alias("overall_risk_level")
+        .alias("overall_risk_level"),
+        "overdue_inspections_count",
     )
 
 
@@ -244,57 +255,35 @@ def _high_overdue(inspections: DataFrame, equipment: DataFrame, as_of: Column) -
 
 
 def risk_summary(inspections: DataFrame, equipment: DataFrame, as_of: Column) -> DataFrame:
-    """One summary row: top clusters, overdue figures, top pairs, overall level.
+    """The summary as rows (part, rank, fields): 'level' (risk level and number of overdue assets), the top
+    five 'cluster' rows, the top three 'pair' rows, and a 'critical_overdue' row for every high-risk overdue asset.
 
-    The high-risk overdue list can grow with the register, so the row carries its
-    size; the list itself is ``overdue_inspections(..., risk_level="high")``.
+    Rows, not lists: overdue assets grow with the register. Fields of other parts are null.
     """
-    clusters = failure_clusters(inspections)
-    overdue = overdue_inspections(inspections, equipment, as_of)
-    overdue_counts = overdue.agg(
-        F.count("*").alias("n"), F.count_if(F.col("risk_level") == "high").alias("high")
-    )
-    facts = (
-        _top_clusters(inspections, 5)
-        .select(F.lit("cluster").alias("part"), F.col("equipment_tag").alias("label"), F.col("risk_score").alias("figure"))
-        .unionByName(
-            failure_cooccurrence(inspections, top=3).select(
-                F.lit("pair").alias("part"),
-                F.concat_ws(" & ", "tag_a", "tag_b").alias("label"),
-                F.col("co_occurrence_count").cast("double").alias("figure"),
-            )
-        )
-        .unionByName(
-            overdue_counts.select(
-                F.explode(
-                    F.array(
-                        F.struct(F.lit("overdue").alias("part"), F.lit("").alias("label"), F.col("n").cast("double").alias("figure")),
-                        F.struct(F.lit("high").alias("part"), F.lit("").alias("label"), F.col("high").cast("double").alias("figure")),
-                    )
-                ).alias("f")
-            ).select("f.*")
-        )
-        .unionByName(
-            overall_risk(clusters, overdue).select(
-                F.lit("level").alias("part"), F.col("overall_risk_level").alias("label"), F.lit(0.0).alias("figure")
-            )
-        )
-    )
-
-    def ranked(part: str) -> Column:
-        keyed = F.collect_list(F.when(F.col("part") == part, F.struct((-F.col("figure")).alias("k"), "label")))
-        return F.transform(F.array_sort(keyed), lambda x: x["label"])
-
-    def figure(part: str) -> Column:
-        return F.max(F.when(F.col("part") == part, F.col("figure"))).cast("long")
-
-    return facts.agg(
-        ranked("cluster").alias("failure_clusters"),
-        figure("overdue").alias("overdue_inspections_count"),
-        figure("high").alias("critical_overdue_count"),
-        ranked("pair").alias("cooccurrence_patterns"),
-        F.max(F.when(F.col("part") == "level", F.col("label"))).alias("overall_risk_level"),
-    )
+    failures = cut_lineage(failure_records(inspections))
+    clusters = cut_lineage(_clusters_of(failures))
+    overdue = cut_lineage(overdue_inspections(inspections, equipment, as_of))
+    pairs = _top_pairs(cooccurrence_of(failures), 3)
+    level = overall_risk(clusters, overdue).withColumn("part", F.lit("level"))
+    top = clusters.orderBy(F.desc("risk_score"), "equipment_tag").limit(5).withColumn("part", F.lit("cluster"))
+    order = W.orderBy(F.desc("risk_score"), "equipment_tag")
+    parts = [
+        level.withColumn("rank", F.lit(1)),
+        top.withColumn("rank", F.row_number().over(order)),
+        pairs.withColumn("part", F.lit("pair")).withColumn(
+            "rank", F.row_number().over(W.orderBy(F.desc("co_occurrence_count"), "tag_a", "tag_b"))
+        ),
+        overdue.where("risk_level = 'high'").withColumn("part", F.lit("critical_overdue")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+# What each kind of warning recommends.
+ADVICE = {
+    "cluster": "Review the latest SOP, verify open corrective actions, and brief the next operating shift.",
+    "overdue": "Schedule inspection or require supervisor acknowledgement before relying on this asset history.",
+    "drift": "Force a trust-gated answer and verify the current approved isolation procedure before execution.",
+}
 
 
 def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
@@ -312,6 +301,7 @@ def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: Data
             F.col("risk_score").cast("string"),
         ).alias("trigger"),
         F.lit("Repeated high-severity findings detected in inspection history.").alias("evidence"),
+        F.lit(ADVICE["cluster"]).alias("recommended_action"),
         F.lit("incident_reports + inspection_history").alias("source_type"),
     )
     overdue = (
@@ -328,6 +318,7 @@ def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: Data
                 F.lit("Inspection is overdue by "), F.col("overdue_by_days").cast("string"),
                 F.lit(" days against the active review threshold."),
             ).alias("evidence"),
+            F.lit(ADVICE["overdue"]).alias("recommended_action"),
             F.lit("qms_review_cycle").alias("source_type"),
         )
     )
@@ -355,6 +346,7 @@ def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: Data
             F.lit("Isolation procedure drift detected").alias("title"),
             F.lit("LOTO / isolation language appeared in high-risk maintenance evidence.").alias("trigger"),
             "evidence",
+            F.lit(ADVICE["drift"]).alias("recommended_action"),
             F.lit("near_miss + compliance_gap").alias("source_type"),
             "related_assets",
         )

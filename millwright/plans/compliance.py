@@ -39,32 +39,50 @@ def chunks(t):
     return ch.document_chunks(docs)
 
 
-@query(
-    "compliance_work",
-    """select e.document_id, r.rule_code, r.id as rule_id, md5(e.procedure_text) as digest, length(e.procedure_text) as n
+_WORK = """select e.document_id, r.rule_code, r.id as rule_id, md5(e.procedure_text) as digest, length(e.procedure_text) as n
        from (select * from x_evidence where document_id in (select id from v_documents where status = 'completed')) e,
-            (select * from v_rules where is_active order by rule_code limit 10) r""",
-)
-def _(t):
+            (select * from v_rules where is_active {most}) r"""
+
+
+def _work(t, most):
     evidence = cp.document_evidence(chunks(t), cp.CHECK_QUERY, 10, "\n\n")
-    return cp.compliance_work(evidence, t.rules).select(
+    return cp.compliance_work(evidence, t.rules, most).select(
         "document_id", "rule_code", "rule_id", F.md5(F.col("procedure_text").cast("binary")).alias("digest"),
         F.length("procedure_text").cast("long").alias("n"),
     )
 
 
-@query(
-    "compliance_scan",
-    """select e.document_id, r.rule_code, md5(e.procedure_text) as digest
-       from (select * from x_scan_evidence where document_id in (select id from v_documents where status = 'completed' order by id limit 5)) e,
-            (select * from v_rules where is_active order by rule_code limit 3) r""",
-)
+@query("compliance_work", _WORK.format(most="order by rule_code limit 10"))
+def _(t):
+    return _work(t, 10)
+
+
+@query("compliance_work_all", _WORK.format(most=""))
 def _(t):
-    return cp.compliance_scan(t.documents, chunks(t), t.rules).select(
+    return _work(t, None)
+
+
+_SCAN = """select e.document_id, r.rule_code, md5(e.procedure_text) as digest
+       from (select * from x_scan_evidence where document_id in (select id from v_documents where status = 'completed' {documents})) e,
+            (select * from v_rules where is_active {rules}) r"""
+
+
+def _scan(t, *most):
+    return cp.compliance_scan(t.documents, chunks(t), t.rules, *most).select(
         "document_id", "rule_code", F.md5(F.col("procedure_text").cast("binary")).alias("digest")
     )
 
 
+@query("compliance_scan", _SCAN.format(documents="order by id limit 5", rules="order by rule_code limit 3"))
+def _(t):
+    return _scan(t, 5, 3)
+
+
+@query("compliance_scan_all", _SCAN.format(documents="", rules=""))
+def _(t):
+    return _scan(t, None, None)
+
+
 _STATUS = duck_field("STATUS", "INSUFFICIENT_INFORMATION")
 _FINDINGS = duck_strip(f"({duck_field('FINDINGS', '')} || chr(10) || chr(10) || 'RECOMMENDATION: ' || {duck_field('RECOMMENDATION', '')})")
 

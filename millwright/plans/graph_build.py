@@ -159,11 +159,13 @@ def _(t):
 @query(
     "merge_pid_edges",
     """with x_tied as (select * from x_pid_valves where confidence <> 'low' and not low_doc and frm in (select id from x_pid_known) and target in (select id from x_pid_known))
-       select distinct * from (
-         select frm as src, 'CONNECTED_THROUGH' as rel, target as dst, id as valve_id from x_tied
-         union all select frm, 'CONNECTED_TO', id, null from x_tied union all select id, 'CONNECTED_TO', target, null from x_tied
-         union all select id, 'HAS_INSTRUMENT', unnest(anchors), null from x_pid_anchored
-         union all select zone, 'CONTAINS', id, null from x_pid_written where zone is not null)""",
+       select frm as src, 'CONNECTED_THROUGH' as rel, target as dst, id as valve_id,
+              arg_max(confidence, (received_at, document_id)) as confidence, arg_max(document_id, (received_at, document_id)) as document_id
+         from x_tied group by all
+       union all select distinct *, null, null, null from (
+         select frm, 'CONNECTED_TO', id from x_tied union all select id, 'CONNECTED_TO', target from x_tied
+         union all select id, 'HAS_INSTRUMENT', unnest(anchors) from x_pid_anchored
+         union all select zone, 'CONTAINS', id from x_pid_written where zone is not null)""",
 )
 def _(t):
     return gb.merge_pid(pid(t), t.known_equipment)[1]
@@ -234,7 +236,7 @@ def _(t):
 
 CHECK_FRAGMENTS.update(
     x_rule_checks="""
-        select r.rule_code, case when c.status = 'PARTIAL' then null else c.document_id end as document_id, c.status,
+        select c.id, c.findings, r.rule_code, case when c.status = 'PARTIAL' then null else c.document_id end as document_id, c.status,
                c.findings || ' on P-' || right('00' || c.id, 3) || ' and tk-' || right(c.id, 2) as procedure_text
         from v_checks c join v_rules r on r.id = c.rule_id""",
     x_made_checks=f"""
@@ -245,16 +247,18 @@ CHECK_FRAGMENTS.update(
 def rule_checks(t):
     named = t.checks.join(t.rules.select(F.col("id").alias("rule_id"), "rule_code"), "rule_id")
     return named.select(
-        "rule_code", F.when(F.col("status") == "PARTIAL", None).otherwise(F.col("document_id")).alias("document_id"), "status",
+        "id", "findings", "rule_code", F.when(F.col("status") == "PARTIAL", None).otherwise(F.col("document_id")).alias("document_id"), "status",
         F.concat("findings", F.lit(" on P-"), F.right(F.concat(F.lit("00"), "id"), F.lit(3)), F.lit(" and tk-"), F.right("id", F.lit(2))).alias("procedure_text"),
     )
 
 
 @query(
     "merge_compliance_nodes",
-    """select distinct * from (
-         select 'ComplianceRule' as label, rule_code as id from v_rules union all select 'RegulationBody', regulation_body from v_rules
-         union all select 'ComplianceCategory', category from v_rules union all select 'ComplianceCheck', check_id from x_made_checks
+    """select 'ComplianceRule' as label, rule_code as id, title, full_text, category, regulation_body, is_active, null as status, null as findings, null as document_id from v_rules
+       union all by name select 'ComplianceCheck' as label, check_id as id, arg_max(status, id) as status, arg_max(findings, id) as findings,
+              coalesce(arg_max(coalesce(document_id, ''), id), '') as document_id from x_made_checks group by check_id
+       union all by name select distinct label, id from (
+         select 'RegulationBody' as label, regulation_body as id from v_rules union all select 'ComplianceCategory', category from v_rules
          union all select 'Document', document_id from x_made_checks where document_id is not null
          union all select 'Equipment', unnest(tags) from x_made_checks)""",
 )
@@ -369,9 +373,10 @@ CHECK_FRAGMENTS.update(
                case entity_type when 'equipment' then json_extract_string(payload_json, '$.type') when 'valve' then 'globe' end as type,
                case entity_type when 'equipment' then null when 'instrument' then 'high' else coalesce(json_extract_string(payload_json, '$.confidence'), 'reviewed') end as confidence,
                case entity_type when 'instrument' then 'Z-0' when 'valve' then json_extract_string(payload_json, '$.zone') end as zone,
-               json_extract_string(payload_json, '$.source_document_id') as source_document_id, entity_type <> 'equipment' as reviewed
+               json_extract_string(payload_json, '$.source_document_id') as source_document_id, entity_type <> 'equipment' as reviewed,
+               case when entity_type = 'maintenance_event' then json_extract_string(payload_json, '$.Technician_Notes') end as notes
         from x_promoted where outcome = 'promoted'
-        union all select distinct asset_id, 'Equipment', null, null, null, null, cast(null as boolean) from x_promoted
+        union all select distinct asset_id, 'Equipment', null, null, null, null, cast(null as boolean), null from x_promoted
          where entity_type = 'maintenance_event' and asset_id not in (select tag from v_equipment)""",
     x_promoted_known="select tag as id from v_equipment union select id from x_promoted_nodes where label = 'Equipment'",
 )
@@ -391,9 +396,9 @@ def _(t):
     "promoted_edges",
     """with x_tied as (select * from x_promoted where entity_type = 'valve' and frm in (select id from x_promoted_known) and target in (select id from x_promoted_known))
        select distinct * from (
-         select frm as src, 'CONNECTED_THROUGH' as rel, target as dst from x_tied union all select frm, 'CONNECTED_TO', valve_id from x_tied
-         union all select valve_id, 'CONNECTED_TO', target from x_tied
-         union all select asset_id, 'HAD_EVENT', event_id from x_promoted where entity_type = 'maintenance_event')""",
+         select frm as src, 'CONNECTED_THROUGH' as rel, target as dst, valve_id from x_tied union all select frm, 'CONNECTED_TO', valve_id, null from x_tied
+         union all select valve_id, 'CONNECTED_TO', target, null from x_tied
+         union all select asset_id, 'HAD_EVENT', event_id, null from x_promoted where entity_type = 'maintenance_event')""",
 )
 def _(t):
     return gb.promoted_graph(promoted(t), t.equipment.select(F.col("tag").alias("id")))[1]

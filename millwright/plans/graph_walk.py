@@ -39,6 +39,11 @@ def _(t):
     return gw.neighbors_bfs(t.nodes, t.edges, starts(t), depth=3)
 
 
+@query("neighbors_bfs_all", "select start, src, dst as tag, rel as relationship, depth from x_walk")
+def _(t):
+    return gw.neighbors_bfs(t.nodes, cut_lineage(t.edges), starts(t), depth=3, cap=None)
+
+
 @query(
     "neighbors_bfs_capped",
     """select start, src, dst as tag, rel as relationship, depth from (
@@ -48,11 +53,22 @@ def _(t):
     return gw.neighbors_bfs(t.nodes, t.edges, starts(t), depth=3, cap=6, relationship="part_of")
 
 
+_PATHS = """with x_p1 as (select start, dst as tag, rel, 1 as depth, start || '>' || dst as path, [dst, rel] as s from x_level1),
+            x_p2 as (select p.start, e.dst as tag, e.rel, 2 as depth, p.path || '>' || e.dst as path, list_concat(s, [e.dst, e.rel]) as s from x_p1 p join v_edges e on e.src = p.tag),
+            x_p3 as (select p.start, e.dst as tag, e.rel, 3 as depth, p.path || '>' || e.dst as path, list_concat(s, [e.dst, e.rel]) as s from x_p2 p join v_edges e on e.src = p.tag)"""
+
+
+@query(
+    "neighbors_paths_all",
+    _PATHS + " select start, tag, rel as relationship, depth, path from (select * from x_p1 union all select * from x_p2 union all select * from x_p3)",
+)
+def _(t):
+    return gw.neighbors_paths(cut_lineage(t.edges), starts(t), depth=3, cap=None)
+
+
 @query(
     "neighbors_paths",
-    """with x_p1 as (select start, dst as tag, rel, 1 as depth, start || '>' || dst as path, [dst, rel] as s from x_level1),
-            x_p2 as (select p.start, e.dst as tag, e.rel, 2 as depth, p.path || '>' || e.dst as path, list_concat(s, [e.dst, e.rel]) as s from x_p1 p join v_edges e on e.src = p.tag),
-            x_p3 as (select p.start, e.dst as tag, e.rel, 3 as depth, p.path || '>' || e.dst as path, list_concat(s, [e.dst, e.rel]) as s from x_p2 p join v_edges e on e.src = p.tag)
+    _PATHS + """
        select start, tag, rel as relationship, depth, path from (
          select *, row_number() over (partition by start order by depth, s) as r from (select * from x_p1 union all select * from x_p2 union all select * from x_p3)) where r <= 100""",
 )
@@ -64,12 +80,20 @@ def seeds(t):
     return t.questions.select("question_id", F.explode(tx.wide_tags(F.col("question"))).alias("tag"))
 
 
-@query(
-    "rag_paths",
-    """with x_w1 as (select question_id, tag as origin, l.dst as node, 1 as depth, tag || ' -[:' || l.rel || ']- ' || l.dst as path, [tag, '', l.dst, l.rel] as s, [l.edge_id] as used
+_WALKS = """with x_w1 as (select question_id, tag as origin, l.dst as node, 1 as depth, tag || ' -[:' || l.rel || ']- ' || l.dst as path, [tag, '', l.dst, l.rel] as s, [l.edge_id] as used
                      from x_question_seeds q join x_links l on l.src = q.tag),
             x_w2 as (select w.question_id, w.origin, l.dst as node, 2 as depth, w.path || ' -[:' || l.rel || ']- ' || l.dst as path, list_concat(s, [l.dst, l.rel]) as s, list_concat(used, [l.edge_id]) as used
-                     from x_w1 w join x_links l on l.src = w.node and not list_contains(w.used, l.edge_id))
+                     from x_w1 w join x_links l on l.src = w.node and not list_contains(w.used, l.edge_id))"""
+
+
+@query("rag_paths_all", _WALKS + " select question_id, depth, path from (select * from x_w1 union all select * from x_w2)")
+def _(t):
+    return gw.rag_paths(t.rule_edges, seeds(t), cap=None).select("question_id", "depth", "path")
+
+
+@query(
+    "rag_paths",
+    _WALKS + """
        select question_id, depth, path from (
          select *, row_number() over (partition by question_id order by depth, s, used) as r from (select * from x_w1 union all select * from x_w2)) where r <= 30""",
 )
@@ -84,17 +108,44 @@ CHECK_FRAGMENTS.update(
         select q.question_id, a.code from x_question_seeds q join x_rule_adj a on a.src = q.tag
         union select q.question_id, a.code from x_question_seeds q join x_links l on l.src = q.tag join x_rule_adj a on a.src = l.dst
         union select q.question_id, q.tag from x_question_seeds q where q.tag in (select id from x_rule_ids)""",
+    x_events_all="""
+        select distinct q.question_id, q.tag as asset_id, l.dst as event_id from x_question_seeds q join x_links l on l.src = q.tag
+        where l.rel in ('HAD_EVENT', 'HAS_COMPLIANCE_CHECK')""",
     x_near="select question_id, code from (select *, row_number() over (partition by question_id order by code) as r from x_near_all) where r <= 15",
     x_question_terms="select distinct question_id, unnest(list_transform(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_-]{2,}'), lambda x: upper(x))) as term from v_questions",
     x_rule_texts="select rule_code, upper(rule_code || ' ' || title || ' ' || category || ' ' || regulation_body || ' ' || full_text) as body from v_rules",
     x_term_rules="select term, rule_code from (select distinct term from x_question_terms) join x_rule_texts on contains(body, term)",
+    x_matched_all="select distinct question_id, rule_code as code from x_question_terms join x_term_rules using (term)",
     x_matched="""
         select question_id, code from (
-          select *, row_number() over (partition by question_id order by code) as r from (
-            select distinct question_id, rule_code as code from x_question_terms join x_term_rules using (term))) where r <= 15""",
+          select *, row_number() over (partition by question_id order by code) as r from x_matched_all) where r <= 15""",
 )
 
 
+@query("rules_near_assets_all", "select question_id, code from x_near_all")
+def _(t):
+    return gw.rules_near_assets(t.rule_nodes, t.rule_edges, seeds(t), None)
+
+
+@query("events_of_assets_all", "select question_id, asset_id, event_id from x_events_all")
+def _(t):
+    return gw.events_of_assets(t.rule_edges, seeds(t), None)
+
+
+@query("rule_text_match_all", "select question_id, code from x_matched_all")
+def _(t):
+    return gw.rule_text_match(t.rules, t.questions, None)
+
+
+@query(
+    "rule_context_all",
+    "select question_id, code, min(source) as source from (select *, 0 as source from x_near_all union all select *, 1 from x_matched_all) group by 1, 2",
+)
+def _(t):
+    near = gw.rules_near_assets(t.rule_nodes, t.rule_edges, seeds(t), None)
+    return gw.rule_context(near, gw.rule_text_match(t.rules, t.questions, None), None)
+
+
 @query("rules_near_assets", "select * from x_near")
 def _(t):
     return gw.rules_near_assets(t.rule_nodes, t.rule_edges, seeds(t))
@@ -103,9 +154,7 @@ def _(t):
 @query(
     "events_of_assets",
     """select question_id, asset_id, event_id from (
-         select *, row_number() over (partition by question_id order by asset_id, event_id) as r from (
-           select distinct q.question_id, q.tag as asset_id, l.dst as event_id from x_question_seeds q join x_links l on l.src = q.tag
-           where l.rel in ('HAD_EVENT', 'HAS_COMPLIANCE_CHECK'))) where r <= 20""",
+         select *, row_number() over (partition by question_id order by asset_id, event_id) as r from x_events_all) where r <= 20""",
 )
 def _(t):
     return gw.events_of_assets(t.rule_edges, seeds(t))

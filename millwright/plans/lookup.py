@@ -71,6 +71,11 @@ def _(t):
     return every.unionByName(named.select(F.lit("named").alias("request"), "rule_code", "skipped"))
 
 
+@query("rules_for_check_all", "select rule_code, 0::bigint as skipped from v_rules where is_active")
+def _(t):
+    return lk.rules_for_check(t.rules, most=None).select("rule_code", "skipped")
+
+
 @query("get_rule", "select id, rule_code, regulation_body, title, full_text, category, is_active, created_at from v_rules where rule_code = 'PESO-101'")
 def _(t):
     return lk.get_rule(t.rules, " PESO-101 ")
@@ -86,6 +91,16 @@ def _(t):
     return lk.list_equipment(t.nodes, t.edges, "O")
 
 
+@query(
+    "list_equipment_all",
+    """select n.id as tag, n.name, n.type as equipment_type, coalesce(d.n, 0) as neighbor_count
+       from v_nodes n left join (select id, count(*) as n from (select src as id from v_edges union all select dst from v_edges) group by 1) d on d.id = n.id
+       where n.label = 'Equipment'""",
+)
+def _(t):
+    return lk.list_equipment(t.nodes, t.edges, most=None)
+
+
 @query(
     "equipment_detail",
     """select a.id as tag, a.name, a.type as equipment_type, x.rel as relationship, x.dst as neighbor_tag, x.label as neighbor_label, x.nname as neighbor_name
@@ -154,6 +169,20 @@ def _(t):
     )
 
 
+@query(
+    "node_search_all",
+    f"""with x_shown as (select id, label from v_nodes where contains(lower(id || ' ' || label || ' ' || {DUCK_NODE_JSON}), 'nation'))
+        select 'node' as part, id as a, label as rel, '' as b from x_shown
+        union all select 'edge', src, rel, dst from v_edges where src in (select id from x_shown) and dst in (select id from x_shown)""",
+)
+def _(t):
+    found = lk.node_search(t.nodes, "Nation", most=None)
+    edges = lk.induced_edges(found, t.edges, None)
+    return found.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("label").alias("rel"), F.lit("").alias("b")).unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), "rel", F.col("dst").alias("b"))
+    )
+
+
 @query(
     "node_kind",
     """select id, case label when 'Valve' then 'Valve' when 'Instrument' then 'Instrument' when 'Zone' then 'Zone' else 'Equipment' end as kind from v_nodes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millwright.operators import operations as op
@@ -53,9 +55,42 @@ def _(t):
     return stores.table_counts({**six_tables(t, True), "graph_nodes": t.nodes, "graph_edges": t.edges})
 
 
-@query("export_tables_json", _COUNTS.format(where=""))
+# The columns each exported table has, in order.
+_EXPORTED = {
+    "documents": ("v_documents", "id doc_key filename original_filename file_type file_size_bytes status total_chunks error_message "
+                  "uploaded_at processed_at lang text"),
+    "equipment": ("v_equipment", "id tag name equipment_type location description source_document_id created_at"),
+    "inspections": ("v_inspections", "id equipment_tag inspection_date inspector_name inspection_type findings severity "
+                    "source_document_id created_at"),
+    "compliance_rules": ("v_rules", "id rule_code regulation_body title full_text category is_active created_at"),
+    "compliance_checks": ("v_checks", "id rule_id document_id status findings checked_at"),
+    "query_logs": ("v_query_logs", "id question language answer sources confidence response_time_ms channel session_id helpful "
+                   "feedback_comment created_at"),
+}
+
+
+def _exported(column: str) -> str:
+    if not column.endswith(("_at", "_date")):
+        return column
+    return (f"strftime({column}, '%Y-%m-%dT%H:%M:%S') || case when epoch_us({column}) % 1000000 = 0 then '' "
+            f"else '.' || strftime({column}, '%f') end")
+
+
+def _export_sql() -> str:
+    """Per table the md5 of every exported line."""
+    return " union all ".join(
+        f"select '{name}' as table_name, md5(json_object({', '.join(f"'{c}', {_exported(c)}" for c in columns.split())})::varchar) as digest from {view}"
+        for name, (view, columns) in _EXPORTED.items()
+    )
+
+
+@query("export_tables_json", _export_sql())
 def _(t):
-    return stores.table_counts({name: stores.rows_as_json(df) for name, df in six_tables(t, False).items()})
+    parts = [
+        stores.rows_as_json(df).select(F.lit(name).alias("table_name"), F.md5(F.col("value").cast("binary")).alias("digest"))
+        for name, df in six_tables(t, False).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(

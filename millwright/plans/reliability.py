@@ -68,23 +68,25 @@ CHECK_FRAGMENTS.update(
                'Recurring failure pattern on ' || equipment_tag as title,
                occurrence_count || ' major/critical records; risk score ' || risk_score as "trigger",
                'Repeated high-severity findings detected in inspection history.' as evidence,
+               '""" + rel.ADVICE["cluster"] + """' as recommended_action,
                'incident_reports + inspection_history' as source_type
           from x_top_clusters
         union all
         select 'overdue-' || equipment_tag, equipment_tag, 'high', 'Inspection review overdue for ' || equipment_tag,
                days_since_last_inspection || ' days since last inspection',
                'Inspection is overdue by ' || overdue_by_days || ' days against the active review threshold.',
+               '""" + rel.ADVICE["overdue"] + """',
                'qms_review_cycle'
           from x_top_high""",
     x_linked_warnings="""
-        select w.id, w.severity, w.title, w."trigger", w.evidence, w.source_type,
+        select w.id, w.severity, w.title, w."trigger", w.evidence, w.recommended_action, w.source_type,
                list_concat([w.tag], coalesce((select list(distinct related_tag order by related_tag)
                                               from v_asset_links k where k.tag = w.tag and related_tag <> w.tag), [])) as related
           from x_warnings w
         union all
         select 'procedure-drift-loto', 'critical', 'Isolation procedure drift detected',
                'LOTO / isolation language appeared in high-risk maintenance evidence.',
-               (select findings from x_loto order by created_at, id limit 1), 'near_miss + compliance_gap',
+               (select findings from x_loto order by created_at, id limit 1), '""" + rel.ADVICE["drift"] + """', 'near_miss + compliance_gap',
                (select list(t order by t) from (select distinct equipment_tag as t from x_loto order by t limit 6))
          where exists (select 1 from x_loto)""",
 )
@@ -133,30 +135,24 @@ def _(t):
 def _(t):
     return rel.overall_risk(
         rel.failure_clusters(t.inspections), rel.overdue_inspections(t.inspections, t.equipment, as_of())
-    )
+    ).select("overall_risk_level")
 
 
 @query(
     "risk_summary",
-    """select (select string_agg(equipment_tag, '|' order by risk_score desc, equipment_tag)
-               from (select * from x_clusters order by risk_score desc, equipment_tag limit 5)) as failure_clusters,
-              (select count(*) from x_overdue) as overdue_inspections_count,
-              (select count(*) from x_high_overdue) as critical_overdue_count,
-              (select string_agg(tag_a || ' & ' || tag_b, '|' order by co_occurrence_count desc, tag_a, tag_b) from x_top_pairs) as cooccurrence_patterns,
-              overall_risk_level
-       from x_level""",
+    """select 'level' as part, 1 as rank, overall_risk_level, (select count(*) from x_overdue) as overdue_inspections_count from x_level
+       union all by name select 'cluster' as part, row_number() over (order by risk_score desc, equipment_tag)::int as rank, *
+         from (select * from x_clusters order by risk_score desc, equipment_tag limit 5)
+       union all by name select 'pair' as part, row_number() over (order by co_occurrence_count desc, tag_a, tag_b)::int as rank, * from x_top_pairs
+       union all by name select 'critical_overdue' as part, * from x_high_overdue""",
 )
 def _(t):
-    return (
-        rel.risk_summary(t.inspections, t.equipment, as_of())
-        .withColumn("failure_clusters", join_lines(F.col("failure_clusters")))
-        .withColumn("cooccurrence_patterns", join_lines(F.col("cooccurrence_patterns")))
-    )
+    return rel.risk_summary(t.inspections, t.equipment, as_of())
 
 
 @query(
     "proactive_warnings",
-    """select id, severity, title, "trigger", evidence, source_type, array_to_string(related, '|') as related_assets
+    """select id, severity, title, "trigger", evidence, recommended_action, source_type, array_to_string(related, '|') as related_assets
        from x_linked_warnings""",
 )
 def _(t):

@@ -130,17 +130,28 @@ def _(t):
     )
 
 
+_EXPORT_GRAPH = """with x_picked as ({picked})
+       select 'node' as part, json_object('id', id, 'label', label, 'type', type, 'name', name, 'confidence', confidence)::varchar as value from x_picked
+       union all select 'edge', json_object('src', src, 'rel', rel, 'dst', dst)::varchar
+         from (select distinct src, rel, dst from v_edges where src in (select id from x_picked))"""
+
+
+def _exported_graph(nodes, edges):
+    lines = lambda part, rows: stores.rows_as_json(rows).select(F.lit(part).alias("part"), "value")
+    return lines("node", nodes).unionByName(lines("edge", edges.select("src", "rel", "dst")))
+
+
 @query(
     "export_graph",
-    """with x_picked as (select * from v_nodes order by id limit 500)
-       select 'node' as part, id as a, label as rel, '' as b from x_picked
-       union all select distinct 'edge', src, rel, dst from v_edges where src in (select id from x_picked)""",
+    _EXPORT_GRAPH.format(picked="select * from v_nodes order by id limit 500"),
 )
 def _(t):
-    nodes, edges = stores.export_graph(t.nodes, t.edges)
-    return nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("label").alias("rel"), F.lit("").alias("b")).unionByName(
-        edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), "rel", F.col("dst").alias("b"))
-    )
+    return _exported_graph(*stores.export_graph(t.nodes, t.edges))
+
+
+@query("export_graph_all", _EXPORT_GRAPH.format(picked="select * from v_nodes"))
+def _(t):
+    return _exported_graph(*stores.export_graph(t.nodes, t.edges, None))
 
 
 @query(

@@ -84,5 +84,5 @@ def _(t):
     "select overall_risk_level, (select count(*) from x_overdue) as overdue_inspections_count from x_level where overall_risk_level in ('High', 'Critical')",
 )
 def _(t):
-    summary = rel.risk_summary(t.inspections, t.equipment, as_of())
-    return jobs.risk_alerts(summary).select("overall_risk_level", "overdue_inspections_count")
+    level = rel.overall_risk(rel.failure_clusters(t.inspections), rel.overdue_inspections(t.inspections, t.equipment, as_of()))
+    return jobs.risk_alerts(level)

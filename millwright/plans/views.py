@@ -623,7 +623,9 @@ class Tables:
     @property
     def spread(self) -> Tables:
         """The same tables for row-wise heavy work, see ``session.spread``."""
-        return Tables(self.spark, self.folder, spread_scans=True)
+        other = Tables(self.spark, self.folder, spread_scans=True)
+        other.replaced = dict(self.replaced)
+        return other
 
     def __getattr__(self, name: str) -> DataFrame:
         key = f"v_{name}"

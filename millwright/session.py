@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +47,23 @@ def local_session(cores: str = "8", app: str = "millwright", **extra: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session, where all of them are one process, may do without: it gets one
+    temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="millwright-checkpoint-")
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="millwright-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -82,16 +82,18 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """The first nodes by id and their out-edges, distinct and complete."""
-    picked = nodes.orderBy("id").limit(limit)
+def export_graph(nodes: DataFrame, edges: DataFrame, limit: int | None = 500) -> tuple[DataFrame, DataFrame]:
+    """The first nodes by id (None: all) and their out-edges, distinct and complete."""
+    picked = nodes if limit is None else nodes.orderBy("id").limit(limit)
     whole = edges.where("src <> '' and dst <> '' and rel <> ''")
     return picked, whole.join(picked.select(F.col("id").alias("src")), "src", "left_semi").distinct()
 
 
 def seed_rules(existing: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Seeds whose code is not known yet, once each."""
-    return seeds.dropDuplicates(["rule_code"]).join(existing.select("rule_code"), "rule_code", "left_anti")
+    """Seeds whose code is not known yet; of several with one code the first by its other columns."""
+    fresh = seeds.join(existing.select("rule_code"), "rule_code", "left_anti")
+    others = [c for c in seeds.columns if c != "rule_code"]
+    return fresh.groupBy("rule_code").agg(F.min(F.struct(*others)).alias("s")).select("rule_code", *[F.col("s")[c].alias(c) for c in others])
 
 
 def sanitized_metadata(document_id: Column, chunk_index: Column, char_start: Column, char_end: Column, own: Column) -> Column:

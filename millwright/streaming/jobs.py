@@ -114,9 +114,9 @@ def limited_requests(requests: DataFrame, limit: int = 60, window_seconds: int =
 
 
 # ---- periodic scans ---------------------------------------------------------
-def risk_alerts(summary: DataFrame) -> DataFrame:
-    """Summary rows that call for attention."""
-    return summary.where(F.col("overall_risk_level").isin("High", "Critical"))
+def risk_alerts(level: DataFrame) -> DataFrame:
+    """Rows of ``reliability.overall_risk`` that call for attention."""
+    return level.where(F.col("overall_risk_level").isin("High", "Critical"))
 
 
 def start_rescan(spark: SparkSession, scan: Callable[[], DataFrame], folder: str, checkpoint: str, every: str = "12 hours") -> StreamingQuery:
