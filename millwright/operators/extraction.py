@@ -64,8 +64,8 @@ def structured_tags(text: Column, data: Column, kind: str) -> Column:
     return F.array_distinct(F.concat(tx.strict_tags(text), found))
 
 
-def sentence_edges(documents: DataFrame) -> DataFrame:
-    """Directed links between tags that follow one another in a sentence; the last document keeps a link.
+def document_edges(documents: DataFrame) -> DataFrame:
+    """Directed links between tags that follow one another in a sentence, once per document.
 
     ``documents(document_id, text, uploaded_at)``.
     """
@@ -75,7 +75,12 @@ def sentence_edges(documents: DataFrame) -> DataFrame:
         F.arrays_zip(F.slice("tags", 1, F.size("tags") - 1).alias("src"), F.slice("tags", 2, F.size("tags") - 1).alias("dst")),
     )
     pairs = unnest(said, ["document_id", "uploaded_at"], following, "p")
-    return pairs.groupBy(F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).agg(
+    return pairs.select("document_id", "uploaded_at", "p.src", "p.dst").distinct()
+
+
+def sentence_edges(documents: DataFrame) -> DataFrame:
+    """The links of ``document_edges``, each once; the last document keeps a link."""
+    return document_edges(documents).groupBy("src", "dst").agg(
         F.max_by("document_id", F.struct("uploaded_at", "document_id")).alias("source_document_id")
     ).withColumn("rel", F.lit("connected_to"))
 

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from millwright.operators import rate_limit as rl
 from millwright.operators import reliability as rel
-from millwright.plans.registry import query
+from millwright.plans import extraction  # noqa: F401  its check SQL is part of the one of stream_ingest
+from millwright.plans.registry import CHECKS, query
 from millwright.plans.reliability import as_of
-from millwright.session import shared_folder
+from millwright.plans.text import STRICT, duck_tags
+from millwright.plans.vectors import duck_hash_entries
+from millwright.session import new_folder
 from millwright.streaming import jobs
 
 WINDOW, LIMIT = 21600, 2
 
 
-def workplace(t) -> str:
-    return f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex}"
-
-
 def arriving(t, name: str):
     """One of the driver's tables as a stream of its files."""
     static = t.spark.read.parquet(f"{t.folder}/{name}.parquet")
@@ -28,28 +27,57 @@ def arriving(t, name: str):
 
 @query(
     "stream_ingest",
-    """select document_id, chunk_index, total_chunks, md5(text) as digest from x_doc_chunks""",
+    f"""with x_again as (select id from v_documents where doc_key % 3 = 0),
+            x_sizes as (select document_id, count(*)::int as n from x_doc_chunks group by 1)
+        select 'chunks' as part, document_id, chunk_index || '/' || total_chunks as name, md5(text) as value
+          from x_doc_chunks where document_id not in (select id from x_again)
+        union all select 'vectors', document_id, chunk_index || ':' || idx, weight::varchar from (
+          {duck_hash_entries("x_doc_chunks", "document_id, chunk_index", "text", "")}) where document_id not in (select id from x_again)
+        union all select 'tags', id, tag, '' from x_named_tags where id not in (select id from x_again)
+        union all select 'inspections', source_document_id, equipment_tag, md5(findings) from ({CHECKS["inspection_events_from_text"]})
+          where source_document_id not in (select id from x_again)
+        union all select distinct 'edges', id, src || '>' || dst, '' from (
+          select id, g[i] as src, g[i + 1] as dst from (select id, {duck_tags('s', STRICT)} as g from x_spoken), unnest(range(1, len(g))) as u(i))
+          where id not in (select id from x_again)
+        union all select 'documents', d.id, case when n > 0 and d.id not in (select id from x_again) then 'completed' else 'failed' end,
+               (case when d.id in (select id from x_again) then 0 else coalesce(n, 0) end)::varchar
+          from v_documents d left join x_sizes s on s.document_id = d.id""",
 )
 def _(t):
-    """The document table taken in as a stream; the chunk store must equal the batch result."""
+    """The document table taken in as a stream, then every third document once more with a text that gives
+    nothing; what is stored must equal the batch results of the other documents."""
     def to_documents(batch):
         rows = t.replacing(documents=batch.repartition(t.spark.sparkContext.defaultParallelism)).documents
         return rows.select(F.col("id").alias("document_id"), "text", "uploaded_at")
 
-    folder = workplace(t)
+    folder = new_folder(t.spark, "run")
     jobs.start_intake(arriving(t, "documents"), to_documents, folder, f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/chunks").select(
-        "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"),
-        F.md5(F.col("text").cast("binary")).alias("digest"),
+    again = t.documents.where("doc_key % 3 = 0").select(F.col("id").alias("document_id"), F.lit("Short.").alias("text"), "uploaded_at")
+    jobs.ingest_documents(again, folder, 1)
+    stored = lambda name: jobs.intake_store(t.spark, folder, name).read()
+    nothing = F.lit("")
+    rows = lambda part, df, name, value: df.select(
+        F.lit(part).alias("part"), "document_id", name.alias("name"), value.alias("value")
     )
+    entries = stored("chunk_vectors").select("document_id", "chunk_index", F.inline("entries"))
+    parts = [
+        rows("chunks", stored("chunks"), F.concat_ws("/", F.col("chunk_index").cast("string"), F.col("total_chunks").cast("string")),
+             F.md5(F.col("text").cast("binary"))),
+        rows("vectors", entries, F.concat_ws(":", F.col("chunk_index").cast("string"), F.col("idx").cast("string")), F.col("weight").cast("string")),
+        rows("tags", stored("document_tags"), F.col("tag"), nothing),
+        rows("inspections", stored("inspections"), F.col("equipment_tag"), F.md5(F.col("findings").cast("binary"))),
+        rows("edges", stored("edges"), F.concat_ws(">", "src", "dst"), nothing),
+        rows("documents", stored("documents"), F.col("status"), F.col("total_chunks").cast("string")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("stream_stage_status", "select document_id, stage, status, message, filename, updated_at from x_latest_stage")
 def _(t):
-    folder = workplace(t)
+    folder = new_folder(t.spark, "run")
     events = t.replacing(events=arriving(t, "events")).stage_events
     jobs.start_stage_board(events, f"{folder}/board", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/board").drop("bucket")
+    return jobs.stage_board(t.spark, f"{folder}/board").read()
 
 
 _EXACT = f"""

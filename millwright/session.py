@@ -66,13 +66,18 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="millwright-checkpoint-")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder name below the shared folder."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from that table.
 
     It survives the loss of any executor, and unlike a checkpointed plan it has
     statistics, so later joins can still be planned by size.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,35 +28,95 @@ def deleted_counts(rows: DataFrame, ids: DataFrame, column: str = "document_id")
     )
 
 
-def write_keyed(
-    spark: SparkSession, path: str, new: DataFrame, bucket_by: str, replace_by: list[str], buckets: int = 64
-) -> None:
-    """Merge ``new`` into a Parquet table, rewriting only the buckets it touches.
+RUNS_MERGED = 8  # runs of one size that become one
 
-    Stored rows that share ``replace_by`` with a new row give way to the new
-    rows, so writing the same batch twice changes nothing.
+
+@dataclass(frozen=True)
+class KeyedStore:
+    """A Parquet table whose rows are replaced by key, a batch at a time.
+
+    ``keys`` name what a batch replaces: all stored rows of a key give way to its rows in a newer
+    batch. A batch is written once, as a run of its own, and touches no older file. Reading takes, of
+    every key, the rows of the newest run that has it. Runs of equal size are merged, eight into
+    one, so a row is rewritten a few times in all, however many batches come. A run counts once
+    its success mark is written: a failed write leaves the store as it was, and writing a
+    batch number again replaces that batch.
     """
-    bucket = F.pmod(F.xxhash64(bucket_by), F.lit(buckets)).cast("int")
-    incoming = new.withColumn("bucket", bucket)
-    merged = incoming
-    if _exists(spark, path):
-        touched = incoming.select("bucket").distinct()
-        old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
-        kept = old.join(incoming.select(*replace_by).distinct(), replace_by, "left_anti")
-        merged = kept.unionByName(incoming, allowMissingColumns=True)
-    # evens out files: crowded buckets are split, small ones packed
-    placed = merged.hint("rebalance", F.col("bucket"))
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def write_chunk_store(spark: SparkSession, path: str, new: DataFrame, buckets: int = 64) -> None:
-    """Put chunks into the store; a document's chunks are replaced as a whole, so no stale tail is left."""
-    write_keyed(spark, path, new, "document_id", ["document_id"], buckets)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...]
+
+    def write(self, rows: DataFrame, batch: int, replaced: DataFrame | None = None) -> None:
+        """Store ``rows`` as batch number ``batch``; keys in ``replaced`` that have no rows lose theirs."""
+        marked = rows.withColumn("_gone", F.lit(False))
+        if replaced is not None:
+            bare = replaced.select(*self.keys).distinct().join(rows.select(*self.keys), list(self.keys), "left_anti")
+            marked = marked.unionByName(bare.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        marked.write.mode("overwrite").parquet(self._folder(batch, batch))
+        self._merge_runs()
+
+    def read(self) -> DataFrame:
+        """The rows of the store as it stands."""
+        return self._newest(self._runs()).where(~F.col("_gone")).drop("_gone", "_batch")
+
+    def exists(self) -> bool:
+        return bool(self._runs())
+
+    def _folder(self, first: int, last: int) -> str:
+        return f"{self.path}/run-{first}-{last}"
+
+    def _runs(self) -> list[tuple[int, int]]:
+        """Complete runs (first and last batch), without those that a merged run covers."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return []
+        found = []
+        for status in files.listStatus(top):
+            name = status.getPath().getName()
+            if name.startswith("run-") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found.append(tuple(int(x) for x in name.split("-")[1:]))
+        return sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
+
+    def _newest(self, runs: list[tuple[int, int]]) -> DataFrame:
+        parts = [
+            self.spark.read.option("mergeSchema", "true").parquet(self._folder(*r)).withColumn("_batch", F.lit(r[1]).cast("long"))
+            for r in runs
+        ]
+        if not parts:
+            raise ValueError(f"nothing is stored in {self.path}")
+        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        if len(runs) == 1:
+            return rows
+        newest = rows.groupBy(*self.keys).agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, [*self.keys, "_batch"], "left_semi")
+
+    def _merge_runs(self) -> None:
+        runs = self._runs()
+        size = lambda r: int(math.log(r[1] - r[0] + 1, RUNS_MERGED))
+        at = len(runs) - RUNS_MERGED
+        while at >= 0:
+            part = runs[at : at + RUNS_MERGED]
+            if len({size(r) for r in part}) == 1:
+                first, last = part[0][0], part[-1][1]
+                merged = self._newest(part).drop("_batch")
+                if at == 0:  # nothing older is left that a mark could hide
+                    merged = merged.where(~F.col("_gone"))
+                merged.write.mode("overwrite").parquet(self._folder(first, last))
+                runs[at : at + RUNS_MERGED] = [(first, last)]
+                at = len(runs) - RUNS_MERGED
+            else:
+                at -= 1
+
+    def vacuum(self) -> None:
+        """Delete runs that a merged one covers; only while nobody reads an older state."""
+        kept = {self._folder(*r).rsplit("/", 1)[1] for r in self._runs()}
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(top):
+            if status.getPath().getName() not in kept:
+                files.delete(status.getPath(), True)
 
 
 def iso_text(moment: Column) -> Column:

@@ -16,10 +16,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millwright.functions.common import micros
 from millwright.functions.text import strict_tags
 from millwright.operators.chunking import document_chunks
-from millwright.operators.extraction import inspection_events, sentence_edges
+from millwright.operators.extraction import document_edges, inspection_events
 from millwright.operators.rate_limit import Limiter
+from millwright.operators.vectors import hash_entries
 from millwright.sources import files as fl
-from millwright.sources.stores import write_chunk_store, write_keyed
+from millwright.sources.stores import KeyedStore
 
 
 # ---- document intake --------------------------------------------------------
@@ -35,26 +36,67 @@ def readable_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def ingest_documents(documents: DataFrame, folder: str) -> None:
-    """Chunk and mine one batch of ``documents(document_id, text, uploaded_at)``; their status is written last."""
+# What intake writes, by document: each table's rows of a document are replaced as a whole.
+INTAKE_TABLES = ("chunks", "chunk_vectors", "document_tags", "inspections", "edges", "stages", "documents")
+
+
+def intake_store(spark: SparkSession, folder: str, table: str) -> KeyedStore:
+    return KeyedStore(spark, f"{folder}/{table}", ("document_id",))
+
+
+def ingest_documents(documents: DataFrame, folder: str, batch: int) -> None:
+    """Take in one batch of ``documents(document_id, text, uploaded_at)`` under its number; the document rows come last.
+
+    A document that has been stored before loses everything its new text no longer gives.
+    Documents without a chunk end as failed.
+    """
     spark = documents.sparkSession
     documents = documents.persist()
-    write_chunk_store(spark, f"{folder}/chunks", document_chunks(documents))
-    tags = documents.select("document_id", F.explode(strict_tags(F.col("text"))).alias("tag"))
-    write_keyed(spark, f"{folder}/document_tags", tags, "document_id", ["document_id"])
-    events = inspection_events(documents).withColumnRenamed("source_document_id", "document_id")
-    write_keyed(spark, f"{folder}/inspections", events, "document_id", ["document_id"])
-    edges = sentence_edges(documents).withColumnRenamed("source_document_id", "document_id")
-    write_keyed(spark, f"{folder}/edges", edges, "src", ["src", "dst"])
-    status = documents.select("document_id", "uploaded_at", F.lit("completed").alias("status"))
-    write_keyed(spark, f"{folder}/documents", status, "document_id", ["document_id"])
+    ids = documents.select("document_id")
+    put = lambda table, rows: intake_store(spark, folder, table).write(rows, batch, ids)
+    put("chunks", document_chunks(documents))
+    chunks = intake_store(spark, folder, "chunks").read().join(ids, "document_id", "left_semi")
+    put("chunk_vectors", chunks.select("document_id", "chunk_index", hash_entries(F.col("text"), None).alias("entries")))
+    put("document_tags", documents.select("document_id", F.explode(strict_tags(F.col("text"))).alias("tag")))
+    put("inspections", inspection_events(documents).withColumnRenamed("source_document_id", "document_id"))
+    put("edges", document_edges(documents))
+    counts = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("total_chunks"))
+    state = documents.join(counts, "document_id", "left").select(
+        "document_id", "uploaded_at", F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"),
+        F.when(F.col("total_chunks") > 0, "completed").otherwise("failed").alias("status"),
+        F.when(F.col("total_chunks").isNull(), "No text chunks could be made").alias("error_message"),
+        F.current_timestamp().alias("processed_at"),
+    )
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), done.alias("status")) for s, done in (
+        ("file_parsed", F.lit("completed")), ("vector_index_update", F.col("status")), ("graph_merge", F.col("status")),
+    )])
+    put("stages", state.select("document_id", F.inline(stages)))
+    put("documents", state)
     documents.unpersist()
 
 
+def register_of(spark: SparkSession, folder: str, equipment: DataFrame) -> DataFrame:
+    """Equipment that stored documents name and the register lacks, with the first document naming each."""
+    tags = intake_store(spark, folder, "document_tags").read()
+    dated = tags.join(intake_store(spark, folder, "documents").read().select("document_id", "uploaded_at"), "document_id")
+    first = dated.groupBy("tag").agg(F.min_by("document_id", F.struct("uploaded_at", "document_id")).alias("source_document_id"))
+    return first.join(equipment.select("tag"), "tag", "left_anti")
+
+
+def links_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored links, each once; the last document that names a link keeps it."""
+    edges = intake_store(spark, folder, "edges").read()
+    last = F.max_by("document_id", F.struct("uploaded_at", "document_id"))
+    return edges.groupBy("src", "dst").agg(last.alias("source_document_id")).withColumn("rel", F.lit("connected_to"))
+
+
 def start_intake(arriving: DataFrame, to_documents: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
-    """Ingest everything that has arrived, then stop; run again for what arrives later."""
+    """Ingest everything that has arrived, then stop; run again for what arrives later.
+
+    Batch numbers come from the checkpoint, so a store has one checkpoint for life.
+    """
     return (
-        arriving.writeStream.foreachBatch(lambda batch, _: ingest_documents(to_documents(batch), folder))
+        arriving.writeStream.foreachBatch(lambda batch, number: ingest_documents(to_documents(batch), folder, number))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -66,18 +108,32 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---- stage board ------------------------------------------------------------
+STAGE_KEYS = ("document_id", "stage")
+
+
+def stage_board(spark: SparkSession, folder: str) -> KeyedStore:
+    return KeyedStore(spark, folder, STAGE_KEYS)
+
+
 def start_stage_board(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest status of every (document, stage) of a stream of stage events."""
-    newest = F.max_by(F.struct("status", "message", "filename", "updated_at"), F.struct("updated_at", "message"))
-    latest = events.groupBy("document_id", "stage").agg(newest.alias("s"))
+    """Keep the latest status of every (document, stage) of a stream of stage events.
 
-    def store(batch: DataFrame, _: int) -> None:
-        rows = batch.select("document_id", "stage", "s.*")
-        write_keyed(batch.sparkSession, folder, rows, "document_id", ["document_id", "stage"])
+    No streaming state: a micro-batch is cut to its newest event per stage, compared with the
+    rows stored for the same stages, and written where it is newer, so late events change nothing.
+    """
+    value = F.struct("status", "message", "filename", "updated_at")
+
+    def store(batch: DataFrame, number: int) -> None:
+        board = stage_board(batch.sparkSession, folder)
+        rows = batch.select(*STAGE_KEYS, value.alias("s"))
+        if board.exists():
+            old = board.read().join(rows.select(*STAGE_KEYS), list(STAGE_KEYS), "left_semi")
+            rows = rows.unionByName(old.select(*STAGE_KEYS, value.alias("s")))
+        newest = F.max_by("s", F.struct(F.col("s.updated_at"), F.col("s.message")))
+        board.write(rows.groupBy(*STAGE_KEYS).agg(newest.alias("s")).select(*STAGE_KEYS, "s.*"), number)
 
     return (
-        latest.writeStream.outputMode("update").foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
@@ -119,12 +175,15 @@ def risk_alerts(level: DataFrame) -> DataFrame:
     return level.where(F.col("overall_risk_level").isin("High", "Critical"))
 
 
-def start_rescan(spark: SparkSession, scan: Callable[[], DataFrame], folder: str, checkpoint: str, every: str = "12 hours") -> StreamingQuery:
-    """Run ``scan`` at a fixed pace and append its rows, stamped with the run, to a table."""
+def start_rescan(
+    spark: SparkSession, scan: Callable[[], DataFrame], folder: str, checkpoint: str, every: str = "12 hours", once: bool = False
+) -> StreamingQuery:
+    """Run ``scan`` at a fixed pace, or once, and append its rows, stamped with the run, to a table."""
 
     def run(_: DataFrame, batch_id: int) -> None:
         rows = scan().withColumn("run", F.lit(batch_id)).withColumn("scanned_at", F.current_timestamp())
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(folder)
 
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    pace = {"availableNow": True} if once else {"processingTime": every}
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**pace).start()

@@ -274,9 +274,53 @@ def test_chunk_store_replaces_a_document_as_a_whole(spark, tmp_path):
     layout = "document_id string, chunk_index int, chunk_id string, text string"
     first = spark.createDataFrame([("D1", 0, "a", "one"), ("D1", 1, "b", "two"), ("D2", 0, "c", "keep")], layout)
     again = spark.createDataFrame([("D1", 0, "a", "new")], layout)
-    for rows in (first, again, again):
-        stores.write_chunk_store(spark, path, rows, buckets=4)
-    assert sorted((r["document_id"], r["text"]) for r in spark.read.parquet(path).collect()) == [("D1", "new"), ("D2", "keep")]
+    store = stores.KeyedStore(spark, path, ("document_id",))
+    for batch, rows in enumerate((first, again, again)):
+        store.write(rows, batch)
+    assert sorted((r["document_id"], r["text"]) for r in store.read().collect()) == [("D1", "new"), ("D2", "keep")]
+
+
+def test_store_keeps_nothing_of_a_document_that_came_back_empty(spark, tmp_path):
+    store = stores.KeyedStore(spark, str(tmp_path / "s"), ("document_id",))
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "document_id string, text string")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    ids = spark.createDataFrame([("D1",), ("D2",)], "document_id string")
+    store.write(rows(("D1", "a"), ("D1", "b"), ("D2", "c"), ("D3", "d")), 0, ids)
+    before = files()
+    store.write(rows(("D2", "new")), 1, ids)
+    assert sorted(tuple(r) for r in store.read().collect()) == [("D2", "new"), ("D3", "d")]
+    assert before.items() <= files().items()
+    store.write(rows(("D2", "newer")), 1, ids)  # the same batch again replaces it
+    assert sorted(tuple(r) for r in store.read().collect()) == [("D2", "newer"), ("D3", "d")]
+    for batch in range(2, 20):
+        store.write(rows((f"D{batch}", "x")), batch)
+    assert len(store._runs()) < 12
+    store.vacuum()
+    want = [("D2", "x"), ("D3", "x"), *((f"D{i}", "x") for i in range(4, 20))]
+    assert sorted(tuple(r) for r in store.read().collect()) == sorted(want)
+
+
+def test_intake_of_an_emptied_document_leaves_no_row(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    layout = "document_id string, text string, uploaded_at timestamp"
+    full = "Pump P-201 inspected, feeds V-101. " + "Routine words follow here. " * 5
+    now = datetime(2024, 1, 1)
+    jobs.ingest_documents(spark.createDataFrame([("D1", full, now), ("D2", full, now)], layout), folder, 0)
+    jobs.ingest_documents(spark.createDataFrame([("D1", "Short.", now)], layout), folder, 1)
+    for table in jobs.INTAKE_TABLES[:-2]:
+        assert {r["document_id"] for r in jobs.intake_store(spark, folder, table).read().collect()} == {"D2"}, table
+    state = {r["document_id"]: (r["status"], r["total_chunks"]) for r in jobs.intake_store(spark, folder, "documents").read().collect()}
+    assert state["D1"] == ("failed", 0) and state["D2"][0] == "completed"
+    known = spark.createDataFrame([("V-101",)], "tag string")
+    assert [tuple(r) for r in jobs.register_of(spark, folder, known).collect()] == [("P-201", "D2")]
+    assert [(r["src"], r["dst"], r["source_document_id"]) for r in jobs.links_of(spark, folder).collect()] == [("P-201", "V-101", "D2")]
+
+
+def test_rescan_runs_once(spark, tmp_path):
+    scan = lambda: spark.createDataFrame([("High",)], "overall_risk_level string")
+    for _ in range(2):
+        jobs.start_rescan(spark, lambda: jobs.risk_alerts(scan()), str(tmp_path / "alerts"), str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "alerts")).where("overall_risk_level = 'High'").count() >= 1
 
 
 def test_files_stream_into_the_stores(spark, tmp_path):
@@ -287,6 +331,7 @@ def test_files_stream_into_the_stores(spark, tmp_path):
     folder, cp = str(tmp_path / "store"), str(tmp_path / "cp")
     for _ in range(2):
         jobs.start_intake(jobs.arriving_files(spark, str(source)), jobs.readable_documents, folder, cp).awaitTermination()
-    assert [r["equipment_tag"] for r in spark.read.parquet(f"{folder}/inspections").orderBy("equipment_tag").collect()] == ["P-201", "V-101"]
-    assert spark.read.parquet(f"{folder}/edges").select("src", "dst").first() == ("P-201", "V-101")
-    assert spark.read.parquet(f"{folder}/documents").count() == 1
+    stored = lambda name: jobs.intake_store(spark, folder, name).read()
+    assert [r["equipment_tag"] for r in stored("inspections").orderBy("equipment_tag").collect()] == ["P-201", "V-101"]
+    assert stored("edges").select("src", "dst").first() == ("P-201", "V-101")
+    assert stored("documents").count() == 1
