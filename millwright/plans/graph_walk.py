@@ -80,20 +80,20 @@ def seeds(t):
     return t.questions.select("question_id", F.explode(tx.wide_tags(F.col("question"))).alias("tag"))
 
 
-_WALKS = """with x_w1 as (select question_id, tag as origin, l.dst as node, 1 as depth, tag || ' -[:' || l.rel || ']- ' || l.dst as path, [tag, '', l.dst, l.rel] as s, [l.edge_id] as used
+WALKS = """with x_w1 as (select question_id, tag as origin, l.dst as node, 1 as depth, tag || ' -[:' || l.rel || ']- ' || l.dst as path, [tag, '', l.dst, l.rel] as s, [l.edge_id] as used
                      from x_question_seeds q join x_links l on l.src = q.tag),
             x_w2 as (select w.question_id, w.origin, l.dst as node, 2 as depth, w.path || ' -[:' || l.rel || ']- ' || l.dst as path, list_concat(s, [l.dst, l.rel]) as s, list_concat(used, [l.edge_id]) as used
                      from x_w1 w join x_links l on l.src = w.node and not list_contains(w.used, l.edge_id))"""
 
 
-@query("rag_paths_all", _WALKS + " select question_id, depth, path from (select * from x_w1 union all select * from x_w2)")
+@query("rag_paths_all", WALKS + " select question_id, depth, path from (select * from x_w1 union all select * from x_w2)")
 def _(t):
     return gw.rag_paths(t.rule_edges, seeds(t), cap=None).select("question_id", "depth", "path")
 
 
 @query(
     "rag_paths",
-    _WALKS + """
+    WALKS + """
        select question_id, depth, path from (
          select *, row_number() over (partition by question_id order by depth, s, used) as r from (select * from x_w1 union all select * from x_w2)) where r <= 30""",
 )

@@ -105,14 +105,15 @@ def _chunks(t):
        union all select id, 100000, md5('added') from v_documents where status = 'processing'""",
 )
 def _(t):
-    old, docs = _chunks(t)
+    fresh, docs = _chunks(t)
+    store = stores.KeyedStore(t.spark, new_folder(t.spark, "chunks"), ("document_id", "chunk_index"))
+    store.write(fresh, 0)
+    old = store.read()
     redone = docs.where("status = 'processing'")
     new = old.join(redone.select("document_id"), "document_id", "left_semi").withColumn(
         "text", F.concat(F.upper("document_id"), "text")
     )
     added = redone.select("document_id", F.lit(100000).cast("long").alias("chunk_index"), F.lit("added").alias("text"))
-    store = stores.KeyedStore(t.spark, new_folder(t.spark, "chunks"), ("document_id", "chunk_index"))
-    store.write(old, 0)
     store.write(new.unionByName(added), 1)
     return store.read().select("document_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("digest"))
 
