@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.common import let, strip, unnest
-from millwright.session import deal
+from millwright.session import cut_lineage, deal
 
 DIMENSION = 384
 # A query block is shipped to every task only up to this size.
@@ -166,15 +168,13 @@ def vector_topk(
     group_col: str | None = None,
     query_group_col: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    rows_per_cell: int = 20_000,
 ) -> DataFrame:
     """Exact k nearest vectors of every query by cosine distance.
 
     ``query_group_col`` restricts a query to vectors of the same ``group_col``
-    (null: no restriction).  Each task keeps k rows per query, so distances are
-    never shuffled.  Queries travel to the tasks as one block while they fit
-    ``broadcast_bytes``; more of them are searched cell by cell, blocks of
-    queries against blocks of vectors.
+    (null: no restriction).  Queries travel to the tasks in blocks of up to
+    ``broadcast_bytes``; each block takes one plain scan of the vectors, which are
+    never shuffled, and a task hands on k rows per query at its end.
     """
     v = _columns(vectors, id_col, vec_col, group_col)
     q = _columns(queries, query_id_col, vec_col, query_group_col)
@@ -184,41 +184,42 @@ def vector_topk(
     size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     if not size["n"]:
         return _rank(q.sparkSession.createDataFrame([], schema), k)
-    bytes_needed = size["n"] * max(size["width"], DIMENSION) * 8
-    if bytes_needed <= broadcast_bytes:
-        block = q.toPandas()
-        shipped = q.sparkSession.sparkContext.broadcast(
-            (block["id"].to_numpy(), _matrix(block["vec"], sparse), block["grp"].to_numpy() if filtered else None)
-        )
-
-        def scan(batches):
-            q_ids, q_matrix, q_filter = shipped.value
-            for batch in batches:
-                if len(batch):
-                    pos, ids, dist = _nearest(
-                        q_matrix, q_filter, _matrix(batch["vec"], sparse), batch["grp"].to_numpy() if filtered else None,
-                        batch["id"].to_numpy(), k,
-                    )
-                    yield pd.DataFrame({"query_id": q_ids[pos], "id": ids, "distance": dist})
-
-        return _rank(v.mapInPandas(scan, schema), k)
-    q_parts = -(-bytes_needed // broadcast_bytes)
-    return _rank(_grid(v, q, k, schema, filtered, sparse, int(q_parts), rows_per_cell), k)
-
-
-def _grid(v: DataFrame, q: DataFrame, k: int, schema: str, filtered: bool, sparse: bool, q_parts: int, rows_per_cell: int) -> DataFrame:
-    v_parts = max(1, -(-v.count() // rows_per_cell))
-    v_cells = v.select(
-        F.col("id").alias("v_id"), F.col("vec").alias("v_vec"), F.col("grp").alias("v_grp"),
-        F.pmod(F.xxhash64("id"), F.lit(v_parts)).alias("v_part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_parts - 1).cast("long"))).alias("q_part"),
+    blocks = -(-size["n"] * max(size["width"], DIMENSION) * 8 // broadcast_bytes)
+    if blocks == 1:
+        return _rank(_scan_block(v, q, k, schema, filtered, sparse)[0], k)
+    found = []
+    for number in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
+        rows, shipped = _scan_block(v, block, k, schema, filtered, sparse)
+        found.append(cut_lineage(_rank(rows, k)))
+        shipped.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan_block(v: DataFrame, q: DataFrame, k: int, schema: str, filtered: bool, sparse: bool):
+    """(k rows per query and task, the broadcast queries) of one block of queries."""
+    block = q.toPandas()
+    shipped = q.sparkSession.sparkContext.broadcast(
+        (block["id"].to_numpy(), _matrix(block["vec"], sparse), block["grp"].to_numpy() if filtered else None)
     )
-    q_cells = q.select(
-        F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("grp").alias("q_grp"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_parts - 1).cast("long"))).alias("v_part"),
-        F.pmod(F.xxhash64("id"), F.lit(q_parts)).alias("q_part"),
-    )
-    return _search_cells(v_cells, q_cells, ["v_part", "q_part"], ["v_part", "q_part"], k, schema, filtered, sparse)
+
+    def scan(batches):
+        q_ids, q_matrix, q_filter = shipped.value
+        if not len(q_ids):
+            return
+        best = None
+        for batch in batches:
+            if len(batch):
+                pos, ids, dist = _nearest(
+                    q_matrix, q_filter, _matrix(batch["vec"], sparse), batch["grp"].to_numpy() if filtered else None,
+                    batch["id"].to_numpy(), k,
+                )
+                new = pd.DataFrame({"at": pos, "id": ids, "distance": dist})
+                best = new if best is None else pd.concat([best, new]).sort_values(["at", "distance", "id"]).groupby("at", sort=False).head(k)
+        if best is not None:
+            yield pd.DataFrame({"query_id": q_ids[best["at"].to_numpy()], "id": best["id"].to_numpy(), "distance": best["distance"].to_numpy()})
+
+    return v.mapInPandas(scan, schema), shipped
 
 
 def _search_cells(
@@ -244,8 +245,8 @@ def vector_topk_approx(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    lists: int = 16,
-    probes: int = 6,
+    lists: int | None = None,
+    probes: int | None = None,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     query_id_col: str = "vec_id",
@@ -253,14 +254,21 @@ def vector_topk_approx(
 ) -> DataFrame:
     """Approximate k nearest: vectors are filed under their nearest pivot, queries probe a few lists.
 
+    There are about as many lists as the square root of the rows, and three eighths of them
+    are probed, unless told otherwise.  Pivots are the first rows by the md5 of their id.
     A crowded list is salted into cells of about ``rows_per_cell`` vectors, so a
-    popular pivot does not make one large group.  At most 1,024 pivots are used.
+    popular pivot does not make one large group.
     """
-    lists = min(lists, 1024)
     v = _columns(vectors, id_col, vec_col, None)
     q = _columns(queries, query_id_col, vec_col, None)
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, distance double"
-    pivots = v.orderBy(F.xxhash64("id"), "id").limit(lists).toPandas()
+    if lists is None:
+        lists = max(1, round(v.count() ** 0.5))
+    if probes is None:
+        probes = -(-3 * lists // 8)
+    if lists * DIMENSION * 8 > BROADCAST_BYTES:
+        raise ValueError(f"{lists} pivots do not fit {BROADCAST_BYTES} bytes; ask for fewer lists")
+    pivots = v.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(lists).toPandas()
     shipped = v.sparkSession.sparkContext.broadcast(_matrix(pivots["vec"]))
 
     def nearest_lists(n: int):

@@ -79,7 +79,7 @@ def test_grid_search_equals_broadcast_search_with_ties(spark):
     rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(base)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     near = vec.vector_topk(df, df, 4)
-    far = vec.vector_topk(df, df, 4, broadcast_bytes=2000, rows_per_cell=9)
+    far = vec.vector_topk(df, df, 4, broadcast_bytes=2000 * 64)
     assert sorted(near.collect()) == sorted(far.collect())
     unit = base / np.linalg.norm(base, axis=1, keepdims=True)
     for q in (0, 5, 21):
