@@ -69,7 +69,7 @@ def neighbors_bfs(
         if hop < depth:
             reached = step if cap is None else step.where(F.col("used") < cap)
             fresh = reached.groupBy("start", F.col("dst").alias("node")).agg(F.max("used").alias("used"))
-            frontier = fresh.join(visited, ["start", "node"], "left_anti")
+            frontier = cut_lineage(fresh.join(visited, ["start", "node"], "left_anti"))
             visited = visited.unionByName(frontier.select("start", "node"))
     found = reduce(DataFrame.unionByName, levels)
     return found if relationship is None else found.where(F.col("relationship") == relationship)
@@ -237,40 +237,42 @@ def context_tags(context: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 # ---- shortest paths and statistics -----------------------------------------
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, checkpoint_every: int = 4) -> DataFrame:
-    """Shortest directed path of every ``pairs(src, dst)`` that has one.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, store_every: int = 4) -> DataFrame:
+    """Shortest directed path of every ``pairs(src, dst)`` that has one; the smallest by node ids among equals.
 
-    Sources advance together, one join per hop, keeping one path per node: among
-    equally short ones the smallest by its node ids.  A source stops once all its
-    targets are met; the walk ends when nothing moves.
+    One walk backwards from every distinct target finds, for each node that reaches it,
+    the hops left and the smallest next node; it stops once all sources asked for are
+    met.  The paths are then read off forwards, so no state is kept per source and
+    none of the walks carries a path.
     """
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    wanted = pairs.select(F.col("src").alias("source"), F.col("dst").alias("target")).distinct()
-    frontier = wanted.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    visited, reached, hop = frontier.select("source", "node"), [], 0
-    reached.append(_hits(frontier, wanted))
-    open_pairs = wanted.where("source <> target")
+    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("before"))
+    wanted = cut_lineage(pairs.select("src", "dst").distinct())
+    frontier = wanted.select(F.col("dst").alias("target"), F.col("dst").alias("node")).distinct()
+    visited, ways, hop = frontier, [], 0
+    missing = wanted.where("src <> dst")
     while max_hops is None or hop < max_hops:
         hop += 1
-        live = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
-        moved = live.join(out, "node").select("source", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
-        step = moved.groupBy("source", "node").agg(F.min("path").alias("path")).join(visited, ["source", "node"], "left_anti")
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
+        live = frontier.join(missing.select(F.col("dst").alias("target")).distinct(), "target", "left_semi")
+        moved = live.join(into, "node").groupBy("target", F.col("before").alias("node")).agg(F.min("node").alias("next"))
+        way = cut_lineage(moved.join(visited, ["target", "node"], "left_anti"))
+        if way.isEmpty():
             break
-        met = _hits(frontier, open_pairs)
-        reached.append(met)
-        visited = visited.unionByName(frontier.select("source", "node"))
-        open_pairs = open_pairs.join(met.select("source", "target"), ["source", "target"], "left_anti")
-        if hop % checkpoint_every == 0:
-            visited, open_pairs = cut_lineage(visited), cut_lineage(open_pairs)
-    found = reduce(DataFrame.unionByName, reached)
-    return found.select(F.col("source").alias("src"), F.col("target").alias("dst"), "path", (F.size("path") - 1).alias("length"))
-
-
-def _hits(frontier: DataFrame, wanted: DataFrame) -> DataFrame:
-    at = frontier.withColumnRenamed("node", "target")
-    return at.join(wanted, ["source", "target"], "left_semi").select("source", "target", "path")
+        ways.append(way)
+        frontier = way.select("target", "node")
+        visited = visited.unionByName(frontier)
+        missing = missing.join(frontier.select(F.col("node").alias("src"), F.col("target").alias("dst")), ["src", "dst"], "left_anti")
+        if hop % store_every == 0:
+            visited, missing = cut_lineage(visited), cut_lineage(missing)
+    walking = wanted.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path"))
+    arrived = [walking.where("src = dst")]
+    if ways:
+        onward = reduce(DataFrame.unionByName, ways).withColumnRenamed("target", "dst")
+        for _ in ways:
+            open_ = walking.where("node <> dst").join(onward, ["dst", "node"])
+            walking = cut_lineage(open_.select("src", "dst", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")))
+            arrived.append(walking.where("node = dst"))
+    found = reduce(DataFrame.unionByName, arrived)
+    return found.select("src", "dst", "path", (F.size("path") - 1).alias("length"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,7 @@ CHECK_FRAGMENTS.update(
          select *, row_number() over (partition by start order by depth, src, dst) as r from x_walk) where r <= 50""",
 )
 def _(t):
-    return gw.neighbors_bfs(t.nodes, t.edges, starts(t), depth=3)
+    return gw.neighbors_bfs(t.nodes, cut_lineage(t.edges), starts(t), depth=3)
 
 
 @query("neighbors_bfs_all", "select start, src, dst as tag, rel as relationship, depth from x_walk")
@@ -73,7 +73,7 @@ def _(t):
          select *, row_number() over (partition by start order by depth, s) as r from (select * from x_p1 union all select * from x_p2 union all select * from x_p3)) where r <= 100""",
 )
 def _(t):
-    return gw.neighbors_paths(t.edges, starts(t), depth=3)
+    return gw.neighbors_paths(cut_lineage(t.edges), starts(t), depth=3)
 
 
 def seeds(t):

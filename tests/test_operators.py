@@ -97,6 +97,22 @@ def test_approximate_search_recall(spark):
     assert len(exact & found) / len(exact) > 0.6
 
 
+def test_shortest_paths_around_a_hub_and_a_cycle(spark):
+    ring = [(f"R{i}", f"R{(i + 1) % 6}") for i in range(6)]
+    leaves = spark.range(100_000).select(F.lit("HUB").alias("src"), F.concat(F.lit("L"), "id").alias("dst"))
+    back = leaves.select(F.col("dst").alias("src"), F.lit("R0").alias("dst"))
+    edges = leaves.union(back).union(spark.createDataFrame([*ring, ("R3", "HUB"), ("Z", "Z")], "src string, dst string"))
+    pairs = spark.createDataFrame(
+        [("R0", "R5"), ("R1", "HUB"), ("HUB", "R2"), ("L7", "L5"), ("R2", "R2"), ("R0", "Z"), ("nowhere", "R0")], "src string, dst string"
+    )
+    got = {(r["src"], r["dst"]): r["path"] for r in gw.shortest_paths(edges, pairs).collect()}
+    assert got == {
+        ("R0", "R5"): ["R0", "R1", "R2", "R3", "R4", "R5"], ("R1", "HUB"): ["R1", "R2", "R3", "HUB"],
+        ("HUB", "R2"): ["HUB", "L0", "R0", "R1", "R2"], ("R2", "R2"): ["R2"],
+        ("L7", "L5"): ["L7", "R0", "R1", "R2", "R3", "HUB", "L5"],
+    }
+
+
 def test_hash_vector(spark):
     df = spark.createDataFrame([("a", "P-201 p-201 pump"), ("b", "  ")], "id string, text string")
     rows = {r["id"]: {e["idx"]: e["weight"] for e in r["entries"]} for r in vec.hash_vectors(df, "id", F.col("text")).collect()}
