@@ -33,27 +33,35 @@ def _find(needle: Column, text: Column, offset: Column) -> Column:
     return F.when(F.contains(rest, needle), F.call_function("locate", needle, text, offset + 1) - 1).otherwise(-1)
 
 
-def sentence_chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
-    """Greedy packs of sentences of already stripped ``text`` with their offsets.
+def sentence_chunks(text: Column, size: int = 800, overlap: int = 100, offsets: bool = True) -> Column:
+    """Greedy packs of sentences of already stripped ``text`` with their offsets (null unless asked for).
+
+    Looking a pack up reads the rest of the text, so offsets make a very long text expensive;
+    packing alone reads it once.
 
     A pack is closed when the next sentence would take it past ``size``; the next
     one starts with the last ``overlap`` characters of the closed one.  A single
     longer sentence stays whole.  A pack that is no literal part of the text (its
     overlap breaks it) is placed at the running offset.
     """
-    return let(text, lambda body: _sentence_chunks(body, size, overlap))
+    return let(text, lambda body: _sentence_chunks(body, size, overlap, offsets))
 
 
-def _sentence_chunks(text: Column, size: int, overlap: int) -> Column:
+def _sentence_chunks(text: Column, size: int, overlap: int, offsets: bool) -> Column:
     start = F.struct(
         F.lit("").alias("pack"), F.lit(0).alias("offset"), F.array().cast(CHUNKS).alias("done")
     )
 
     def located(state: Column, body) -> Column:
         """``body(found)`` with the pack's position, or -1, looked up once."""
+        if not offsets:
+            return body(F.lit(-1))
         return let(_find(state["pack"], text, state["offset"]), body)
 
     def placed(state: Column, found: Column) -> Column:
+        if not offsets:
+            nowhere = F.lit(None).cast("int")
+            return F.struct(state["pack"].alias("text"), nowhere.alias("char_start"), nowhere.alias("char_end"))
         at = F.when(found < 0, state["offset"]).otherwise(found).cast("int")
         return F.struct(
             state["pack"].alias("text"), at.alias("char_start"), (at + F.length(state["pack"])).alias("char_end")
@@ -107,19 +115,19 @@ def _without_first(text: Column, needle: Column) -> Column:
     )
 
 
-def section_chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
+def section_chunks(text: Column, size: int = 800, overlap: int = 100, offsets: bool = True) -> Column:
     """Chunks of each section of stripped ``text``, headed by the section's first line.
 
     With fewer than two sections the whole text is packed without headings.
     """
-    return let(text, lambda body: _section_chunks(body, size, overlap))
+    return let(text, lambda body: _section_chunks(body, size, overlap, offsets))
 
 
-def _section_chunks(text: Column, size: int, overlap: int) -> Column:
+def _section_chunks(text: Column, size: int, overlap: int, offsets: bool) -> Column:
 
     def of_section(section: Column) -> Column:
         return F.transform(
-            sentence_chunks(section["body"], size, overlap),
+            sentence_chunks(section["body"], size, overlap, offsets=False),
             lambda c: F.struct(
                 section["header"].alias("header"),
                 F.when((section["header"] != "") & ~F.startswith(c["text"], section["header"]),
@@ -155,16 +163,19 @@ def _section_chunks(text: Column, size: int, overlap: int) -> Column:
     def by_section(sections: Column) -> Column:
         start = F.struct(F.lit(0).alias("offset"), F.array().cast(SECTIONED).alias("done"))
         packed = F.flatten(F.transform(sections, of_section))
-        return F.when(F.size(sections) >= 2, F.aggregate(packed, start, place, lambda s: s["done"])).otherwise(
-            _plain(text, size, overlap)
+        nowhere = F.lit(None).cast("int")
+        found = F.aggregate(packed, start, place, lambda s: s["done"]) if offsets else F.transform(
+            packed,
+            lambda c: F.struct(c["text"].alias("text"), nowhere.alias("char_start"), nowhere.alias("char_end"), c["header"].alias("section_header")),
         )
+        return F.when(F.size(sections) >= 2, found).otherwise(_plain(text, size, overlap, offsets))
 
     return let(_sections(text), by_section)
 
 
-def _plain(text: Column, size: int, overlap: int) -> Column:
+def _plain(text: Column, size: int, overlap: int, offsets: bool) -> Column:
     return F.transform(
-        sentence_chunks(text, size, overlap),
+        sentence_chunks(text, size, overlap, offsets),
         lambda c: F.struct(
             c["text"].alias("text"), c["char_start"].alias("char_start"), c["char_end"].alias("char_end"),
             F.lit(None).cast("string").alias("section_header"),
@@ -172,12 +183,12 @@ def _plain(text: Column, size: int, overlap: int) -> Column:
     )
 
 
-def smart_chunks(text: Column, size: int = 800, overlap: int = 100, shortest: int = 50) -> Column:
+def smart_chunks(text: Column, size: int = 800, overlap: int = 100, shortest: int = 50, offsets: bool = True) -> Column:
     """Section chunks where the raw text has a heading, sentence chunks elsewhere; tiny ones dropped."""
     chunks = let(
         F.struct(text.rlike(SECTION_HEADER).alias("headed"), strip(text).alias("body")),
-        lambda doc: F.when(doc["headed"], section_chunks(doc["body"], size, overlap)).otherwise(
-            _plain(doc["body"], size, overlap)
+        lambda doc: F.when(doc["headed"], section_chunks(doc["body"], size, overlap, offsets)).otherwise(
+            _plain(doc["body"], size, overlap, offsets)
         ),
     )
     return F.filter(chunks, lambda c: F.length(strip(c["text"])) >= shortest)
@@ -199,10 +210,10 @@ def explode_chunks(documents: DataFrame, chunks: Column, document_id: str = "doc
     return exploded.select("document_id", *kept, "chunk_index", "total_chunks", "_chunk.*")
 
 
-def document_chunks(documents: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """Chunks of ``documents(document_id, text)``."""
+def document_chunks(documents: DataFrame, size: int = 800, overlap: int = 100, offsets: bool = True) -> DataFrame:
+    """Chunks of ``documents(document_id, text)``; without ``offsets`` they are not looked up in the text."""
     rows = documents.select("document_id", F.col("text").alias("_text"))
-    return explode_chunks(rows, smart_chunks(F.col("_text"), size, overlap)).drop("_text").withColumn(
+    return explode_chunks(rows, smart_chunks(F.col("_text"), size, overlap, offsets=offsets)).drop("_text").withColumn(
         "chunk_id", chunk_id(F.col("document_id"), F.col("chunk_index"))
     )
 

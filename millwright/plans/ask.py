@@ -59,7 +59,7 @@ CHECK_FRAGMENTS["x_trust_base_ask"] = CHECK_FRAGMENTS["x_trust_base_ask"].replac
 )
 def _(t):
     """Every question against the chunks of all documents and the graph of assets and rules, down to the log rows."""
-    chunks = ch.document_chunks(t.spread.documents.select(F.col("id").alias("document_id"), "text"))
+    chunks = ch.document_chunks(t.spread.documents.select(F.col("id").alias("document_id"), "text"), offsets=False)
     nodes = t.inspections.select(F.col("equipment_tag").alias("id")).union(t.equipment.select("tag")).distinct()
     logged = ask.ask_questions(t.questions, chunks, t.documents, nodes, t.rule_edges, as_of())
     return logged.select(

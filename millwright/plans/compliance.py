@@ -36,7 +36,7 @@ CHECK_FRAGMENTS.update(
 
 def chunks(t):
     docs = t.spread.documents.where("status = 'completed'").select(F.col("id").alias("document_id"), "text")
-    return ch.document_chunks(docs)
+    return ch.document_chunks(docs, offsets=False)
 
 
 _WORK = """select e.document_id, r.rule_code, r.id as rule_id, md5(e.procedure_text) as digest, length(e.procedure_text) as n

@@ -95,7 +95,7 @@ def _(t):
 
 def _chunks(t):
     docs = t.spread.documents.select(F.col("id").alias("document_id"), "text", "status")
-    return ch.document_chunks(docs).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text"), docs
+    return ch.document_chunks(docs, offsets=False).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text"), docs
 
 
 @query(

@@ -37,7 +37,7 @@ CHECK_FRAGMENTS.update(
 )
 def _(t):
     docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
-    chunks = ch.document_chunks(docs).withColumn("key", F.struct("document_id", F.col("chunk_index").cast("long").alias("chunk_index")))
+    chunks = ch.document_chunks(docs, offsets=False).withColumn("key", F.struct("document_id", F.col("chunk_index").cast("long").alias("chunk_index")))
     return vec.hash_embedding_long(chunks, "key", F.col("text")).select(
         "key.document_id", "key.chunk_index", "idx", F.round("value", 6).alias("value")
     )
@@ -86,7 +86,7 @@ CHECK_FRAGMENTS.update(
 def _(t):
     """Every question against the whole chunk store, both embedded by token hashes."""
     docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
-    chunks = ch.document_chunks(docs).withColumn("key", F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")))
+    chunks = ch.document_chunks(docs, offsets=False).withColumn("key", F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")))
     stored = vec.hash_vectors(chunks, "key", F.col("text"))
     asked = vec.hash_vectors(t.questions, "question_id", F.col("question"), None)
     found = vec.vector_topk(stored, asked, 5, id_col="key", vec_col="entries", query_id_col="question_id")
@@ -125,7 +125,7 @@ def _(t):
 )
 def _(t):
     docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
-    per_document = ch.document_chunks(docs).groupBy("document_id").agg(
+    per_document = ch.document_chunks(docs, offsets=False).groupBy("document_id").agg(
         F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters")
     )
     total = per_document.agg(F.sum("chunks").alias("chunks"), F.sum("characters").alias("characters"))
