@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -16,11 +15,24 @@ from pyspark.sql import types as T
 
 from millwright.session import cut_lineage, deal
 
-__all__ = ["SLICE_BYTES", "by_slices", "cut_lineage", "deal", "free_name", "grouped_runs", "hex16", "number_rows", "text_buffers"]
+__all__ = ["SLICE_BYTES", "bounded_batches", "by_slices", "cut_lineage", "deal", "free_name", "grouped_runs", "hex16", "number_rows", "text_buffers"]
 
 # Texts are worked on in slices of about this many bytes, whatever the size of an Arrow
 # batch, so a task's memory does not follow the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 2 << 20  # an Arrow batch is closed at this size; by default only at 64 MB
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session told to send rows to Python in batches of about BATCH_BYTES.
+
+    A smaller limit that the session has already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = df.sparkSession.conf.get(key).rstrip("bB")
+    if held.isdigit() and int(held) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -96,6 +108,8 @@ def number_rows(df: DataFrame, key: str, name: str = "number") -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("task_", T.IntegerType()), T.StructField("place_", T.LongType())])
 
     def count(batches):
+        import pandas as pd
+
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             values = pd.Series(batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import by_slices, cut_lineage, free_name
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name
 from millwright.llm.hashing import BASE, Words, mixed
 
 WINDOW = 10
@@ -95,7 +95,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 def document_prints(docs: DataFrame, windows: DataFrame, carry: dict[str, Column], text: str = "text") -> DataFrame:
     """The carried columns, ``uid``, n_words, and the fingerprints that pass the items' bitmap with the words around them."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     lengths = sorted(r.t for r in windows.select("t").distinct().collect())
     bitmap = spark.sparkContext.broadcast(_bitmap(windows))
 

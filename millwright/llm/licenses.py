@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import by_slices, cut_lineage, free_name
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name
 from millwright.llm.hashing import Words
 
 MIN_COSINE = 0.6
@@ -170,6 +170,7 @@ def scan(
     nothing. Repeated rows stay. An empty table gives no rows.
     """
     vocabulary = Vocabulary(templates)
+    files = bounded_batches(files)
     weights = term_weights(files, vocabulary, text)
     rows = files.select(*carry, F.col(path).alias("path"), best_match(F.col(text), vocabulary, weights, min_cosine).alias("own"))
     rows = cut_lineage(rows)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import by_slices, cut_lineage, free_name, text_buffers
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name, text_buffers
 
 SHARDS = 256
 FILTER_BYTES = 32 << 20  # largest total of filters handed to every task
@@ -79,7 +79,7 @@ def count_lines(docs: DataFrame, text: str = "text", min_chars: int = 1) -> Data
             ["hi", "lo", "n"],
         )
 
-    found = docs.select(F.col(text).cast("string")).mapInArrow(keys, "hi long, lo long, n long")
+    found = bounded_batches(docs).select(F.col(text).cast("string")).mapInArrow(keys, "hi long, lo long, n long")
     return found.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
@@ -252,7 +252,7 @@ def drop_common_lines(
     ``min_docs`` documents or more; the others stay, joined by \\n (an empty text if none stays). The
     column takes the next free name if ``name`` is in use. Rows and other columns are untouched.
     """
-    name = free_name(docs, name)
+    name = free_name(bounded_batches(docs), name)
     spark = docs.sparkSession
     size = index.filters.agg(F.sum(F.octet_length("cuckoo"))).first()[0] or 0
     if size > filter_bytes:

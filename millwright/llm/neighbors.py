@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millwright.llm.common import cut_lineage, deal, grouped_runs
+from millwright.llm.common import bounded_batches, cut_lineage, deal, grouped_runs
 
 TABLES, HASHES, PROBES = 16, 1, 4
 MEMBERS, QUERIES_AT_ONCE = 4096, 1024  # rows of a block
@@ -96,7 +96,7 @@ def nearest(
     are never neighbours. A query's own id is no candidate. Repeated rows of an id count once. Fewer than k come back
     only where there are fewer candidates. An empty table, or one without queries, gives no rows.
     """
-    rows = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(
+    rows = bounded_batches(vectors).where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks")
     )
     of_vector = W.partitionBy("vector").orderBy("id")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import by_slices, cut_lineage, number_rows, text_buffers
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, number_rows, text_buffers
 
 SIZES = (512, 1024, 2048)
 
@@ -143,7 +143,7 @@ def pack(
     below 1 gives one piece of length 0 in no bin. Repeated rows are packed like others. An empty table gives no rows.
     """
     most = max(sizes)
-    rows = docs.select(*[c.alias(n) for n, c in carry.items()], F.coalesce(length.cast("long"), F.lit(0)).alias("n_"))
+    rows = bounded_batches(docs).select(*[c.alias(n) for n, c in carry.items()], F.coalesce(length.cast("long"), F.lit(0)).alias("n_"))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_") / F.lit(most))).cast("long")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     rows = rows.withColumn("start", F.col("piece") * most)

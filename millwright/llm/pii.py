@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import cut_lineage
+from millwright.llm.common import bounded_batches, cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -293,7 +293,7 @@ def personal_data(docs: DataFrame, carry: dict[str, Column], text: str = "text")
     def find(texts: pa.Array) -> pa.Array:
         return pa.array([nodes_of(x.as_py() or "") for x in texts], _NODE_TYPE)
 
-    rows = docs.select(*[c.alias(n) for n, c in carry.items()], F.arrow_udf(find, NODES)(F.col(text).cast("string")).alias("nodes"))
+    rows = bounded_batches(docs).select(*[c.alias(n) for n, c in carry.items()], F.arrow_udf(find, NODES)(F.col(text).cast("string")).alias("nodes"))
     rows = cut_lineage(rows)
     model = fit(rows)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import by_slices, cut_lineage, free_name, text_buffers
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name, text_buffers
 from millwright.llm.hashing import BASE, Words, bounds, mixed, range_hashes
 
 BUCKET_BITS = 16
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, target: str, text: str = "text", smoothing: float = 10.
             [pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(good[used])], ["bucket", "raw", "good"]
         )
 
-    counts = docs.select(F.col(text).cast("string"), F.col(target)).mapInArrow(count, "bucket int, raw long, good long")
+    counts = bounded_batches(docs).select(F.col(text).cast("string"), F.col(target)).mapInArrow(count, "bucket int, raw long, good long")
     table = np.zeros((2, 1 << BUCKET_BITS))
     for row in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
         table[:, row.bucket] = row.raw, row.good

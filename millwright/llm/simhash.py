@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import by_slices, cut_lineage, deal, free_name, grouped_runs, text_buffers
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, deal, free_name, grouped_runs, text_buffers
 from millwright.llm.components import components
 
 BLOCK = 2048  # fingerprints of a hot key in one block
@@ -224,6 +224,7 @@ def near_duplicates(
     its ``component_id`` is null. Texts without words share fingerprint 0 and are linked like others.
     Other columns of ``docs`` are not carried. An empty table gives an empty result.
     """
+    docs = bounded_batches(docs)
     rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(prints, radius, block))
