@@ -227,7 +227,7 @@ def near_duplicates(
     docs = bounded_batches(docs)
     rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(prints, radius, block))
+    roots = components(cut_lineage(near_links(prints, radius, block)))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
