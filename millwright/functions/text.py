@@ -118,17 +118,24 @@ def token_estimate(text: Column) -> Column:
 
 
 # ---- classification ---------------------------------------------------------
-def document_type(filename: Column, text: Column) -> Column:
-    combined = F.lower(F.concat(filename, F.lit(" "), F.substring(text, 1, 1000)))
+def _head(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
+def document_type(filename: Column, text: Column, max_chars: int | None = 1000) -> Column:
+    """Kind of document by words in its name and the head of its text (None: the whole text)."""
+    combined = F.lower(F.concat(filename, F.lit(" "), _head(text, max_chars)))
     result = F.lit("document")
     for kind, words in reversed(DOCUMENT_TYPES):
         result = F.when(_any(combined, words), kind).otherwise(result)
     return result
 
 
-def extraction_kind(filename: Column, file_type: Column, text: Column, requested: Column) -> Column:
-    """Which structured extraction a document gets; an explicit request wins."""
-    haystack = F.lower(F.concat(filename, F.lit("\n"), F.substring(text, 1, 4000)))
+def extraction_kind(
+    filename: Column, file_type: Column, text: Column, requested: Column, max_chars: int | None = 4000
+) -> Column:
+    """Which structured extraction a document gets, by its name and the head of its text (None: all); a request wins."""
+    haystack = F.lower(F.concat(filename, F.lit("\n"), _head(text, max_chars)))
     hits = lambda words: sum((haystack.contains(w).cast("int") for w in words), F.lit(0))
     pid, log = hits(PID_HINTS), hits(LOG_HINTS)
     return (

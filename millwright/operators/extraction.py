@@ -113,9 +113,11 @@ def manual_inspections(rows: DataFrame) -> DataFrame:
     return rows.withColumn("equipment_tag", tx.normal_tag(F.col("equipment_tag"))).withColumn("severity", F.lower("severity"))
 
 
-def recent_captures(documents: DataFrame, inspections: DataFrame, most: int = 20) -> DataFrame:
-    """The newest voice documents with what was taken from them."""
-    newest = documents.where("file_type = 'voice'").orderBy(F.desc("uploaded_at"), "id").limit(most)
+def recent_captures(documents: DataFrame, inspections: DataFrame, most: int | None = 20) -> DataFrame:
+    """The newest voice documents (None: all) with what was taken from them."""
+    newest = documents.where("file_type = 'voice'")
+    if most is not None:
+        newest = newest.orderBy(F.desc("uploaded_at"), "id").limit(most)
     made = (
         inspections.join(newest.select(F.col("id").alias("source_document_id")), "source_document_id", "left_semi")
         .groupBy(F.col("source_document_id").alias("id")).agg(F.count("*").alias("n"))

@@ -63,8 +63,8 @@ def latest_stages(events: DataFrame) -> DataFrame:
     ).select("document_id", "stage", "s.status", "s.message", "s.filename", "updated_at")
 
 
-def pipeline_overview(events: DataFrame, most: int = 20) -> DataFrame:
-    """The most recently touched documents with the latest status of each stage."""
+def pipeline_overview(events: DataFrame, most: int | None = 20) -> DataFrame:
+    """The most recently touched documents (None: all) with the latest status of each stage."""
     newest = F.struct("updated_at", "message")
     stages = [
         F.coalesce(F.max_by("status", F.when(F.col("stage") == s, newest)), F.lit("pending")).alias(s) for s in STAGES
@@ -72,7 +72,7 @@ def pipeline_overview(events: DataFrame, most: int = 20) -> DataFrame:
     runs = events.groupBy("document_id").agg(
         F.max("filename").alias("filename"), F.max("updated_at").alias("updated_at"), *stages
     )
-    return runs.orderBy(F.desc("updated_at"), "document_id").limit(most)
+    return runs if most is None else runs.orderBy(F.desc("updated_at"), "document_id").limit(most)
 
 
 def processing_stats(runs: DataFrame) -> DataFrame:

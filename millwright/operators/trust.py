@@ -36,8 +36,11 @@ def source_key() -> Column:
     return F.coalesce(_filled("document_id"), _filled("doc_id"), _filled("filename"), F.lit("unknown"))
 
 
-def document_freshness(retrieved: DataFrame, documents: DataFrame, as_of: Column) -> DataFrame:
-    """One row per question and source document with its review date and freshness score."""
+def document_freshness(retrieved: DataFrame, documents: DataFrame, as_of: Column, type_chars: int | None = 1000) -> DataFrame:
+    """One row per question and source document with its review date and freshness score.
+
+    The document's type is read off its first ``type_chars`` characters (None: all).
+    """
     stated = [c for c in METADATA_DATES if c in retrieved.columns]
     first = F.min_by(F.struct("filename", *stated), "rank")
     grouped = retrieved.groupBy("question_id", source_key().alias("key")).agg(
@@ -50,7 +53,7 @@ def document_freshness(retrieved: DataFrame, documents: DataFrame, as_of: Column
     )
     dated = named.withColumns(
         {
-            "document_type": tx.document_type(F.col("filename"), F.col("text")),
+            "document_type": tx.document_type(F.col("filename"), F.col("text"), type_chars),
             **{f"_{c}": dates.parse_date(F.col(f"m.{c}")) for c in stated},
             "_content": dates.stated_review_date(F.col("text")),
             "_upload": F.coalesce("processed_at", "uploaded_at").cast("timestamp"),
@@ -90,8 +93,8 @@ def document_freshness(retrieved: DataFrame, documents: DataFrame, as_of: Column
 DOCUMENT_FIELDS = ("position", "filename", "freshness_score", "review_date_source", "last_reviewed", "risk_level")
 
 
-def trust_summary(questions: DataFrame, scores: DataFrame, graph_assets: DataFrame) -> DataFrame:
-    """Trust gate of every question, those without sources included.
+def trust_summary(questions: DataFrame, scores: DataFrame, graph_assets: DataFrame, most_flags: int | None = 8) -> DataFrame:
+    """Trust gate of every question, those without sources included, with its first flags (None: all).
 
     ``questions(question_id, answer_confidence)``, ``graph_assets(question_id, graph_assets)``.
     """
@@ -151,11 +154,15 @@ def trust_summary(questions: DataFrame, scores: DataFrame, graph_assets: DataFra
         F.size("documents").alias("source_documents"), "graph_assets",
         scoring.trust_gate(F.col("risk")).alias("trust_gate"), scoring.recommendation(F.col("risk")).alias("recommendation"),
         F.when(risky, limit).otherwise(passed).alias("reason"),
-        F.slice(F.array_distinct(flags), 1, 8).alias("confidence_flags"),
+        _first_of(F.array_distinct(flags), most_flags).alias("confidence_flags"),
         F.col("limiting.filename").alias("limiting_document"), "documents",
     )
 
 
+def _first_of(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -170,7 +177,7 @@ def graph_asset_count(questions: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-def citations(retrieved: DataFrame, scores: DataFrame) -> DataFrame:
+def citations(retrieved: DataFrame, scores: DataFrame, preview_chars: int | None = 300) -> DataFrame:
     """Every retrieved chunk as a source line, with its document's freshness by id, else by file name."""
     values = F.struct("freshness_score", "knowledge_decay", "freshness_status", "risk_level", "last_reviewed")
     by_id = scores.select("question_id", F.col("document_id").alias("cited"), values.alias("by_id"))
@@ -182,7 +189,7 @@ def citations(retrieved: DataFrame, scores: DataFrame) -> DataFrame:
     found = lines.join(by_id, ["question_id", "cited"], "left").join(by_name, ["question_id", "name"], "left")
     return found.withColumn("f", F.coalesce("by_id", "by_name")).select(
         "question_id", "rank", "filename", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"),
-        F.substring("text", 1, 300).alias("text_preview"), F.nullif("page_number", F.lit(0)).alias("page_number"),
+        (F.col("text") if preview_chars is None else F.substring("text", 1, preview_chars)).alias("text_preview"), F.nullif("page_number", F.lit(0)).alias("page_number"),
         F.coalesce("section_header", F.lit("")).alias("section"), F.col("cited").alias("document_id"), "f.*",
     )
 
@@ -192,18 +199,26 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.lower(x)))
 
 
-def extractive_answer(questions: DataFrame, retrieved: DataFrame, chunks: int = 5, sentences: int = 4) -> DataFrame:
-    """Answer made of the retrieved sentences that share most words with the question."""
+def extractive_answer(
+    questions: DataFrame, retrieved: DataFrame, chunks: int = 5, sentences: int = 4, most_chars: int | None = 1200
+) -> DataFrame:
+    """Answer made of the retrieved sentences that share most words with the question.
+
+    A chunk that many questions cite is split and tokenised once.
+    """
     asked = questions.select("question_id", F.filter(_terms(F.col("question")), lambda x: F.length(x) > 2).alias("asked"))
     top = retrieved.where(F.col("rank") <= chunks)
     flat = strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
-    said = unnest(top, ["question_id", "rank"], tx.sentences(flat), "sentence", "place")
-    scored = said.join(asked, "question_id").withColumn("score", F.size(F.array_intersect("asked", _terms(F.col("sentence")))))
+    keyed = top.select("question_id", "rank", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    parts = keyed.select("digest", "text").dropDuplicates(["digest"])
+    said = unnest(parts, ["digest"], tx.sentences(flat), "sentence", "place").withColumn("terms", _terms(F.col("sentence")))
+    said = keyed.select("question_id", "rank", "digest").join(said, "digest")
+    scored = said.join(asked, "question_id").withColumn("score", F.size(F.array_intersect("asked", "terms")))
     once = scored.groupBy("question_id", "sentence").agg(F.max("score").alias("score"), F.min(F.struct("rank", "place")).alias("at"))
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "at")
     chosen = once.withColumn("n", F.row_number().over(best)).where(F.col("n") <= sentences)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda x: x["sentence"]), " ")
-    evidence = chosen.groupBy("question_id").agg(F.substring(joined, 1, 1200).alias("evidence"))
+    evidence = chosen.groupBy("question_id").agg((joined if most_chars is None else F.substring(joined, 1, most_chars)).alias("evidence"))
     source = top.groupBy("question_id").agg(F.min_by(F.coalesce("filename", F.lit("uploaded document")), "rank").alias("source"))
     answer = F.concat(F.lit("Based on "), "source", F.lit(": "), F.coalesce("evidence", F.lit("")), F.lit("\n\n" + FALLBACK_NOTE))
     return questions.select("question_id").join(source, "question_id", "left").join(evidence, "question_id", "left").select(
@@ -242,11 +257,11 @@ def prompt_context(questions: DataFrame, retrieved: DataFrame, context: DataFram
     )
 
 
-def rendered_trust() -> Column:
-    """The summary row as the text shown above an answer."""
+def rendered_trust(most_documents: int | None = 4) -> Column:
+    """The summary row as the text shown above an answer, with its first documents (None: all)."""
     pair = lambda name, column, unit="": F.concat(F.lit(f"{name}: "), F.col(column).cast("string"), F.lit(unit))
     evidence = F.transform(
-        F.slice("documents", 1, 4),
+        _first_of(F.col("documents"), most_documents),
         lambda d: F.concat(F.lit("- "), d["filename"], F.lit(": "), d["freshness_score"].cast("string"), F.lit("% fresh, last reviewed "),
                            F.coalesce(d["last_reviewed"], F.lit("unknown review date")), F.lit(", risk "), d["risk_level"]),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millwright.functions import dates, scoring
 from millwright.functions import text as tx
 from millwright.functions.common import join_lines
-from millwright.plans.registry import query
+from millwright.plans.registry import CHECKS, query
 from millwright.plans.views import CHECK_FRAGMENTS
 
 
@@ -122,6 +122,11 @@ def _(t):
     return t.documents.select("id", tx.document_type(F.col("original_filename"), F.col("text")).alias("document_type"))
 
 
+@query("classify_document_whole", CHECKS["classify_document"].replace("[1:1000]", ""))
+def _(t):
+    return t.documents.select("id", tx.document_type(F.col("original_filename"), F.col("text"), None).alias("document_type"))
+
+
 def _hits(words) -> str:
     return "(" + " + ".join(f"contains(h, '{w}')::int" for w in words) + ")"
 

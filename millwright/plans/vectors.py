@@ -43,6 +43,20 @@ def _(t):
     )
 
 
+_ENTRIES = """with x_whole as ({entries}),
+    x_norms as (select document_id, chunk_index, sqrt(sum(weight * weight)) as norm from x_whole group by all)
+    select e.document_id, e.chunk_index, e.idx, round(e.weight / n.norm, 6) as value from x_whole e join x_norms n using (document_id, chunk_index)"""
+
+
+@query("hash_embedding_whole", _ENTRIES.format(entries=duck_hash_entries("x_doc_chunks", "document_id, chunk_index", "text", "")))
+def _(t):
+    docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
+    chunks = ch.document_chunks(docs, offsets=False).withColumn("key", F.struct("document_id", F.col("chunk_index").cast("long").alias("chunk_index")))
+    return vec.hash_embedding_long(chunks, "key", F.col("text"), None).select(
+        "key.document_id", "key.chunk_index", "idx", F.round("value", 6).alias("value")
+    )
+
+
 @query(
     "vector_topk",
     """select query_id, rank, id, round(distance, 6) as distance

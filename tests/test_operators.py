@@ -285,6 +285,26 @@ def test_streamed_limit_equals_batch(spark, tmp_path):
     assert got == {r["request_id"]: r["accepted"] for r in rl.rate_limit_audit(df, 3, 60).collect()}
 
 
+def test_idle_clients_are_forgotten(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    layout = "client string, request_id long, ts timestamp_ntz"
+    rows = [("early", i, base + timedelta(seconds=i)) for i in range(5)]
+    spark.createDataFrame(rows, layout).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(layout).parquet(str(tmp_path / "in"))
+    query = jobs.limited_requests(stream, 3, 60, idle_seconds=1).writeStream.format("memory").queryName("idle_verdicts").outputMode(
+        "append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    kept = lambda: spark.read.format("statestore").load(str(tmp_path / "cp")).count()
+    deadline = time.time() + 90
+    while spark.table("idle_verdicts").count() < len(rows) and time.time() < deadline:
+        time.sleep(0.5)
+    time.sleep(3)
+    while kept() and time.time() < deadline:
+        time.sleep(0.5)
+    query.stop()
+    assert kept() == 0
+    assert sorted(r["request_id"] for r in spark.table("idle_verdicts").collect() if r["accepted"]) == [0, 1, 2]
+
+
 def test_chunk_store_replaces_a_document_as_a_whole(spark, tmp_path):
     path = str(tmp_path / "chunks")
     layout = "document_id string, chunk_index int, chunk_id string, text string"
