@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millwright.llm.common import bounded_batches, by_slices, cut_lineage, number_rows, text_buffers
 
@@ -176,5 +177,7 @@ def pack(
             found = [pa.array(x, pa.int64(), mask=none) for x in (bin_id, bin_size, offset)]
             yield pa.RecordBatch.from_arrays([*columns, *found], [*(n for n in names if n != "number_"), "bin_id", "bin_size", "bin_offset"])
 
-    schema = numbered.drop("number_").selectExpr("*", "0L as bin_id", "0L as bin_size", "0L as bin_offset").schema
+    schema = T.StructType(numbered.drop("number_").schema.fields)
+    for name in ("bin_id", "bin_size", "bin_offset"):
+        schema = schema.add(name, T.LongType())
     return numbered.mapInArrow(place, schema)
