@@ -1,4 +1,4 @@
-"""Training corpus from ``documents``: five stages, each written to Parquet and read again."""
+"""Training corpus from ``documents``: six stages, each written to Parquet and read again."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, linededup, packing, quality, simhash
+from millwright.llm import decontaminate, linededup, packing, quality, shingles, simhash
 from millwright.llm.common import free_name
 from millwright.session import prepare, shared_folder
 
@@ -36,6 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of those that pairs of similarity 0.8 or more, on five-word shingles, connect."""
+    return shingles.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -51,6 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("line dedup", line_dedup),
     ("near duplicates", near_duplicates),
     ("benchmark decontamination", decontamination),
+    ("near copies", near_copies),
     ("best-fit packing", best_fit_packing),
 ]
 
