@@ -10,13 +10,15 @@ holds a license file with one.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name
-from millwright.llm.hashing import Words
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name, text_buffers
+from millwright.llm.hashing import BASE, Words
 
 MIN_COSINE = 0.6
 
@@ -52,17 +54,150 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.", "Confidential and proprietary. All rights reserved."),
 }
 
+# Names, ways to give notice and beginnings of texts by SPDX name, looked for as words in a row. What differs by one word is another run.
+_NOTICES = ("under {}", "under the {}", "under a {}", "under an {}", "under the terms of {}", "under the terms of the {}", "under the terms and conditions of the {}", "subject to the {}", "subject to the terms of the {}")
+_NAMES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License"),
+    "AFL-3.0": ("Academic Free License, version 3.0",),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero GPL version 3", "GNU AGPL version 3", "GNU AGPLv3", "AGPL version 3", "AGPLv3"),
+    "Apache-1.0": ("Apache License, Version 1.0",),
+    "Apache-1.1": ("Apache License, Version 1.1", "Apache Software License, Version 1.1"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache Software License, Version 2.0"),
+    "Artistic-1.0": ("Artistic License 1.0",),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License", "Revised BSD License"),
+    "BSD-4-Clause": ("BSD 4-Clause License", "Original BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "Creative Commons Zero v1.0 Universal"),
+    "CDDL-1.0": ("Common Development and Distribution License, Version 1.0", "CDDL 1.0"),
+    "CDDL-1.1": ("Common Development and Distribution License, Version 1.1", "CDDL 1.1"),
+    "ECL-2.0": ("Educational Community License, Version 2.0",),
+    "EPL-1.0": ("Eclipse Public License, Version 1.0", "Eclipse Public License 1.0", "EPL 1.0"),
+    "EPL-2.0": ("Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "EPL 2.0"),
+    "EUPL-1.1": ("European Union Public Licence, Version 1.1", "EUPL 1.1"),
+    "EUPL-1.2": ("European Union Public Licence, Version 1.2", "EUPL 1.2"),
+    "GFDL-1.2": ("GNU Free Documentation License, Version 1.2",),
+    "GFDL-1.3": ("GNU Free Documentation License, Version 1.3",),
+    "ISC": ("ISC License", "ISC Licence"),
+    "MIT": ("MIT License", "MIT Licence", "Expat License"),
+    "MIT-0": ("MIT No Attribution License", "MIT-0 License"),
+    "MPL-1.0": ("Mozilla Public License, Version 1.0", "MPL 1.0"),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License, v. 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "MS-PL": ("Microsoft Public License",),
+    "NCSA": ("University of Illinois NCSA Open Source License",),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
+    "OSL-3.0": ("Open Software License, version 3.0",),
+    "PostgreSQL": ("PostgreSQL License",),
+    "PSF-2.0": ("Python Software Foundation License Version 2",),
+    "UPL-1.0": ("Universal Permissive License, Version 1.0",),
+    "Unlicense": ("Unlicense", "Unlicense License"),
+    "WTFPL": ("Do What The Fuck You Want To Public License", "WTFPL"),
+    "Zlib": ("zlib License",),
+}
+for _name, _versions in (("", ("1.0", "2.0", "3.0")), ("Lesser ", ("2.1", "3.0")), ("Library ", ("2.0",))):
+    for _version in _versions:
+        _short = "LGPL" if _name else "GPL"
+        for _v in dict.fromkeys((_version.removesuffix(".0"), _version)):
+            _NAMES[f"{_short}-{_version}"] = _NAMES.get(f"{_short}-{_version}", ()) + (
+                f"GNU {_name}General Public License, version {_v}", f"GNU {_name}General Public License v{_v}",
+                f"GNU {_short} version {_v}", f"{_short} version {_v}", f"GNU {_short}v{_v}", f"{_short}v{_v}", f"{_short} {_v}",
+            )
+for _short, _long in (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    for _version, _port in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        _NAMES[f"CC-{_short}-{_version}"] = (f"CC {_short} {_version}", f"Creative Commons {_long} {_version} {_port} License")
+
+_GNU = "under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met"
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the Software), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+_TEXTS = {
+    "0BSD": (_ISC + ".",),
+    "AGPL-3.0": (_GNU.format(name="Affero General Public License", version="3"),),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance "
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    "BSD-2-Clause": (_BSD,),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and "
+        "transmit the Software, and to prepare derivative works of the Software",
+    ),
+    "GPL-2.0": (_GNU.format(name="General Public License", version="2"),),
+    "GPL-3.0": (_GNU.format(name="General Public License", version="3"),),
+    "ISC": (_ISC + ", provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-2.0": (_GNU.format(name="Library General Public License", version="2"),),
+    "LGPL-2.1": (_GNU.format(name="Lesser General Public License", version="2.1"),),
+    "LGPL-3.0": (_GNU.format(name="Lesser General Public License", version="3"),),
+    "MIT": (
+        _MIT,
+        _MIT + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "MIT-0": (_MIT + ", and to permit persons to whom the Software is furnished to do so.",),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file "
+        "except in compliance with the License.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for "
+        "any damages arising from the use of this software.",
+    ),
+}
+# Licenses whose text begins like another's: the other name, where the text also holds these words.
+REFINED = {
+    "BSD-2-Clause": (
+        ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+        ("BSD-3-Clause", "may be used to endorse or promote products derived from this software"),
+    ),
+    "BSD-3-Clause": (("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),),
+    "0BSD": (("ISC", "provided that the above copyright notice and this permission notice appear in all copies"),),
+    "MIT-0": (("MIT", "copyright notice and this permission notice shall be included in all copies"),),
+}
+_TAG = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9.+\-]+(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+\-]+)*)", re.IGNORECASE)
+_ANCHOR = 3
+
 
 class Vocabulary:
     """The templates' words as sorted hashes, and the templates as counts over them."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]]):
+    def __init__(self, templates: dict[str, tuple[str, ...]], catalogue: bool = True):
         pairs = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
         self.names = [name for name, _ in pairs]
         words = Words(pa.array([text for _, text in pairs]))
         self.hashes = np.unique(words.hashes)
         self.counts = np.zeros((len(pairs), len(self.hashes)))
         np.add.at(self.counts, (words.doc, np.searchsorted(self.hashes, words.hashes)), 1)
+        said = [(n, f.format(x)) for n, names in _NAMES.items() for x in names for f in _NOTICES] + [(n, x) for n, xs in _TEXTS.items() for x in xs]
+        said = [(n, x, True) for n, x in said if catalogue] + [(n, x, False) for n, x in pairs]
+        found = Words(pa.array([x for _, x, _ in said]))
+        self.runs: dict[tuple, list[tuple]] = {}  # by their first words, word runs with their license and whether they go before a cosine
+        for k, (name, _, strict) in enumerate(said):
+            run = tuple(found.hashes[found.first[k] : found.first[k] + found.counts[k]].tolist())
+            if len(run) >= _ANCHOR:
+                self.runs.setdefault(run[:_ANCHOR], []).append((run, name, strict))
+        self.anchors = np.unique(np.array([_anchor(np.array(x, np.uint64))[0] for x in self.runs], np.uint64))
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word hash; -1 outside the vocabulary."""
@@ -70,6 +205,43 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
+def _anchor(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every _ANCHOR words in a row."""
+    out = np.zeros(max(0, len(hashes) - _ANCHOR + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(_ANCHOR):
+            out = out * np.uint64(BASE) + hashes[j : j + len(out)]
+    return out
+
+
+def _contained(words: Words, vocabulary: Vocabulary) -> dict[int, tuple[bool, str]]:
+    """By text number, whether it goes before a cosine, and the license of the longest run whose words stand in the text in a row."""
+    best: dict[int, tuple] = {}
+    for at in np.flatnonzero(np.isin(_anchor(words.hashes), vocabulary.anchors)).tolist():
+        doc = int(words.doc[at])
+        end = int(words.first[doc] + words.counts[doc])
+        for run, name, strict in vocabulary.runs.get(tuple(words.hashes[at : at + _ANCHOR].tolist()), ()):
+            if at + len(run) <= end and tuple(words.hashes[at : at + len(run)].tolist()) == run:
+                best[doc] = min(best.get(doc, (True, 1, "")), (not strict, -len(run), name))
+    return {doc: (not loose, name) for doc, (loose, _, name) in best.items()}
+
+
+def _tags(texts: pa.Array) -> dict[int, str]:
+    """By text number, the first SPDX tag of the text as it is written."""
+    data, offsets = text_buffers(texts)
+    data, found = data.tobytes(), {}
+    for start in re.finditer(rb"(?i)spdx-license-identifier:", data):
+        doc = int(np.searchsorted(offsets, start.start(), "right")) - 1
+        if hit := _TAG.match(data, start.start(), int(offsets[doc + 1])):
+            found.setdefault(doc, hit[1].decode().rstrip("."))
+    return found
+
+
+def _refine(name: str, own: str) -> str:
+    """``name``, or the license that the other words of the text make it."""
+    return next((other for other, said in REFINED.get(name, ()) if said.lower() in own), name)
+
+
 def term_weights(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> np.ndarray:
     """Inverse document frequency of every term over all rows, and last that of a term in no document."""
     size = len(vocabulary.hashes)
@@ -96,7 +268,9 @@ def term_weights(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 def best_match(text: Column, vocabulary: Vocabulary, weights: np.ndarray, min_cosine: float = MIN_COSINE) -> Column:
     """struct<license, score>: the best template of any line, paragraph or the whole text; null below ``min_cosine``.
 
-    Ties go to the license that sorts first.
+    Ties go to the license that sorts first. An SPDX tag goes first, then the longest notice or text of the catalogue
+    whose words stand in the text in a row, with score 1 where the cosine finds another license or none. Where neither is
+    there and no cosine reaches ``min_cosine``, a template's own words in a row count the same way.
     """
     templates = vocabulary.counts * weights[:-1]
     templates /= np.sqrt((templates * templates).sum(1, keepdims=True))
@@ -117,7 +291,22 @@ def best_match(text: Column, vocabulary: Vocabulary, weights: np.ndarray, min_co
             doc, score, name = doc[first], scores[order][first], at[order][first]
             better = (score > best[doc]) | ((score == best[doc]) & (name < which[doc]))
             best[doc[better]], which[doc[better]] = score[better], name[better]
-        return [(vocabulary.names[w], float(b)) if b >= min_cosine else None for b, w in zip(best.tolist(), which.tolist())]
+        contained, tags = _contained(words, vocabulary), _tags(texts)
+        out = []
+        for k, (b, w) in enumerate(zip(best.tolist(), which.tolist())):
+            found = (vocabulary.names[w], float(b)) if b >= min_cosine else None
+            strict, name = contained.get(k, (False, None))
+            if k in tags:
+                out.append((tags[k], 1.0))
+                continue
+            if name and (found is None or strict and found[0] != name):
+                found = (name, 1.0)
+            if found and found[0] in REFINED:
+                own = " ".join(words.strings(int(words.first[k]), int(words.first[k] + words.counts[k])))
+                own = " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", own))
+                found = (_refine(found[0], own), found[1])
+            out.append(found)
+        return out
 
     return F.arrow_udf(work, "struct<license: string, score: double>")(text.cast("string"))
 
@@ -169,7 +358,7 @@ def scan(
     also speaks for its own directory. Null and empty texts have no license of their own; a null path inherits
     nothing. Repeated rows stay. An empty table gives no rows.
     """
-    vocabulary = Vocabulary(templates)
+    vocabulary = Vocabulary(templates, templates is TEMPLATES)
     files = bounded_batches(files)
     weights = term_weights(files, vocabulary, text)
     rows = files.select(*carry, F.col(path).alias("path"), best_match(F.col(text), vocabulary, weights, min_cosine).alias("own"))

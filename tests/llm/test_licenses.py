@@ -100,3 +100,34 @@ def test_query_equals_plain_version(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     same(rows, plain([(r.path, texts[r.doc_id]) for r in rows]))
     assert {r.origin for r in rows} >= {"own", "none"}
+
+
+WORDINGS = [
+    ("Licensed under the GNU Affero GPL version 3.", "AGPL-3.0"), ("This code is licensed under the GPL version 2", "GPL-2.0"),
+    ("Released under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the ISC License.", "ISC"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\nint main;", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: Acme-1.0", "Acme-1.0"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("Copyright 2020 X\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+     "following conditions are met:\n\n1. Redistributions of source code must retain the notice.", "BSD-2-Clause"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+     "are met:\n\n3. Neither the name of Acme nor its staff may be used to endorse\nor promote products derived from this software.", "BSD-3-Clause"),
+]
+
+
+def test_wordings_outside_the_tables(spark):
+    frame = spark.createDataFrame([(f"{i}/f", t) for i, (t, _) in enumerate(WORDINGS)], "path string, text string")
+    got = {r.path: r.license for r in licenses.scan(frame).collect()}
+    assert [(t, got[f"{i}/f"]) for i, (t, _) in enumerate(WORDINGS)] == WORDINGS
+
+
+def test_notice_among_other_words_does_not_depend_on_table_size(spark):
+    texts = ["This file is released under the MIT License by Acme of Ohio with thanks to many helpful volunteers.",
+             "Copyright 2024 Acme Holdings Incorporated Ohio. All rights reserved."]
+    for size in (0, 5000):
+        rows = [(f"{i}/f", t) for i, t in enumerate(texts)] + [(f"z{i}/f", "plain words") for i in range(size)]
+        got = licenses.scan(spark.createDataFrame(rows, "path string, text string")).where("origin = 'own'").collect()
+        assert {r.path: r.license for r in got} == {"0/f": "MIT", "1/f": "Proprietary"}
