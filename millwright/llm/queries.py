@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, licenses, linededup, neighbors, packing, pii, quality, sharding, simhash, urlfilter
+from millwright.llm import (
+    decontaminate, divergence, licenses, linededup, minhash, neighbors, packing, pii, quality, sharding, simhash, targeting, urlfilter,
+)
 from millwright.llm.common import free_name, hex16
 from millwright.session import prepare
 
@@ -199,3 +201,107 @@ def op10(spark, folder):
     )
     files = table(spark, folder, "documents").select("doc_id", F.concat_ws("/", project, name).alias("path"), "text")
     return licenses.scan(files, carry=("doc_id",))
+
+
+@query("op11_minhash", check=r"""
+with recursive words as (
+  select row_number() over () as row_id, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+sets as materialized (
+  select doc_id, list_sort(list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                    when len(w) = 1 then w else [] end)) as s
+  from words),
+classes as materialized (select min(doc_id) as least, s, len(s) as n from sets where len(s) > 0 group by s),
+singles as materialized (select least, n, unnest(s) as x from classes),
+links as materialized (
+  select a.least as a, b.least as b from singles a join singles b
+    on a.x = b.x and a.least < b.least and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.least, b.least, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (
+  select least as a, least as b from classes
+  union
+  select r.a, case when l.a = r.b then l.b else l.a end from reach r join links l on l.a = r.b or l.b = r.b),
+roots as (select a as least, min(b) as component_id from reach group by 1)
+select sets.doc_id, len(sets.s)::bigint as n_shingles, coalesce(component_id, sets.doc_id) as component_id,
+       coalesce(component_id, sets.doc_id) = sets.doc_id as kept
+from sets left join classes on classes.s = sets.s left join roots on roots.least = classes.least
+""")
+def op11(spark, folder):
+    groups = minhash.near_duplicates(table(spark, folder, "documents"), size=2)
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+# CRC-32 in SQL: its table from the rule, then one look-up a byte.
+_CRC32 = """
+crc_table as materialized (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, 3988292384 * (c & 1))) order by i) as t
+  from range(256) as r(i)),
+crc as materialized (
+  select term, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(term)) + 1),
+                     lambda i: ('0x' || substr(hex(encode(term)), 2 * i - 1, 2))::bigint)),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from (select distinct term from uses), crc_table)"""
+
+
+@query("op12_target_resampling", check=rf"""
+with texts as (
+  select 0 as side, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+uses as materialized (
+  select side, id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from texts),
+{_CRC32},
+counted as materialized (
+  select crc % 10000 as bucket, count(*) filter (where side = 0) as s, count(*) filter (where side = 1) as t
+  from uses join crc using (term) group by 1),
+gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain
+  from counted),
+weights as (
+  select id, count(*) as n_features, sum(gain)::bigint as weight
+  from uses join crc using (term) join gains on gains.bucket = crc % 10000 where side = 0 group by id),
+scored as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from documents left join weights on id = doc_id),
+placed as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= 20)
+select s.*, p.rank from scored s left join placed p on p.doc_id = s.doc_id and p.rank <= 10 * p.n // 100
+""")
+def op12(spark, folder):
+    drawn = targeting.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_source_divergence", check=r"""
+with docs as (
+  select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+terms as (
+  select row_id, lang, source, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+kept as materialized (select lang, term, count(*) as n from terms group by all having count(distinct row_id) >= 30),
+own as materialized (select lang, source, term, count(*) as n from terms semi join kept using (lang, term) group by all),
+groups as materialized (select distinct lang, source from docs),
+langs as (select lang, count(*) as v, sum(n) as n from kept group by 1),
+sizes as (select lang, source, coalesce(sum(n), 0) as n from groups left join own using (lang, source) group by all),
+shares as materialized (
+  select g.lang, g.source, k.term, coalesce(o.n, 0) as uses,
+         (1 + (1000000000::hugeint * (coalesce(o.n, 0) + 5)) // (g.n + 5 * l.v))::bigint as p,
+         (1 + (1000000000::hugeint * (k.n + 5)) // (l.n + 5 * l.v))::bigint as q
+  from sizes g join kept k using (lang) join langs l using (lang) left join own o on (o.lang, o.source, o.term) = (g.lang, g.source, k.term)),
+sums as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on (s.lang, s.source, s.item) = (a.lang, a.source, b.source)),
+surplus as (select lang, source, 'term' as part, term as item, p - q as value from shares where uses > 0 and p > q),
+both_parts as (select * from pairs union all select * from surplus)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from both_parts qualify part = 'pair' or rank <= 50
+""")
+def op13(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
