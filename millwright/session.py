@@ -79,7 +79,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once nothing that is still to be computed reads them.
+
+    Frames of other origin are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def deal(df: DataFrame, *keys: str) -> DataFrame:
