@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.session import cut_lineage, deal
+from millwright.session import cut_lineage, deal, forget
 
-__all__ = ["SLICE_BYTES", "bounded_batches", "by_slices", "cut_lineage", "deal", "free_name", "grouped_runs", "hex16", "number_rows", "text_buffers"]
+__all__ = ["SLICE_BYTES", "bounded_batches", "by_slices", "cut_lineage", "deal", "forget", "free_name", "grouped_runs", "hex16", "number_rows", "text_buffers"]
 
 # Texts are worked on in slices of about this many bytes, whatever the size of an Arrow
 # batch, so a task's memory does not follow the batch.

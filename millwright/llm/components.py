@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import cut_lineage
+from millwright.llm.common import cut_lineage, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        last, edges = edges, cut_lineage(_small_star(_large_star(edges)))
+        forget(last)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38, 0)))")).first()
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

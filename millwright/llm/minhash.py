@@ -11,12 +11,15 @@ probability, the pair is dropped. What passes all batches is verified on the ful
 Only components matter to the result, so pairs inside one component are not looked at again. Every set is first verified
 against one partner, the first set of one of its bands; next against the first sets of its other bands, where that could still join two
 components; last come bands that hold several components: their members are dealt into blocks, blocks meet in
-pairs, and signatures are compared inside a task, which hands on survivors only.
+pairs, and signatures are compared inside a task. Texts that share a long passage crowd such bands without being similar
+enough. So a task also knows the first shingles of every set in an order, the same for all, that puts common
+shingles last: a similar pair shares one of them, and its places in both sets bound what they can share in all. Only pairs within that bound
+are handed on to be verified.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from math import comb
 
 import numpy as np
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import bounded_batches, by_slices, cut_lineage, deal, free_name, grouped_runs, text_buffers
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, deal, forget, free_name, grouped_runs, text_buffers
 from millwright.llm.components import components
 from millwright.llm.hashing import BASE, bounds, mixed, range_hashes
 
@@ -33,7 +36,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 160, 5  # minima of a signature, and of a band
 BATCH = 32  # minima compared at a time
 MISS = 1e-6  # chosen probability below which a pair is dropped
-BLOCK = 512  # sets of a crowded band, or partners of one set, that a task takes together
+BLOCK = 4096  # sets of a crowded band, or partners of one set, that a task takes together
+ORDER_BITS = 18  # size of the table of counts that the order of shingles follows
 
 # Blanks that part words, and lower case.
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -194,7 +198,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     ordered = deal(rows, "a", "block").sortWithinPartitions("a", "block", "kind")
-    return cut_lineage(ordered.mapInArrow(check, "a long, b long"))
+    links = cut_lineage(ordered.mapInArrow(check, "a long, b long"))
+    forget(pairs)
+    return links
 
 
 # ---- candidates -------------------------------------------------------------
@@ -218,8 +224,57 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a_root <> b_root").select("a", "b")
 
 
-def _crossing(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, miss: float, block: int, best: bool) -> DataFrame:
-    """Pairs from bands that hold several components, across components, that pass the batches.
+def _counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many texts hold the shingles of each of 2^ORDER_BITS classes of hashes; one row a task and class at most."""
+
+    def count(batches):
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for own in by_slices(batch.column(0), lambda part: shingle_hashes(part, size)):
+                total += np.bincount(_classes(own), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["x", "n"])
+
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    for row in texts.select("text").mapInArrow(count, "x int, n long").groupBy("x").agg(F.sum("n").alias("n")).collect():
+        total[row.x] = row.n
+    return total
+
+
+def _classes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _first_shingles(text: Column, size: int, permille: int, counts: np.ndarray) -> Column:
+    """The first n - ceil(t n) + 1 shingles of a text's set, those of common classes last."""
+
+    def one_slice(texts):
+        for own in shingle_hashes(texts, size):
+            most = len(own) - -(-permille * len(own) // 1000) + 1
+            yield own[np.lexsort((own, counts[_classes(own)]))][:most].view(np.int64)
+
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array(list(by_slices(texts, one_slice)), pa.list_(pa.int64()))
+
+    return F.arrow_udf(work, "array<long>")(text)
+
+
+def _may_reach(left: np.ndarray, right: np.ndarray, n: int, m: int, permille: int) -> bool:
+    """Whether sets of n and m shingles with these first ones can be similar enough.
+
+    Before the first one that both have they share none, so they share no more than what is left of either.
+    """
+    at = np.flatnonzero(np.isin(left, right))
+    if not len(at):
+        return False
+    most = min(n - at[0], m - np.flatnonzero(right == left[at[0]])[0])
+    return 1000 * most >= permille * (n + m - most)
+
+
+def _crossing(
+    members: DataFrame, sets: DataFrame, firsts: DataFrame, roots: DataFrame, threshold: float, miss: float, block: int, best: bool
+) -> DataFrame:
+    """Pairs from bands that hold several components, across components, that pass the batches and the bound.
 
     With ``best``, a task hands on one pair of every two components it sees, that with the most matches.
     """
@@ -228,15 +283,20 @@ def _crossing(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
     several = several.where("low <> high and held > 2").select("key", F.ceil(F.col("held") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("set_id", "key"), F.col("blocks")).cast("int")
-    placed = rooted.join(several, "key").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    held = cut_lineage(rooted.join(several, "key").withColumn("own", own))
+    crowded = held.select("set_id").distinct().join(firsts, "set_id").join(sets.select("set_id", "n", "sig"), "set_id")
+    placed = held.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
     placed = placed.select("key", "set_id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    placed = placed.join(sets.select("set_id", "n", "sig"), "set_id")
+    placed = placed.join(crowded, "set_id").select("key", "i", "j", "set_id", "root", "n", "sig", "first")
     keys = ["key", "i", "j"]
 
     def compare(batches):
-        for table in grouped_runs(batches, keys, 2 * block):
+        for table in grouped_runs(batches, keys, block):
             ids, roots_, sizes = (table.column(c).to_numpy() for c in ("set_id", "root", "n"))
             sigs = _table(table.column("sig"))
+            lists = table.column("first").combine_chunks()
+            firsts_, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            first = lambda x: firsts_[edges[x] : edges[x + 1]]
             marks = [table.column(c).to_numpy() for c in keys]
             changed = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             a, b = [], []
@@ -248,37 +308,50 @@ def _crossing(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
                     rest = rest[(roots_[rest] != roots_[at]) & (1000 * n >= permille * m)]
                     alive, matches = survivors(np.broadcast_to(sigs[at], (len(rest), HASHES)), sigs[rest], needed)
                     for other, count in zip(rest[alive].tolist(), matches.tolist()):
+                        names = (int(min(roots_[at], roots_[other])), int(max(roots_[at], roots_[other])))
+                        if best and chosen.get(names, (0,))[0] >= count:
+                            continue
+                        if not _may_reach(first(at), first(other), sizes[at], sizes[other], permille):
+                            continue
                         pair = (int(min(ids[at], ids[other])), int(max(ids[at], ids[other])))
-                        if not best:
+                        if best:
+                            chosen[names] = (count, *pair)
+                        else:
                             a.append(pair[0])
                             b.append(pair[1])
-                            continue
-                        names = (int(min(roots_[at], roots_[other])), int(max(roots_[at], roots_[other])))
-                        chosen[names] = max(chosen.get(names, (0, 0, 0)), (count, *pair))
                 a += [x[1] for x in chosen.values()]
                 b += [x[2] for x in chosen.values()]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return deal(placed, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+    pairs = cut_lineage(deal(placed, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct())
+    forget(rooted, held)
+    return pairs
 
 
 def _links(sets: DataFrame, texts: DataFrame, members: DataFrame, size: int, threshold: float, miss: float, block: int) -> DataFrame:
     """(node, root): components of the sets over verified pairs."""
     offered = members.where("set_id <> pivot")
-    pruned = lambda pairs: _pruned(pairs, sets, threshold, miss)
-    verified = lambda pairs: _verified(pairs, texts, size, threshold)
+    parts: list[DataFrame] = []
+    roots = None
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        parts.append(_verified(pairs, texts, size, threshold))
+        found = cut_lineage(components(reduce(DataFrame.union, parts)))
+        if roots is not None:
+            forget(roots)
+        return found
+
     first = offered.groupBy("set_id").agg(F.min("pivot").alias("a")).select("a", F.col("set_id").alias("b"))
-    links = verified(pruned(first))
-    roots = cut_lineage(components(links))
+    roots = joined(_pruned(first, sets, threshold, miss))
     others = offered.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = links.union(verified(pruned(_apart(others, roots))))
-    roots = cut_lineage(components(links))
+    roots = joined(_pruned(_apart(others, roots), sets, threshold, miss))
+    firsts = texts.select("set_id", _first_shingles(F.col("text"), size, round(threshold * 1000), _counts(texts, size)).alias("first"))
     for best in (True, False):
-        crossing = cut_lineage(_crossing(members, sets, roots, threshold, miss, block, best))
+        crossing = _crossing(members, sets, firsts, roots, threshold, miss, block, best)
         if crossing.isEmpty():
             break
-        links = links.union(verified(crossing))
-        roots = cut_lineage(components(links))
+        roots = joined(crossing)
+    forget(*parts)
     return roots
 
 
@@ -312,6 +385,7 @@ def near_duplicates(
     texts = cut_lineage(texts.select("set_id", "text"))
     roots = _links(sets, texts, members, size, threshold, miss, block)
     rooted = cut_lineage(_rooted(sets.select("set_id", "least"), roots))
+    forget(texts, members, roots, sets)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(named, "root").select("set_id", "component_id")
     found = rows.where("n > 0").join(labels, "set_id").select("doc_id", "n", "component_id")

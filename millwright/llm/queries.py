@@ -106,9 +106,11 @@ def op7(spark, folder):
 
 
 def labelled_documents(spark, folder, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``target``, which marks the sample of documents labelled as good."""
-    target = quality.labelled_target(table(spark, folder, "labels"), F.col("quality") == 1)
-    return quality.with_target(docs, target, quality_mark(docs))
+    """``docs`` marked for the quality model by ``labels``: good and not toxic is the target, toxic is unwanted."""
+    labels = table(spark, folder, "labels")
+    toxic = F.coalesce("toxic", F.lit(0)) == 1
+    good, bad = (quality.labelled_target(labels, which) for which in ((F.col("quality") == 1) & ~toxic, toxic))
+    return quality.with_target(docs, good, quality_mark(docs), unwanted=bad)
 
 
 def quality_mark(docs: DataFrame) -> str:

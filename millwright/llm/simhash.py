@@ -236,13 +236,19 @@ def near_duplicates(
     return rows.join(labels, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 3) -> DataFrame:
+def keep_one(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 3, also: DataFrame | None = None
+) -> DataFrame:
     """The documents that stay: of each near-duplicate group the rows with its smallest id.
 
-    Columns as in ``docs``. Rows that repeat that id are all kept but exact repeats of
-    text under it are the caller's; rows with a null id stay, as nothing names them.
+    ``also`` may hold further groups (``doc_id``, component_id), named by their smallest ids; groups that share a document
+    are one. Columns as in ``docs``. Rows that repeat an id that stays are all kept, and so are rows with a null id, as
+    nothing names them.
     """
-    groups = near_duplicates(docs, text, doc_id, radius)
+    groups = near_duplicates(docs, text, doc_id, radius).select(F.col(doc_id).alias("a"), F.col("component_id").alias("b"))
+    if also is not None:
+        links = groups.union(also.select(F.col(doc_id), "component_id")).where("a <> b")
+        groups = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
     mark = free_name(docs, "dropped")
-    dropped = groups.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias(mark)).distinct()
+    dropped = groups.where("a <> b").select(F.col("a").alias(mark)).distinct()
     return docs.join(dropped, docs[doc_id] == F.col(mark), "left_anti")

@@ -4,6 +4,7 @@ from collections import Counter
 
 from test_decontaminate import plain as plain_contamination
 from test_linededup import plain as plain_lines
+from test_minhash import plain_roots
 from test_simhash import plain_fingerprint, plain_groups
 
 import corpus_pipeline
@@ -26,20 +27,26 @@ def test_stages_one_after_another(spark, tmp_path):
             assert docs.columns == frames[name][0].columns
 
     before, after = frames["quality classifier"]
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     kept = {r.doc_id for r in after.collect()}
     assert set(rows_of(after)) <= set(rows_of(before))
-    assert sum(labels[i] == 1 and i in kept for i in labels) >= 0.97 * sum(q == 1 for q in labels.values())
-    assert sum(labels[i] == 0 and i in kept for i in labels) <= 0.2 * sum(q == 0 for q in labels.values())
+    clean, poor = ([i in kept for i, r in labels.items() if r.quality == q and r.toxic <= 1 - q] for q in (1, 0))
+    assert sum(clean) >= 0.97 * len(clean) and sum(poor) <= 0.2 * len(poor)
 
     before, after = ({r.doc_id: r for r in x.collect()} for x in frames["line dedup"])
     ids = sorted(before)
     for i, (_, _, text, _) in zip(ids, plain_lines([before[i].text for i in ids], 10)):
         assert (after[i].text, after[i].n_chars, after[i].source) == (text, len(text), before[i].source)
 
-    before, after = (sorted(x.collect()) for x in frames["near duplicates"])
-    roots = plain_groups([plain_fingerprint(r.text) for r in before])
-    assert after == [r for n, r in enumerate(before) if roots[n] == n]
+    before, after = (sorted(x.collect()) for x in frames["SimHash near-dedup"])
+    ids = [r.doc_id for r in before]
+    links = [(ids[n], ids[root]) for n, root in enumerate(plain_groups([plain_fingerprint(r.text) for r in before]))]
+    links += plain_roots({r.doc_id: r.text for r in before}, 5).items()
+    least = {i: i for i in ids}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert after == [r for r in before if least[r.doc_id] == r.doc_id]
 
     before, after = (sorted(x.collect()) for x in frames["benchmark decontamination"])
     items = [tuple(r)[:2] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
@@ -56,9 +63,15 @@ def test_stages_one_after_another(spark, tmp_path):
     assert all(used[r.bin_id] <= r.bin_size for r in after)
 
 
-def test_run_equals_its_stages(spark):
+def test_run_equals_its_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(number)))
+        docs = spark.read.parquet(str(tmp_path / str(number)))
     got = corpus_pipeline.run(spark, FOLDER)
-    assert got.columns == ["doc_id", "piece", "start", "length", "bin_id", "bin_size", "bin_offset"] and got.count() > 0
+    assert got.columns == docs.columns and Counter(rows_of(got)) == Counter(rows_of(docs))
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
 
 
 def test_stages_survive_empty_and_odd_documents(spark, tmp_path):

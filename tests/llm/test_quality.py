@@ -1,6 +1,7 @@
 """The classifier's accuracy on labelled documents, exact sampling, and odd inputs."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millwright.llm import quality
@@ -12,9 +13,42 @@ MIDDLE = "/root/testdata/sf0.01"
 def test_good_documents_stay_and_bad_ones_go(spark):
     kept = {r.doc_id for r in QUERIES["op7_importance_resampling"](spark, MIDDLE).collect()}
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()
-    good = [r.doc_id in kept for r in labels if r.quality == 1]
+    good = [r.doc_id in kept for r in labels if r.quality == 1 and not r.toxic]
     bad = [r.doc_id in kept for r in labels if r.quality == 0]
-    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+    toxic = [r.doc_id in kept for r in labels if r.quality == 1 and r.toxic]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1 and np.mean(toxic) < 0.35
+
+
+def test_fit_equals_plain_counts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 30)) + (" rude" if i % 5 == 0 else "") for i in range(200)] + [None, "", "rude rude"]
+    marks = [quality.UNWANTED if i % 5 == 0 else quality.FIT if i % 5 == 1 else quality.HELD_OUT if i % 5 == 2 else 0 for i in range(203)]
+    docs = spark.createDataFrame([*zip(texts, marks)], "text string, m int").repartition(3)
+    model = quality.fit(docs, "m")
+    buckets, owners = quality.hashed_ngrams(pa.array(texts))
+    raw = np.bincount(buckets, minlength=1 << quality.BUCKET_BITS)
+    good = np.bincount(buckets[np.array(marks)[owners] == quality.FIT], minlength=len(raw))
+    assert np.allclose(model.ratios, np.log((good + 10) / (raw * (good.sum() / raw.sum()) + 10)))
+    rude = np.flatnonzero(model.warnings)
+    holders = sum(m == quality.UNWANTED and "rude" in (t or "") for t, m in zip(texts, marks))
+    n_good, n_bad = marks.count(quality.FIT), marks.count(quality.UNWANTED)
+    assert len(rude) == 1 and np.isclose(model.warnings[rude[0]], np.log(holders / (n_bad / (n_good + 1))))
+    weight = lambda t: docs.sparkSession.createDataFrame([(t,)], "t string").select(quality.log_weight(F.col("t"), *model)).first()[0]
+    long = " ".join(rng.choice(words, 5000))
+    assert weight(long + " rude rude") < weight(long) - 1.9 * model.warnings[rude[0]]
+
+
+def test_unwanted_ids_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (2, "c", 8), (None, "d", 9)], "doc_id long, text string, target int")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    marked = quality.with_target(docs, ids(1, 2), "mark", unwanted=ids(2, 5))
+    got = sorted(((r.doc_id or 0), r.target, r.mark) for r in marked.collect())
+    part = got[1][2]
+    assert part in (quality.FIT, quality.HELD_OUT)
+    assert got == [(0, 9, 0), (1, 7, part), (1, 7, part), (2, 8, quality.UNWANTED)]
+    kept = quality.sampled(marked, "mark", k=4)
+    assert kept.columns == docs.columns and kept.count() == 4
 
 
 def test_kth_largest(spark):
@@ -46,8 +80,6 @@ def test_fixed_size_sample_and_odd_texts(spark):
 def test_weight_equals_plain_ratio(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
     ratios = np.random.default_rng(0).normal(size=1 << quality.BUCKET_BITS)
-    import pyarrow as pa
-
     for row in docs.select("text", quality.log_weight(F.col("text"), ratios).alias("w")).collect():
         buckets, owners = quality.hashed_ngrams(pa.array(["x y z", row.text]))
         assert abs(row.w - ratios[buckets[owners == 1]].sum()) < 1e-9
