@@ -1,25 +1,22 @@
-"""Training corpus from ``documents``: six stages, each written to Parquet and read again."""
+"""Training corpus from ``documents``: five stages, each written to Parquet and read again."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, linededup, packing, quality, shingles, simhash
+from millwright.llm import decontaminate, linededup, minhash, packing, quality, simhash
+from millwright.llm import queries
 from millwright.llm.common import free_name
-from millwright.session import prepare, shared_folder
+from millwright.session import new_folder, prepare
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampler draws stay; documents labelled as good are its target."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mark = free_name(docs, "target")
-    marked = quality.with_target(docs, quality.labelled_target(labels, F.col("quality") == 1), mark)
-    return quality.sampled(marked, mark)
+    """Documents that the importance resampler draws stay; its target are documents labelled as good and not toxic."""
+    return quality.sampled(queries.labelled_documents(spark, sf_dir, docs), queries.quality_mark(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.keep_one(docs)
+    """One document of each SimHash group stays.
 
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those that pairs of similarity 0.8 or more, on five-word shingles, connect."""
-    return shingles.keep_one(docs)
+    Three differing bits stand for copies of a similarity near 0.99, and no radius that bands can search reaches 0.8. So
+    groups are joined by pairs of similarity 0.8 or more on five-word shingles, which MinHash finds.
+    """
+    return simhash.keep_one(docs, also=minhash.near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +50,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality_classifier),
     ("line dedup", line_dedup),
-    ("near duplicates", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
-    ("near copies", near_copies),
     ("best-fit packing", best_fit_packing),
 ]
 
@@ -67,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are written to the shared folder first."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "corpus")
     for number, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(out)
