@@ -11,10 +11,8 @@ probability, the pair is dropped. What passes all batches is verified on the ful
 Only components matter to the result, so pairs inside one component are not looked at again. Every set is first verified
 against one partner, the first set of one of its bands; next against the first sets of its other bands, where that could still join two
 components; last come bands that hold several components: their members are dealt into blocks, blocks meet in
-pairs, and signatures are compared inside a task. Texts that share a long passage crowd such bands without being similar
-enough. So a task also knows the first shingles of every set in an order, the same for all, that puts common
-shingles last: a similar pair shares one of them, and its places in both sets bound what they can share in all. Only pairs within that bound
-are handed on to be verified.
+pairs, and a task holds their signatures and full sets. It verifies what passes the batches at once and joins components as it goes, so it
+hands on no pair but the links that join two of them.
 """
 
 from __future__ import annotations
@@ -36,8 +34,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 160, 5  # minima of a signature, and of a band
 BATCH = 32  # minima compared at a time
 MISS = 1e-6  # chosen probability below which a pair is dropped
-BLOCK = 4096  # sets of a crowded band, or partners of one set, that a task takes together
-ORDER_BITS = 18  # size of the table of counts that the order of shingles follows
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20  # sets of a crowded band and shingles in them, or partners of one set, that form a block
 
 # Blanks that part words, and lower case.
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -109,6 +106,18 @@ def signature(text: Column, size: int = SHINGLE) -> Column:
     return F.arrow_udf(work, "struct<n: long, set_id: long, sig: binary>")(text.cast("string"))
 
 
+def _shingle_set(text: Column, size: int) -> Column:
+    """The sorted hashes of a text's distinct shingles as an array of longs."""
+
+    def one_slice(texts):
+        return [np.sort(own.view(np.int64)) for own in shingle_hashes(texts, size)]
+
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array(list(by_slices(texts, one_slice)), pa.list_(pa.int64()))
+
+    return F.arrow_udf(work, "array<long>")(text)
+
+
 # ---- sequential verification ------------------------------------------------
 @cache
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, ...]:
@@ -190,8 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
                     continue
                 if key != current:
                     raise ValueError("partners without the set they are compared with")
-                at = np.minimum(np.searchsorted(own, found), len(own) - 1)
-                shared = int(np.count_nonzero(own[at] == found))
+                shared = _shared(own, found)
                 if 1000 * shared >= permille * (len(own) + len(found) - shared):
                     a.append(key[0])
                     b.append(other)
@@ -224,108 +232,66 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("a_root <> b_root").select("a", "b")
 
 
-def _counts(texts: DataFrame, size: int) -> np.ndarray:
-    """How many texts hold the shingles of each of 2^ORDER_BITS classes of hashes; one row a task and class at most."""
-
-    def count(batches):
-        total = np.zeros(1 << ORDER_BITS, np.int64)
-        for batch in batches:
-            for own in by_slices(batch.column(0), lambda part: shingle_hashes(part, size)):
-                total += np.bincount(_classes(own), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["x", "n"])
-
-    total = np.zeros(1 << ORDER_BITS, np.int64)
-    for row in texts.select("text").mapInArrow(count, "x int, n long").groupBy("x").agg(F.sum("n").alias("n")).collect():
-        total[row.x] = row.n
-    return total
-
-
-def _classes(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
-
-
-def _first_shingles(text: Column, size: int, permille: int, counts: np.ndarray) -> Column:
-    """The first n - ceil(t n) + 1 shingles of a text's set, those of common classes last."""
-
-    def one_slice(texts):
-        for own in shingle_hashes(texts, size):
-            most = len(own) - -(-permille * len(own) // 1000) + 1
-            yield own[np.lexsort((own, counts[_classes(own)]))][:most].view(np.int64)
-
-    def work(texts: pa.Array) -> pa.Array:
-        return pa.array(list(by_slices(texts, one_slice)), pa.list_(pa.int64()))
-
-    return F.arrow_udf(work, "array<long>")(text)
-
-
-def _may_reach(left: np.ndarray, right: np.ndarray, n: int, m: int, permille: int) -> bool:
-    """Whether sets of n and m shingles with these first ones can be similar enough.
-
-    Before the first one that both have they share none, so they share no more than what is left of either.
-    """
-    at = np.flatnonzero(np.isin(left, right))
-    if not len(at):
-        return False
-    most = min(n - at[0], m - np.flatnonzero(right == left[at[0]])[0])
-    return 1000 * most >= permille * (n + m - most)
-
-
-def _crossing(
-    members: DataFrame, sets: DataFrame, firsts: DataFrame, roots: DataFrame, threshold: float, miss: float, block: int, best: bool
-) -> DataFrame:
-    """Pairs from bands that hold several components, across components, that pass the batches and the bound.
-
-    With ``best``, a task hands on one pair of every two components it sees, that with the most matches.
-    """
+def _crossing(members: DataFrame, sets: DataFrame, whole: DataFrame, roots: DataFrame, threshold: float, miss: float, block: int) -> DataFrame:
+    """Verified links (a, b) that join components within bands that hold several; ``whole`` has the sets (set_id, own)."""
     permille, needed = round(threshold * 1000), least_matches(threshold, miss)
-    rooted = cut_lineage(_rooted(members.select("set_id", "key"), roots))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
-    several = several.where("low <> high and held > 2").select("key", F.ceil(F.col("held") / block).cast("int").alias("blocks"))
+    rooted = _rooted(members.select("set_id", "key"), roots).join(sets.select("set_id", "n"), "set_id")
+    rooted = cut_lineage(rooted)
+    several = rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), F.sum("n").alias("size")
+    )
+    blocks = F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    several = several.where("low <> high and held > 2").select("key", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("set_id", "key"), F.col("blocks")).cast("int")
-    held = cut_lineage(rooted.join(several, "key").withColumn("own", own))
-    crowded = held.select("set_id").distinct().join(firsts, "set_id").join(sets.select("set_id", "n", "sig"), "set_id")
+    held = cut_lineage(rooted.join(several, "key").withColumn("own_block", own))
+    crowded = held.select("set_id").distinct().join(whole, "set_id").join(sets.select("set_id", "sig"), "set_id")
     placed = held.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("key", "set_id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    placed = placed.join(crowded, "set_id").select("key", "i", "j", "set_id", "root", "n", "sig", "first")
+    placed = placed.select("key", "set_id", "root", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"))
+    placed = placed.join(crowded, "set_id").select("key", "i", "j", "set_id", "root", "sig", "own")
     keys = ["key", "i", "j"]
 
     def compare(batches):
-        for table in grouped_runs(batches, keys, block):
-            ids, roots_, sizes = (table.column(c).to_numpy() for c in ("set_id", "root", "n"))
+        for table in grouped_runs(batches, keys, 256):
+            ids, names = (table.column(c).to_numpy() for c in ("set_id", "root"))
             sigs = _table(table.column("sig"))
-            lists = table.column("first").combine_chunks()
-            firsts_, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
-            first = lambda x: firsts_[edges[x] : edges[x + 1]]
+            lists = table.column("own").combine_chunks()
+            hashes, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            sizes = np.diff(edges)
             marks = [table.column(c).to_numpy() for c in keys]
             changed = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             a, b = [], []
             for start, end in zip([0, *changed.tolist()], [*changed.tolist(), len(ids)]):
-                chosen: dict[tuple[int, int], tuple[int, int, int]] = {}
+                group = np.unique(names[start:end], return_inverse=True)[1]  # components, renamed as they are joined
                 for at in range(start, end - 1):
                     rest = np.arange(at + 1, end)
-                    n, m = np.minimum(sizes[rest], sizes[at]), np.maximum(sizes[rest], sizes[at])
-                    rest = rest[(roots_[rest] != roots_[at]) & (1000 * n >= permille * m)]
-                    alive, matches = survivors(np.broadcast_to(sigs[at], (len(rest), HASHES)), sigs[rest], needed)
-                    for other, count in zip(rest[alive].tolist(), matches.tolist()):
-                        names = (int(min(roots_[at], roots_[other])), int(max(roots_[at], roots_[other])))
-                        if best and chosen.get(names, (0,))[0] >= count:
-                            continue
-                        if not _may_reach(first(at), first(other), sizes[at], sizes[other], permille):
+                    least, most = np.minimum(sizes[rest], sizes[at]), np.maximum(sizes[rest], sizes[at])
+                    rest = rest[(group[rest - start] != group[at - start]) & (1000 * least >= permille * most)]
+                    if not len(rest):
+                        continue
+                    alive, _ = survivors(np.broadcast_to(sigs[at], (len(rest), HASHES)), sigs[rest], needed)
+                    left = hashes[edges[at] : edges[at + 1]]
+                    for other in rest[alive].tolist():
+                        if group[other - start] == group[at - start]:
                             continue
-                        pair = (int(min(ids[at], ids[other])), int(max(ids[at], ids[other])))
-                        if best:
-                            chosen[names] = (count, *pair)
-                        else:
-                            a.append(pair[0])
-                            b.append(pair[1])
-                a += [x[1] for x in chosen.values()]
-                b += [x[2] for x in chosen.values()]
+                        right = hashes[edges[other] : edges[other + 1]]
+                        shared = _shared(left, right)
+                        if 1000 * shared >= permille * (len(left) + len(right) - shared):
+                            a.append(int(ids[at]))
+                            b.append(int(ids[other]))
+                            group[group == group[other - start]] = group[at - start]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    pairs = cut_lineage(deal(placed, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct())
+    links = cut_lineage(deal(placed, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct())
     forget(rooted, held)
-    return pairs
+    return links
+
+
+def _shared(left: np.ndarray, right: np.ndarray) -> int:
+    """How many numbers two sorted arrays without repeats have in common."""
+    if not len(left):
+        return 0
+    at = np.minimum(np.searchsorted(left, right), len(left) - 1)
+    return int(np.count_nonzero(left[at] == right))
 
 
 def _links(sets: DataFrame, texts: DataFrame, members: DataFrame, size: int, threshold: float, miss: float, block: int) -> DataFrame:
@@ -334,23 +300,20 @@ def _links(sets: DataFrame, texts: DataFrame, members: DataFrame, size: int, thr
     parts: list[DataFrame] = []
     roots = None
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        parts.append(_verified(pairs, texts, size, threshold))
+    def joined(links: DataFrame) -> DataFrame:
+        parts.append(links)
         found = cut_lineage(components(reduce(DataFrame.union, parts)))
         if roots is not None:
             forget(roots)
         return found
 
+    verified = lambda pairs: _verified(_pruned(pairs, sets, threshold, miss), texts, size, threshold)
     first = offered.groupBy("set_id").agg(F.min("pivot").alias("a")).select("a", F.col("set_id").alias("b"))
-    roots = joined(_pruned(first, sets, threshold, miss))
+    roots = joined(verified(first))
     others = offered.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    roots = joined(_pruned(_apart(others, roots), sets, threshold, miss))
-    firsts = texts.select("set_id", _first_shingles(F.col("text"), size, round(threshold * 1000), _counts(texts, size)).alias("first"))
-    for best in (True, False):
-        crossing = _crossing(members, sets, firsts, roots, threshold, miss, block, best)
-        if crossing.isEmpty():
-            break
-        roots = joined(crossing)
+    roots = joined(verified(_apart(others, roots)))
+    whole = texts.select("set_id", _shingle_set(F.col("text"), size).alias("own"))
+    roots = joined(_crossing(members, sets, whole, roots, threshold, miss, block))
     forget(*parts)
     return roots
 
