@@ -28,16 +28,16 @@ def query_weights(query: str) -> dict[int, int]:
     return weights
 
 
-def document_evidence(chunks: DataFrame, query: str, k: int, separator: str) -> DataFrame:
+def document_evidence(chunks: DataFrame, query: str, k: int, separator: str, max_chars: int | None = None) -> DataFrame:
     """Per document, the k chunks nearest to a fixed query joined in rank order.
 
-    ``chunks(document_id, chunk_index, text)``.  Chunks are scored in their rows;
-    only the k nearest of each document and task are shuffled.
+    ``chunks(document_id, chunk_index, text)``.  Chunks are scored in their rows, whole or by their
+    first ``max_chars`` characters; only the k nearest of each document and task are shuffled.
     """
     weights = query_weights(query)
     scored = chunks.select(
         "document_id", "chunk_index", "text",
-        let(hash_entries(F.col("text")), lambda e: distance_to(e, weights)).alias("distance"),
+        let(hash_entries(F.col("text"), max_chars), lambda e: distance_to(e, weights)).alias("distance"),
     )
     nearest = W.partitionBy("document_id").orderBy("distance", "chunk_index")
     ranked = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
@@ -48,23 +48,25 @@ def document_evidence(chunks: DataFrame, query: str, k: int, separator: str) ->
 def compliance_work(evidence: DataFrame, rules: DataFrame, most_rules: int | None = 10) -> DataFrame:
     """One row per document with evidence and active rule, rules by code up to the limit (all: None).
 
-    Every document meets every rule: that is the work list. How the rules travel is left to their size.
+    Every document meets every rule: that is the work list. It names rules by id and carries whatever columns
+    ``evidence(document_id, ...)`` has, so give it ids or digests and join texts to the part that is worked on.
     """
-    active = rules.where("is_active").select("rule_code", F.col("id").alias("rule_id"), "full_text")
+    active = rules.where("is_active").select("rule_code", F.col("id").alias("rule_id"))
     if most_rules is not None:
         active = active.orderBy("rule_code").limit(most_rules)
-    return evidence.crossJoin(active).select("document_id", "procedure_text", "rule_code", "rule_id", "full_text")
+    return evidence.crossJoin(active)
 
 
 def compliance_scan(
     documents: DataFrame, chunks: DataFrame, rules: DataFrame, most_documents: int | None = 5, most_rules: int | None = 3
 ) -> DataFrame:
-    """The scheduled work list over completed documents by id; None lifts a limit."""
+    """The scheduled work list over completed documents by id, with a digest of each document's evidence; None lifts a limit."""
     due = documents.where("status = 'completed'").select(F.col("id").alias("document_id"))
     if most_documents is not None:
         due = due.orderBy("document_id").limit(most_documents)
     evidence = document_evidence(chunks.join(due, "document_id", "left_semi"), SCAN_QUERY, 3, " ")
-    return compliance_work(evidence, rules, most_rules)
+    digests = evidence.select("document_id", F.md5(F.col("procedure_text").cast("binary")).alias("digest"))
+    return compliance_work(digests, rules, most_rules)
 
 
 def record_checks(verdicts: DataFrame, lower_status: bool = False) -> DataFrame:

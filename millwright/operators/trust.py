@@ -204,15 +204,12 @@ def extractive_answer(
 ) -> DataFrame:
     """Answer made of the retrieved sentences that share most words with the question.
 
-    A chunk that many questions cite is split and tokenised once.
+    Chunks are split in their rows, so no text is shuffled but the sentences.
     """
     asked = questions.select("question_id", F.filter(_terms(F.col("question")), lambda x: F.length(x) > 2).alias("asked"))
     top = retrieved.where(F.col("rank") <= chunks)
     flat = strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
-    keyed = top.select("question_id", "rank", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    parts = keyed.select("digest", "text").dropDuplicates(["digest"])
-    said = unnest(parts, ["digest"], tx.sentences(flat), "sentence", "place").withColumn("terms", _terms(F.col("sentence")))
-    said = keyed.select("question_id", "rank", "digest").join(said, "digest")
+    said = unnest(top, ["question_id", "rank"], tx.sentences(flat), "sentence", "place").withColumn("terms", _terms(F.col("sentence")))
     scored = said.join(asked, "question_id").withColumn("score", F.size(F.array_intersect("asked", "terms")))
     once = scored.groupBy("question_id", "sentence").agg(F.max("score").alias("score"), F.min(F.struct("rank", "place")).alias("at"))
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "at")

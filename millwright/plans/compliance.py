@@ -45,11 +45,10 @@ _WORK = """select e.document_id, r.rule_code, r.id as rule_id, md5(e.procedure_t
 
 
 def _work(t, most):
-    evidence = cp.document_evidence(chunks(t), cp.CHECK_QUERY, 10, "\n\n")
-    return cp.compliance_work(evidence, t.rules, most).select(
-        "document_id", "rule_code", "rule_id", F.md5(F.col("procedure_text").cast("binary")).alias("digest"),
-        F.length("procedure_text").cast("long").alias("n"),
+    evidence = cp.document_evidence(chunks(t), cp.CHECK_QUERY, 10, "\n\n").select(
+        "document_id", F.md5(F.col("procedure_text").cast("binary")).alias("digest"), F.length("procedure_text").cast("long").alias("n")
     )
+    return cp.compliance_work(evidence, t.rules, most).select("document_id", "rule_code", "rule_id", "digest", "n")
 
 
 @query("compliance_work", _WORK.format(most="order by rule_code limit 10"))
@@ -67,20 +66,18 @@ _SCAN = """select e.document_id, r.rule_code, md5(e.procedure_text) as digest
             (select * from v_rules where is_active {rules}) r"""
 
 
-def _scan(t, *most):
-    return cp.compliance_scan(t.documents, chunks(t), t.rules, *most).select(
-        "document_id", "rule_code", F.md5(F.col("procedure_text").cast("binary")).alias("digest")
-    )
+def scan(t, *most):
+    return cp.compliance_scan(t.documents, chunks(t), t.rules, *most).select("document_id", "rule_code", "digest")
 
 
 @query("compliance_scan", _SCAN.format(documents="order by id limit 5", rules="order by rule_code limit 3"))
 def _(t):
-    return _scan(t, 5, 3)
+    return scan(t, 5, 3)
 
 
 @query("compliance_scan_all", _SCAN.format(documents="", rules=""))
 def _(t):
-    return _scan(t, None, None)
+    return scan(t, None, None)
 
 
 _STATUS = duck_field("STATUS", "INSUFFICIENT_INFORMATION")

@@ -110,11 +110,14 @@ def _(t):
 
 @query(
     "merge_edges_digraph",
-    """with x_changes as (select src, dst, arg_max(rel, seq) as rel, arg_max(source, seq) as source from x_all_edge_updates
-                          semi join (select id as src from v_nodes) using (src) semi join (select id as dst from v_nodes) using (dst)
-                          where rel in ('feeds_into', 'controls', 'bypasses', 'connected_to', 'part_of') group by 1, 2)
+    """with x_ids as materialized (select id from v_nodes), x_old as materialized (select src, dst, rel from v_edges),
+            x_sent as materialized (select * from x_all_edge_updates),
+            x_changes as materialized (
+              select src, dst, arg_max(rel, seq) as rel, arg_max(source, seq) as source from x_sent
+              where src in (select id from x_ids) and dst in (select id from x_ids)
+                and rel in ('feeds_into', 'controls', 'bypasses', 'connected_to', 'part_of') group by 1, 2)
        select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(c.rel, e.rel) as rel, coalesce(c.source, 'load') as source
-       from v_edges e full outer join x_changes c on c.src = e.src and c.dst = e.dst""",
+       from x_old e full outer join x_changes c on c.src = e.src and c.dst = e.dst""",
 )
 def _(t):
     return gb.merge_digraph_edges(t.nodes, t.edges.withColumn("source", F.lit("load")), edge_updates(t))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwright.operators import rate_limit as rl
 from millwright.operators import reliability as rel
-from millwright.plans import extraction  # noqa: F401  its check SQL is part of the one of stream_ingest
+from millwright.plans import compliance, extraction  # noqa: F401  their check SQL is part of that of streams
 from millwright.plans.registry import CHECKS, query
 from millwright.plans.reliability import as_of
 from millwright.plans.text import STRICT, duck_tags
@@ -98,6 +98,31 @@ def _(t):
     return rl.rate_limit_audit(t.requests, LIMIT, WINDOW).select("client", "request_id", "accepted", "retry_after_seconds", "remaining")
 
 
+IDLE = 86400
+
+
+@query(
+    "idle_key_eviction",
+    _EXACT.replace("select client, request_id, accepted, retry_after_seconds, remaining from x_run", f"""
+    select 'verdict' as kind, client, request_id, us, accepted, remaining from x_run
+    union all select 'evicted', client, null, max(epoch_us(ts)), null, null from v_requests group by client
+    having max(epoch_us(ts)) // 1000 + {IDLE * 1000} <= (select max(epoch_us(ts)) // 1000 from v_requests)"""),
+)
+def _(t):
+    """Requests as a stream, with the clients whose state is dropped on the way."""
+    folder = new_folder(t.spark, "run")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key)
+    jobs.prepare_state(t.spark)
+    try:
+        watched = jobs.watched_requests(t.replacing(events=arriving(t, "events")).requests, LIMIT, WINDOW, IDLE)
+        watched.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(
+            f"{folder}/rows").awaitTermination()
+    finally:
+        t.spark.conf.set(key, before)
+    return t.spark.read.schema(watched.schema).parquet(f"{folder}/rows")
+
+
 @query(
     "request_pressure",
     f"""select a.client, a.request_id, (select count(*) from v_requests b where b.client = a.client and b.ts <= a.ts and epoch_us(a.ts) - epoch_us(b.ts) < {WINDOW}::bigint * 1000000) as in_window
@@ -112,5 +137,30 @@ def _(t):
     "select overall_risk_level, (select count(*) from x_overdue) as overdue_inspections_count from x_level where overall_risk_level in ('High', 'Critical')",
 )
 def _(t):
+    return _alerts(t)
+
+
+def _alerts(t):
     level = rel.overall_risk(rel.failure_clusters(t.inspections), rel.overdue_inspections(t.inspections, t.equipment, as_of()))
     return jobs.risk_alerts(level)
+
+
+@query(
+    "periodic_rescan",
+    f"""select 'compliance' as leg, document_id as subject, rule_code as item, digest as value from ({CHECKS["compliance_scan"]})
+        union all select 'risk', overall_risk_level, 'overdue', overdue_inspections_count::varchar from ({CHECKS["risk_alerts"]})""",
+)
+def _(t):
+    """Both legs of the periodic job, each run once."""
+    folder = new_folder(t.spark, "run")
+    scans = {
+        "compliance": lambda: compliance.scan(t, 5, 3).select(
+            F.col("document_id").alias("subject"), F.col("rule_code").alias("item"), F.col("digest").alias("value")),
+        "risk": lambda: _alerts(t).select(
+            F.col("overall_risk_level").alias("subject"), F.lit("overdue").alias("item"), F.col("overdue_inspections_count").cast("string").alias("value")),
+    }
+    for run in jobs.start_rescans(t.spark, scans, f"{folder}/scans", f"{folder}/checkpoint", once=True).values():
+        run.awaitTermination()
+    rows = t.spark.read.schema("subject string, item string, value string")
+    legs = [rows.parquet(f"{folder}/scans/{leg}").select(F.lit(leg).alias("leg"), "subject", "item", "value") for leg in scans]
+    return reduce(lambda a, b: a.unionByName(b), legs)

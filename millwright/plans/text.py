@@ -143,6 +143,15 @@ def _hits(words) -> str:
               from v_documents)""",
 )
 def _(t):
+    return _kinds(t, 4000)
+
+
+@query("classify_extraction_whole", CHECKS["classify_extraction"].replace("[1:4000]", ""))
+def _(t):
+    return _kinds(t, None)
+
+
+def _kinds(t, max_chars):
     requested = (
         F.when(F.col("status") == "failed", "pid")
         .when(F.col("status") == "processing", "maintenance_log")
@@ -150,7 +159,7 @@ def _(t):
         .otherwise("auto")
     )
     return t.documents.select(
-        "id", tx.extraction_kind(F.col("original_filename"), F.col("file_type"), F.col("text"), requested).alias("kind")
+        "id", tx.extraction_kind(F.col("original_filename"), F.col("file_type"), F.col("text"), requested, max_chars).alias("kind")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from millwright.functions import scoring
@@ -9,7 +11,7 @@ from millwright.functions import text as tx
 from millwright.functions.common import join_lines
 from millwright.operators import graph_walk as gw
 from millwright.operators import trust as tr
-from millwright.plans.registry import query
+from millwright.plans.registry import CHECKS, query
 from millwright.plans.reliability import as_of
 from millwright.plans.text import DUCK_CONFIDENCE, STRICT, WIDE, contains_case, duck_date, duck_review_date, duck_sentences, duck_strip, duck_tags
 from millwright.plans.views import AS_OF, CHECK_FRAGMENTS
@@ -72,12 +74,29 @@ def assets(t):
     return tr.graph_asset_count(asked, t.graph_context)
 
 
-def scores(t):
-    return tr.document_freshness(t.retrieved, t.documents, as_of())
+def scores(t, type_chars=1000):
+    return tr.document_freshness(t.retrieved, t.documents, as_of(), type_chars)
+
+
+def summary(t, type_chars=1000):
+    return tr.trust_summary(t.questions.select("question_id", "answer_confidence"), scores(t, type_chars), assets(t))
+
+
+# The same steps with the document type read off whole texts.
+_TYPED = "x_ret_dated x_ret_aged x_scores x_doc_lists x_trust_base x_trust_measured x_trust_risk x_trust".split()
+
 
+def _whole(sql: str) -> str:
+    return re.sub(r"\bx_\w+\b", lambda m: f"{m[0]}_whole" if m[0] in _TYPED else m[0], sql)
 
-def summary(t):
-    return tr.trust_summary(t.questions.select("question_id", "answer_confidence"), scores(t), assets(t))
+
+CHECK_FRAGMENTS.update({f"{step}_whole": _whole(CHECK_FRAGMENTS[step]).replace("text[1:1000]", "text") for step in _TYPED})
+
+
+_FRESHNESS = (
+    "question_id", "document_id", "position", "chunks", "filename", "document_type", "last_reviewed", "review_date_source",
+    "document_age_days", "expected_review_interval_days", "freshness_score",
+)
 
 
 @query(
@@ -86,10 +105,12 @@ def summary(t):
                span as expected_review_interval_days, score as freshness_score from x_scores""",
 )
 def _(t):
-    return scores(t).select(
-        "question_id", "document_id", "position", "chunks", "filename", "document_type", "last_reviewed", "review_date_source",
-        "document_age_days", "expected_review_interval_days", "freshness_score",
-    )
+    return scores(t).select(*_FRESHNESS)
+
+
+@query("document_freshness_whole", _whole(CHECKS["document_freshness"]))
+def _(t):
+    return scores(t, None).select(*_FRESHNESS)
 
 
 @query(
@@ -103,16 +124,24 @@ def _(t):
     return scores(t).select("question_id", "document_id", "knowledge_decay", "freshness_status", "risk_level", "reason")
 
 
+_SUMMARY = (
+    "question_id", "knowledge_decay", "freshness_score", "freshness", "confidence", "risk", "sources", "source_documents",
+    "graph_assets", "trust_gate", "recommendation", "reason",
+)
+
+
 @query(
     "trust_summary",
     """select question_id, decay as knowledge_decay, score as freshness_score, freshness, confidence, risk, sources, len(docs)::int as source_documents,
               graph_assets, gate as trust_gate, advice as recommendation, reason from x_trust""",
 )
 def _(t):
-    return summary(t).select(
-        "question_id", "knowledge_decay", "freshness_score", "freshness", "confidence", "risk", "sources", "source_documents",
-        "graph_assets", "trust_gate", "recommendation", "reason",
-    )
+    return summary(t).select(*_SUMMARY)
+
+
+@query("trust_summary_whole", _whole(CHECKS["trust_summary"]))
+def _(t):
+    return summary(t, None).select(*_SUMMARY)
 
 
 @query(

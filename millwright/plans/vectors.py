@@ -21,7 +21,7 @@ def duck_hash_entries(source: str, key: str, text: str, limit: str = "[1:5000]")
 
 
 CHECK_FRAGMENTS.update(
-    x_chunk_entries=duck_hash_entries("x_doc_chunks", "document_id, chunk_index", "text"),
+    x_chunk_entries=duck_hash_entries("x_doc_chunks", "document_id, chunk_index", "text", ""),
     x_unit="select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings",
     x_distances="""
         select q.vec_id as query_id, q.label as query_label, d.vec_id as id, d.label as label, round(list_cosine_distance(q.v, d.v), 9) as distance
@@ -38,7 +38,7 @@ CHECK_FRAGMENTS.update(
 def _(t):
     docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
     chunks = ch.document_chunks(docs, offsets=False).withColumn("key", F.struct("document_id", F.col("chunk_index").cast("long").alias("chunk_index")))
-    return vec.hash_embedding_long(chunks, "key", F.col("text")).select(
+    return vec.hash_embedding_long(chunks, "key", F.col("text"), None).select(
         "key.document_id", "key.chunk_index", "idx", F.round("value", 6).alias("value")
     )
 
@@ -101,7 +101,7 @@ def _(t):
     """Every question against the whole chunk store, both embedded by token hashes."""
     docs = t.spread.documents.select(F.col("id").alias("document_id"), "text")
     chunks = ch.document_chunks(docs, offsets=False).withColumn("key", F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")))
-    stored = vec.hash_vectors(chunks, "key", F.col("text"))
+    stored = vec.hash_vectors(chunks, "key", F.col("text"), None)
     asked = vec.hash_vectors(t.questions, "question_id", F.col("question"), None)
     found = vec.vector_topk(stored, asked, 5, id_col="key", vec_col="entries", query_id_col="question_id")
     return found.select(

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millwright.functions.common import micros
@@ -169,6 +169,71 @@ def limited_requests(requests: DataFrame, limit: int = 60, window_seconds: int =
     )
 
 
+class _RequestLimits(StatefulProcessor):
+    """Accepted times and last request of a client; an event-time timer drops both when the client has been idle."""
+
+    def __init__(self, limit: int, window_seconds: int, idle_seconds: int):
+        self.limit, self.window_us, self.idle_ms = limit, window_seconds * 1_000_000, idle_seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.accepted = handle.getListState("accepted", "us long")
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        arrived = pd.concat(list(rows)).sort_values(["us", "request_id"])
+        limiter = Limiter(self.limit, self.window_us, [us for (us,) in self.accepted.get()] if self.accepted.exists() else None)
+        verdicts = [limiter.ask(us) for us in arrived["us"].tolist()]
+        self.accepted.put([(us,) for us in limiter.accepted])
+        known = self.last.get()[0] if self.last.exists() else None
+        latest = int(arrived["us"].max()) if known is None else max(known, int(arrived["us"].max()))
+        if latest != known:
+            if known is not None:
+                self.handle.deleteTimer(self._due(known))
+            self.last.update((latest,))
+            self.handle.registerTimer(self._due(latest))
+        yield pd.DataFrame({
+            "kind": "verdict", "client": key[0], "request_id": arrived["request_id"].to_numpy(), "us": arrived["us"].to_numpy(),
+            "accepted": [v[0] for v in verdicts], "remaining": pd.array([v[2] for v in verdicts], dtype="Int32"),
+        })
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = self.last.get()[0]
+        self.accepted.clear()
+        self.last.clear()
+        yield pd.DataFrame({
+            "kind": ["evicted"], "client": [key[0]], "request_id": pd.array([None], dtype="Int64"), "us": [last],
+            "accepted": pd.array([None], dtype="boolean"), "remaining": pd.array([None], dtype="Int32"),
+        })
+
+    def close(self) -> None:
+        pass
+
+    def _due(self, us: int) -> int:
+        return us // 1000 + self.idle_ms
+
+
+def watched_requests(
+    requests: DataFrame, limit: int = 60, window_seconds: int = 60, idle_seconds: int = 120, late: str = "0 seconds"
+) -> DataFrame:
+    """Verdicts on a stream of ``requests(client, request_id, ts)``, and a row for every client whose state is dropped.
+
+    (kind, client, request_id, us, accepted, remaining): 'verdict' rows as in ``limited_requests``; an 'evicted' row, with the
+    client's last request, once the watermark is ``idle_seconds`` past it. Idleness is measured by the requests' own times and not by
+    the clock, so a replay evicts the same clients. Needs the RocksDB state store (``prepare_state``).
+    """
+    timed = requests.select("client", "request_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return timed.select("client", "request_id", "ts", micros("ts").alias("us")).groupBy("client").transformWithStateInPandas(
+        _RequestLimits(limit, window_seconds, idle_seconds), f"kind string, {VERDICTS}", "Append", "EventTime"
+    )
+
+
+def prepare_state(spark: SparkSession) -> SparkSession:
+    """State in RocksDB, which processors with timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
 # ---- periodic scans ---------------------------------------------------------
 def risk_alerts(level: DataFrame) -> DataFrame:
     """Rows of ``reliability.overall_risk`` that call for attention."""
@@ -187,3 +252,19 @@ def start_rescan(
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     pace = {"availableNow": True} if once else {"processingTime": every}
     return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**pace).start()
+
+
+# The legs of the periodic job: what runs how often.
+PERIODS = {"compliance": "6 hours", "risk": "12 hours"}
+
+
+def start_rescans(
+    spark: SparkSession, scans: dict[str, Callable[[], DataFrame]], folder: str, checkpoint: str, once: bool = False
+) -> dict[str, StreamingQuery]:
+    """Every leg of ``scans`` at its own pace (PERIODS), each with a table and a checkpoint of its own.
+
+    A run that is repeated after a failure replaces its own rows, so each leg can be restarted by itself.
+    """
+    return {
+        leg: start_rescan(spark, scan, f"{folder}/{leg}", f"{checkpoint}/{leg}", PERIODS[leg], once) for leg, scan in scans.items()
+    }
