@@ -69,8 +69,9 @@ def neighbors_bfs(
         if hop < depth:
             reached = step if cap is None else step.where(F.col("used") < cap)
             fresh = reached.groupBy("start", F.col("dst").alias("node")).agg(F.max("used").alias("used"))
-            frontier = cut_lineage(fresh.join(visited, ["start", "node"], "left_anti"))
-            visited = visited.unionByName(frontier.select("start", "node"))
+            # read off the stored steps again where it is needed, which is cheaper than a second write
+            frontier = fresh.join(visited, ["start", "node"], "left_anti")
+            visited = visited.unionByName(step.select("start", F.col("dst").alias("node")))
     found = reduce(DataFrame.unionByName, levels)
     return found if relationship is None else found.where(F.col("relationship") == relationship)
 
