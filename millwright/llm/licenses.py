@@ -2,9 +2,9 @@
 
 Every text is read whole: each line, each paragraph (lines up to a blank one) and the text itself are a
 header or notice of its own, compared with the templates by the cosine of their
-TF-IDF vectors. Term weights come from document counts over all texts; terms outside the templates' vocabulary
-count singly with the largest weight, so vectors stay sparse and need no table of all
-words. A file without a license of its own takes that of the nearest directory above it that
+TF-IDF vectors. Weights come from the document counts of all words over all texts. Words of the templates are few, so their
+weights travel to the texts; a segment that could reach the threshold if all its other words weighed the least they
+can is kept with those words, which then meet their own counts in a join. A file without a license of its own takes that of the nearest directory above it that
 holds a license file with one.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import bounded_batches, by_slices, cut_lineage, free_name, text_buffers
+from millwright.llm.common import bounded_batches, by_slices, cut_lineage, forget, free_name, text_buffers
 from millwright.llm.hashing import BASE, Words
 
 MIN_COSINE = 0.6
@@ -242,73 +242,122 @@ def _refine(name: str, own: str) -> str:
     return next((other for other, said in REFINED.get(name, ()) if said.lower() in own), name)
 
 
-def term_weights(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> np.ndarray:
-    """Inverse document frequency of every term over all rows, and last that of a term in no document."""
-    size = len(vocabulary.hashes)
+def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(hash, n): in how many rows every word stands."""
 
     def count(batches):
-        total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for words, n in by_slices(batch.column(0), lambda part: [(Words(part), len(part))]):
-                terms = vocabulary.terms(words.hashes)
-                pairs = np.unique((words.doc * (size + 1) + terms)[terms >= 0])
-                total[:size] += np.bincount(pairs % (size + 1), minlength=size)[:size]
-                total[size] += n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["term", "n"])
-
-    found = docs.select(F.col(text).cast("string")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = np.zeros(size + 1)
-    for row in found.collect():  # one row per template term
-        counts[row.term] = row.n
-    documents, counts[size] = counts[size], 0
-    return np.log((1 + documents) / (1 + counts)) + 1
-
-
-def best_match(text: Column, vocabulary: Vocabulary, weights: np.ndarray, min_cosine: float = MIN_COSINE) -> Column:
-    """struct<license, score>: the best template of any line, paragraph or the whole text; null below ``min_cosine``.
-
-    Ties go to the license that sorts first. An SPDX tag goes first, then the longest notice or text of the catalogue
-    whose words stand in the text in a row, with score 1 where the cosine finds another license or none. Where neither is
-    there and no cosine reaches ``min_cosine``, a template's own words in a row count the same way.
+            for hashes, n in by_slices(batch.column(0), one_slice):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], ["hash", "n"])
+
+    def one_slice(texts):
+        words = Words(texts)
+        order = np.lexsort((words.doc, words.hashes))
+        hashes, doc = words.hashes[order], words.doc[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+        found, n = np.unique(hashes[fresh], return_counts=True)
+        return [(found.view(np.int64), n.astype(np.int64))]
+
+    return docs.select(F.col(text).cast("string")).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _weight(documents: int, n: Column) -> Column:
+    return F.log((1 + documents) / (1 + n)) + 1
+
+
+def term_weights(counts: DataFrame, documents: int, vocabulary: Vocabulary) -> np.ndarray:
+    """Inverse document frequency of every term of the vocabulary, and last that of a word in no document."""
+    wanted = vocabulary.hashes.view(np.int64).tolist()  # words of the templates, a few hundred
+    found = np.zeros(len(wanted) + 1)
+    place = {h: i for i, h in enumerate(wanted)}
+    for row in counts.where(F.col("hash").isin(wanted)).collect():
+        found[place[row.hash]] = row.n
+    return np.log((1 + documents) / (1 + found)) + 1
+
+
+_FOUND = (
+    "struct<tag: string, strict: boolean, run: string, refined: array<struct<license: string, other: string>>, "
+    "near: array<struct<license: string, dot: double, inside: double, words: array<struct<hash: long, n: long>>>>>"
+)
+
+
+def evidence(text: Column, vocabulary: Vocabulary, weights: np.ndarray, min_cosine: float = MIN_COSINE) -> Column:
+    """What a text holds: its SPDX tag, the license of its longest known run, and the segments that may reach ``min_cosine``.
+
+    ``near`` has each such segment's best template, the dot product with it, the squared weights of its template words,
+    and its other words, counted. ``refined`` names the licenses that other words of the text turn others into.
     """
     templates = vocabulary.counts * weights[:-1]
     templates /= np.sqrt((templates * templates).sum(1, keepdims=True))
+    kinds = pa.struct([
+        ("tag", pa.string()), ("strict", pa.bool_()), ("run", pa.string()),
+        ("refined", pa.list_(pa.struct([("license", pa.string()), ("other", pa.string())]))),
+        ("near", pa.list_(pa.struct([
+            ("license", pa.string()), ("dot", pa.float64()), ("inside", pa.float64()),
+            ("words", pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))),
+        ]))),
+    ])
 
     def work(texts: pa.Array) -> pa.Array:
-        found = [None if x is None else {"license": x[0], "score": x[1]} for x in by_slices(texts, one_slice)]
-        return pa.array(found, pa.struct([("license", pa.string()), ("score", pa.float64())]))
+        return pa.array(list(by_slices(texts, one_slice)), kinds)
 
     def one_slice(texts):
         words = Words(texts)
-        best, which = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         terms = vocabulary.terms(words.hashes)
+        near: dict[int, dict[tuple, dict]] = {}
         for part in _segments(words):
-            scores, at = _scores(part, terms, templates, weights)
-            order = np.lexsort((at, -scores))
-            doc = words.doc[np.searchsorted(part, np.arange(len(scores)))][order]
-            first = np.unique(doc, return_index=True)[1]
-            doc, score, name = doc[first], scores[order][first], at[order][first]
-            better = (score > best[doc]) | ((score == best[doc]) & (name < which[doc]))
-            best[doc[better]], which[doc[better]] = score[better], name[better]
+            for doc, start, end, dot, inside, which in _possible(part, words.doc, terms, templates, weights, min_cosine):
+                others, n = np.unique(words.hashes[start:end][terms[start:end] < 0], return_counts=True)
+                item = {
+                    "license": vocabulary.names[which], "dot": dot, "inside": inside,
+                    "words": [{"hash": h, "n": c} for h, c in zip(others.view(np.int64).tolist(), n.tolist())],
+                }
+                near.setdefault(doc, {})[start, end] = item  # a line that is a paragraph too counts once
         contained, tags = _contained(words, vocabulary), _tags(texts)
         out = []
-        for k, (b, w) in enumerate(zip(best.tolist(), which.tolist())):
-            found = (vocabulary.names[w], float(b)) if b >= min_cosine else None
-            strict, name = contained.get(k, (False, None))
-            if k in tags:
-                out.append((tags[k], 1.0))
-                continue
-            if name and (found is None or strict and found[0] != name):
-                found = (name, 1.0)
-            if found and found[0] in REFINED:
+        for k in range(len(texts)):
+            strict, run = contained.get(k, (False, None))
+            items = list(near.get(k, {}).values())
+            named = {x["license"] for x in items} | {run}
+            refined = []
+            if named & REFINED.keys():
                 own = " ".join(words.strings(int(words.first[k]), int(words.first[k] + words.counts[k])))
-                own = " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", own))
-                found = (_refine(found[0], own), found[1])
-            out.append(found)
+                refined = [{"license": x, "other": _refine(x, own)} for x in sorted(named & REFINED.keys())]
+            out.append({"tag": tags.get(k), "strict": strict, "run": run, "refined": refined, "near": items})
         return out
 
-    return F.arrow_udf(work, "struct<license: string, score: double>")(text.cast("string"))
+    return F.arrow_udf(work, _FOUND)(text.cast("string"))
+
+
+def own_licenses(rows: DataFrame, counts: DataFrame, documents: int, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """``rows`` (key, found, ...) with ``own``, struct<license, score>: the best template of any segment; null below ``min_cosine``.
+
+    Equal scores, to twelve places, go to the license that sorts first. An SPDX tag goes first, then the longest notice or
+    text of the catalogue whose words stand in the text in a row, with score 1 where the cosine finds another
+    license or none. Where neither is there and no cosine reaches ``min_cosine``, a template's own words in a row
+    count the same way.
+    """
+    segments = rows.select("key", F.posexplode_outer("found.near").alias("at", "near")).where("near is not null")
+    segments = segments.select("key", "at", "near.*")
+    asked = segments.select("key", "at", F.explode_outer("words").alias("word")).where("word is not null").select("key", "at", "word.*")
+    weighed = asked.join(counts.withColumnRenamed("n", "documents"), "hash")
+    outside = weighed.groupBy("key", "at").agg(
+        F.sum(F.pow(F.col("n") * _weight(documents, F.col("documents")), F.lit(2))).alias("outside")
+    )
+    norm = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
+    scored = segments.drop("words").join(outside, ["key", "at"], "left").withColumn("score", F.round(F.col("dot") / norm, 12))
+    best = scored.where(F.col("score") >= min_cosine).groupBy("key").agg(
+        F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("best")
+    )
+    run, exact = F.col("found.run"), lambda name: F.struct(name.alias("license"), F.lit(1.0).alias("score"))
+    by_run = run.isNotNull() & (F.col("best").isNull() | (F.col("found.strict") & (F.col("best.license") != run)))
+    own = F.when(by_run, exact(run)).otherwise(F.col("best"))
+    other = F.get(F.filter("found.refined", lambda x: x["license"] == F.col("own.license")), F.lit(0))["other"]
+    joined = rows.join(best, "key", "left").withColumn("own", own)
+    refined = F.struct(F.coalesce(other, F.col("own.license")).alias("license"), F.col("own.score").alias("score"))
+    tag = F.col("found.tag")
+    return joined.withColumn("own", F.when(tag.isNotNull(), exact(tag)).when(F.col("own").isNotNull(), refined)).drop("best")
 
 
 def _segments(words: Words):
@@ -327,11 +376,14 @@ def _segments(words: Words):
         yield np.cumsum(new)
 
 
-def _scores(part: np.ndarray, terms: np.ndarray, templates: np.ndarray, weights: np.ndarray):
-    """Best cosine of every segment and the template that has it."""
+def _possible(part: np.ndarray, doc: np.ndarray, terms: np.ndarray, templates: np.ndarray, weights: np.ndarray, min_cosine: float):
+    """Segments whose cosine reaches ``min_cosine`` if every other word weighs as little as a word of all documents, which is 1.
+
+    Per segment: text number, first word, end, dot product with the best template, squared weights of the template words,
+    template number. The template does not depend on the other words, as they lengthen a segment's vector for all alike.
+    """
     n, size = int(part[-1]) + 1, templates.shape[1]
-    score, which = np.zeros(n), np.zeros(n, np.int64)
-    outside = np.bincount(part[terms < 0], minlength=n) * weights[-1] ** 2
+    outside = np.bincount(part[terms < 0], minlength=n)  # squared counts sum up to this or more
     inside = np.flatnonzero(terms >= 0)
     for start in range(0, n, 4096):
         own = inside[np.searchsorted(part[inside], start) : np.searchsorted(part[inside], start + 4096)]
@@ -340,11 +392,13 @@ def _scores(part: np.ndarray, terms: np.ndarray, templates: np.ndarray, weights:
         end = min(n, start + 4096)
         counts = np.bincount((part[own] - start) * size + terms[own], minlength=(end - start) * size).reshape(-1, size)
         vectors = counts * weights[:-1]
-        norms = np.sqrt((vectors * vectors).sum(1) + outside[start:end])
-        cosines = vectors @ templates.T / np.maximum(norms, 1e-300)[:, None]
-        which[start:end] = cosines.argmax(1)
-        score[start:end] = cosines.max(1)
-    return score, which
+        squares = (vectors * vectors).sum(1)
+        dots = vectors @ templates.T
+        most = dots.max(1)
+        for k in np.flatnonzero((most > 0) & (most >= (min_cosine - 1e-9) * np.sqrt(squares + outside[start:end]))).tolist():
+            first, last = np.searchsorted(part, [start + k, start + k + 1]).tolist()
+            which = int(np.flatnonzero(dots[k] >= most[k] - 1e-12 * most[k])[0])
+            yield int(doc[first]), first, last, float(most[k]), float(squares[k]), which
 
 
 def scan(
@@ -356,13 +410,17 @@ def scan(
     ``origin`` is 'own' (found in the text), 'inherited' (from a license file, named in ``source_path``, of the nearest directory
     above) or 'none'. Of several license files of a directory the best score decides, then the smallest path. A license file
     also speaks for its own directory. Null and empty texts have no license of their own; a null path inherits
-    nothing. Repeated rows stay. An empty table gives no rows.
+    nothing. Texts of any length count whole. Repeated rows stay. An empty table gives no rows.
     """
     vocabulary = Vocabulary(templates, templates is TEMPLATES)
     files = bounded_batches(files)
-    weights = term_weights(files, vocabulary, text)
-    rows = files.select(*carry, F.col(path).alias("path"), best_match(F.col(text), vocabulary, weights, min_cosine).alias("own"))
-    rows = cut_lineage(rows)
+    counts, documents = cut_lineage(document_counts(files, text)), files.count()
+    found = evidence(F.col(text), vocabulary, term_weights(counts, documents, vocabulary), min_cosine)
+    held = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([*carry, path])]).alias("carried")
+    read = cut_lineage(files.select(held, found.alias("found")).withColumn("key", F.monotonically_increasing_id()))
+    own = own_licenses(read, counts, documents, min_cosine)
+    rows = cut_lineage(own.select(*[F.col(f"carried.c{i}").alias(c) for i, c in enumerate([*carry, "path"])], "own"))
+    forget(counts, read)
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     given = rows.where(F.col("own").isNotNull() & F.col("path").rlike(license_file)).groupBy(directory.alias("dir")).agg(
         F.min_by(F.struct(F.col("own.license").alias("license"), F.col("own.score").alias("score"), F.col("path").alias("from")),

@@ -20,16 +20,17 @@ def words_of(text):
 def plain(files, min_cosine=licenses.MIN_COSINE):
     """files: (path, text); returns (license, score, origin, source_path) per file."""
     templates = [(n, Counter(words_of(t))) for n, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
-    vocabulary = {w for _, c in templates for w in c}
-    seen = Counter(w for _, t in files for w in set(words_of(t)) & vocabulary)
-    idf = {w: math.log((1 + len(files)) / (1 + seen[w])) + 1 for w in vocabulary}
-    most = math.log(1 + len(files)) + 1
+    seen = Counter(w for _, t in files for w in set(words_of(t)))
+    idf = lambda w: math.log((1 + len(files)) / (1 + seen[w])) + 1
 
-    def cosine(words, counts):
-        own = Counter(w for w in words if w in vocabulary)
-        norm = sum((n * idf[w]) ** 2 for w, n in own.items()) + most**2 * sum(w not in vocabulary for w in words)
-        dot = sum(n * counts[w] * idf[w] ** 2 for w, n in own.items())
-        return dot / math.sqrt(norm * sum((n * idf[w]) ** 2 for w, n in counts.items())) if norm else 0.0
+    def vector(words):
+        return {w: n * idf(w) for w, n in Counter(words).items()}
+
+    def cosine(own, other):
+        norm = math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in other.values()))
+        return sum(x * other.get(w, 0.0) for w, x in own.items()) / norm if norm else 0.0
+
+    templates = [(n, vector(c)) for n, c in templates]
 
     own = []
     for _, text in files:
@@ -43,8 +44,9 @@ def plain(files, min_cosine=licenses.MIN_COSINE):
                 current = []
         best = (0.0, None)
         for segment in [*lines, *paragraphs, " ".join(current), " ".join(lines)]:
-            for name, counts in templates:
-                score = cosine(words_of(segment), counts)
+            own_vector = vector(words_of(segment))
+            for name, other in templates:
+                score = cosine(own_vector, other)
                 if score > best[0] + 1e-12:
                     best = (score, name)
         own.append(best if best[0] >= min_cosine else None)
@@ -131,3 +133,33 @@ def test_notice_among_other_words_does_not_depend_on_table_size(spark):
         rows = [(f"{i}/f", t) for i, t in enumerate(texts)] + [(f"z{i}/f", "plain words") for i in range(size)]
         got = licenses.scan(spark.createDataFrame(rows, "path string, text string")).where("origin = 'own'").collect()
         assert {r.path: r.license for r in got} == {"0/f": "MIT", "1/f": "Proprietary"}
+
+
+def test_repeated_and_common_words_weigh_by_their_own_counts(spark):
+    """The same notice beside a word of all files, and beside a word of its own given often."""
+    rows = [("a", "released under the mit license zzz"), ("b", "released under the mit license " + "qqq " * 9)]
+    rows += [(f"c{i}", "zzz") for i in range(300)]
+    frame = spark.createDataFrame(rows, "path string, text string")
+    templates = {"MIT": ("Released under the MIT License.",)}
+    got = {r.path: r for r in licenses.scan(frame, templates=templates, min_cosine=0.2).where("origin = 'own'").collect()}
+    seen, n = Counter(w for _, t in rows for w in set(words_of(t))), len(rows)
+    idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in seen.items()}
+    inside = sum(idf[w] ** 2 for w in words_of(templates["MIT"][0]))
+    assert abs(got["a"].score - math.sqrt(inside / (inside + idf["zzz"] ** 2))) < 1e-9 and got["a"].score > 0.99
+    assert abs(got["b"].score - math.sqrt(inside / (inside + (9 * idf["qqq"]) ** 2))) < 1e-9 and got["b"].score < 0.5
+
+
+def test_inherited_rows_of_the_query(spark):
+    rows = QUERIES["op10_license_scan"](spark, "/root/testdata/sf0.1").select("path", "license", "score", "origin", "source_path").collect()
+    given = {r.path: r for r in rows if r.origin == "own" and r.path.rpartition("/")[2].startswith("LICENSE-")}
+    homes = {p.rpartition("/")[0] for p in given}
+    inherited = [r for r in rows if r.origin == "inherited"]
+    assert len(inherited) > 50
+    for r in inherited:
+        source = given[r.source_path]
+        home = r.source_path.rpartition("/")[0]
+        assert (r.license, r.score) == (source.license, source.score) and r.path.startswith(home + "/")
+        between = r.path.rpartition("/")[0]
+        while between != home:
+            assert between not in homes
+            between = between.rpartition("/")[0]
