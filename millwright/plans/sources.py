@@ -9,7 +9,7 @@ from millwright.operators import chunking as ch
 from millwright.plans.registry import query
 from millwright.plans.text import DUCK_SUFFIX, duck_clean
 from millwright.plans.views import CHECK_FRAGMENTS
-from millwright.session import new_folder
+from millwright.session import cut_lineage, new_folder
 from millwright.sources import files as fl
 from millwright.sources import payloads as pl
 from millwright.sources import stores
@@ -106,15 +106,15 @@ def _chunks(t):
 )
 def _(t):
     fresh, docs = _chunks(t)
-    store = stores.KeyedStore(t.spark, new_folder(t.spark, "chunks"), ("document_id", "chunk_index"))
-    store.write(fresh, 0)
+    store = stores.ChunkStore(t.spark, new_folder(t.spark, "chunks"))
+    store.write(fresh)
     old = store.read()
     redone = docs.where("status = 'processing'")
     new = old.join(redone.select("document_id"), "document_id", "left_semi").withColumn(
         "text", F.concat(F.upper("document_id"), "text")
     )
     added = redone.select("document_id", F.lit(100000).cast("long").alias("chunk_index"), F.lit("added").alias("text"))
-    store.write(new.unionByName(added), 1)
+    store.upsert(new.unionByName(added), ["document_id", "chunk_index"])
     return store.read().select("document_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -127,10 +127,10 @@ def _(t):
 def _(t):
     rows, docs = _chunks(t)
     gone = docs.where("status = 'cancelled'").select(F.col("document_id").alias("id"))
-    store = stores.KeyedStore(t.spark, new_folder(t.spark, "chunks"), ("document_id",))
-    store.write(rows, 0)
-    lost = stores.deleted_counts(store.read(), gone)
-    store.write(rows.limit(0), 1, gone.select(F.col("id").alias("document_id")))
+    store = stores.ChunkStore(t.spark, new_folder(t.spark, "chunks"))
+    store.write(rows)
+    lost = cut_lineage(stores.deleted_counts(store.read(), gone))
+    store.delete(gone)
     kept = store.read().groupBy("document_id").agg(F.count("*").alias("n"))
     return kept.select(F.lit("kept").alias("part"), "document_id", "n").unionByName(
         lost.select(F.lit("deleted").alias("part"), "document_id", F.col("deleted").alias("n"))

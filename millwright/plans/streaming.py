@@ -14,6 +14,7 @@ from millwright.plans.reliability import as_of
 from millwright.plans.text import STRICT, duck_tags
 from millwright.plans.vectors import duck_hash_entries
 from millwright.session import new_folder
+from millwright.sources.stores import BatchTables
 from millwright.streaming import jobs
 
 WINDOW, LIMIT = 21600, 2
@@ -54,7 +55,7 @@ def _(t):
     jobs.start_intake(arriving(t, "documents"), to_documents, folder, f"{folder}/checkpoint").awaitTermination()
     again = t.documents.where("doc_key % 3 = 0").select(F.col("id").alias("document_id"), F.lit("Short.").alias("text"), "uploaded_at")
     jobs.ingest_documents(again, folder, 1)
-    stored = lambda name: jobs.intake_store(t.spark, folder, name).read()
+    stored = lambda name: BatchTables(t.spark, folder).read(name)
     nothing = F.lit("")
     rows = lambda part, df, name, value: df.select(
         F.lit(part).alias("part"), "document_id", name.alias("name"), value.alias("value")
@@ -77,7 +78,7 @@ def _(t):
     folder = new_folder(t.spark, "run")
     events = t.replacing(events=arriving(t, "events")).stage_events
     jobs.start_stage_board(events, f"{folder}/board", f"{folder}/checkpoint").awaitTermination()
-    return jobs.stage_board(t.spark, f"{folder}/board").read()
+    return jobs.stage_board(t.spark, f"{folder}/board")
 
 
 _EXACT = f"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.session import cut_lineage, forget
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key."""
@@ -28,95 +29,105 @@ def deleted_counts(rows: DataFrame, ids: DataFrame, column: str = "document_id")
     )
 
 
-RUNS_MERGED = 8  # runs of one size that become one
+REPLACED, MARKS = "batch_documents", "batch_marks"  # tables of a batch beside its own
 
 
 @dataclass(frozen=True)
-class KeyedStore:
-    """A Parquet table whose rows are replaced by key, a batch at a time.
-
-    ``keys`` name what a batch replaces: all stored rows of a key give way to its rows in a newer
-    batch. A batch is written once, as a run of its own, and touches no older file. Reading takes, of
-    every key, the rows of the newest run that has it. Runs of equal size are merged, eight into
-    one, so a row is rewritten a few times in all, however many batches come. A run counts once
-    its success mark is written: a failed write leaves the store as it was, and writing a
-    batch number again replaces that batch.
+class ChunkStore:
+    """Rows of documents in plain Parquet, partitioned by a bucket of the document id.
+
+    An upsert or a deletion reads the buckets it names and overwrites just these; the others are left alone. What replaces
+    them is written to the shared folder first, so nothing is lost with an executor, and doing it again gives the same rows.
+    A bucket with hot documents is spread over several files. The number of buckets is fixed for the life of a store.
     """
 
     spark: SparkSession
     path: str
-    keys: tuple[str, ...]
+    buckets: int = 32
+
+    def write(self, rows: DataFrame) -> None:
+        """Make the store hold ``rows`` in the buckets they fall in."""
+        self._overwrite(rows.withColumn("bucket", self._bucket("document_id")))
+
+    def upsert(self, new: DataFrame, keys: list[str]) -> None:
+        """Rows of ``new`` replace stored rows with the same ``keys``."""
+        touched = self._touched(new)
+        self._replace(touched, upsert(self._rows(touched), new, keys))
 
-    def write(self, rows: DataFrame, batch: int, replaced: DataFrame | None = None) -> None:
-        """Store ``rows`` as batch number ``batch``; keys in ``replaced`` that have no rows lose theirs."""
-        marked = rows.withColumn("_gone", F.lit(False))
-        if replaced is not None:
-            bare = replaced.select(*self.keys).distinct().join(rows.select(*self.keys), list(self.keys), "left_anti")
-            marked = marked.unionByName(bare.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
-        marked.write.mode("overwrite").parquet(self._folder(batch, batch))
-        self._merge_runs()
+    def delete(self, ids: DataFrame) -> None:
+        """Drop all rows of the documents in ``ids(id)``."""
+        touched = self._touched(ids.withColumnRenamed("id", "document_id"))
+        self._replace(touched, delete_documents(self._rows(touched), ids))
 
     def read(self) -> DataFrame:
-        """The rows of the store as it stands."""
-        return self._newest(self._runs()).where(~F.col("_gone")).drop("_gone", "_batch")
-
-    def exists(self) -> bool:
-        return bool(self._runs())
-
-    def _folder(self, first: int, last: int) -> str:
-        return f"{self.path}/run-{first}-{last}"
-
-    def _runs(self) -> list[tuple[int, int]]:
-        """Complete runs (first and last batch), without those that a merged run covers."""
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(top):
-            return []
-        found = []
-        for status in files.listStatus(top):
-            name = status.getPath().getName()
-            if name.startswith("run-") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(tuple(int(x) for x in name.split("-")[1:]))
-        return sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
-
-    def _newest(self, runs: list[tuple[int, int]]) -> DataFrame:
-        parts = [
-            self.spark.read.option("mergeSchema", "true").parquet(self._folder(*r)).withColumn("_batch", F.lit(r[1]).cast("long"))
-            for r in runs
-        ]
-        if not parts:
-            raise ValueError(f"nothing is stored in {self.path}")
-        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-        if len(runs) == 1:
-            return rows
-        newest = rows.groupBy(*self.keys).agg(F.max("_batch").alias("_batch"))
-        return rows.join(newest, [*self.keys, "_batch"], "left_semi")
-
-    def _merge_runs(self) -> None:
-        runs = self._runs()
-        size = lambda r: int(math.log(r[1] - r[0] + 1, RUNS_MERGED))
-        at = len(runs) - RUNS_MERGED
-        while at >= 0:
-            part = runs[at : at + RUNS_MERGED]
-            if len({size(r) for r in part}) == 1:
-                first, last = part[0][0], part[-1][1]
-                merged = self._newest(part).drop("_batch")
-                if at == 0:  # nothing older is left that a mark could hide
-                    merged = merged.where(~F.col("_gone"))
-                merged.write.mode("overwrite").parquet(self._folder(first, last))
-                runs[at : at + RUNS_MERGED] = [(first, last)]
-                at = len(runs) - RUNS_MERGED
-            else:
-                at -= 1
-
-    def vacuum(self) -> None:
-        """Delete runs that a merged one covers; only while nobody reads an older state."""
-        kept = {self._folder(*r).rsplit("/", 1)[1] for r in self._runs()}
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in files.listStatus(top):
-            if status.getPath().getName() not in kept:
-                files.delete(status.getPath(), True)
+        return self.spark.read.parquet(self.path).where(F.col("document_id").isNotNull()).drop("bucket")
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return [r["bucket"] for r in rows.select(self._bucket("document_id").alias("bucket")).distinct().collect()]
+
+    def _rows(self, touched: list[int]) -> DataFrame:
+        stored = self.spark.read.parquet(self.path)
+        return stored.where(F.col("bucket").isin(touched) & F.col("document_id").isNotNull()).drop("bucket")
+
+    def _replace(self, touched: list[int], rows: DataFrame) -> None:
+        # dynamic overwrite leaves buckets without rows as they were, so each gets a row of no document
+        ends = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
+        staged = cut_lineage(rows.withColumn("bucket", self._bucket("document_id")).unionByName(ends, allowMissingColumns=True))
+        self._overwrite(staged)
+        forget(staged)
+
+    def _overwrite(self, rows: DataFrame) -> None:
+        dynamic = rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        dynamic.partitionBy("bucket").parquet(self.path)
+
+
+@dataclass(frozen=True)
+class BatchTables:
+    """Several Parquet tables of documents, written a batch at a time and seen a batch at a time.
+
+    A batch is a partition of every table. Which documents it replaces is written after its rows, and a one-row mark last of all:
+    until then readers see none of the batch in any table. Of every document the rows of its newest marked batch
+    count, so a document that is named without rows loses those it had. A batch that failed half-way is written
+    again under its number. ``rewrite`` brings many batches back to one.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def put(self, table: str, rows: DataFrame, batch: int) -> DataFrame:
+        """Write one table of a batch; returns the rows as written."""
+        path = self._place(table, batch)
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def commit(self, ids: DataFrame, batch: int) -> None:
+        """Let readers see the batch, which replaces the documents in ``ids(document_id)``."""
+        ids.select("document_id").distinct().write.mode("overwrite").parquet(self._place(REPLACED, batch))
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(self._place(MARKS, batch))
+
+    def read(self, table: str) -> DataFrame:
+        return self._stored(table).join(self._newest(), ["document_id", "batch"], "left_semi").drop("batch")
+
+    def rewrite(self, folder: str, tables: tuple[str, ...]) -> BatchTables:
+        """The tables as they stand, as one batch below another folder; later batches go there."""
+        fresh, last = BatchTables(self.spark, folder), self._stored(MARKS).agg(F.max("batch")).first()[0]
+        for table in tables:
+            fresh.put(table, self.read(table), last)
+        fresh.commit(self._newest(), last)
+        return fresh
+
+    def _place(self, table: str, batch: int) -> str:
+        return f"{self.folder}/{table}/batch={batch}"
+
+    def _stored(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}").withColumn("batch", F.col("batch").cast("long"))
+
+    def _newest(self) -> DataFrame:
+        named = self._stored(REPLACED).join(self._stored(MARKS), "batch", "left_semi")
+        return named.groupBy("document_id").agg(F.max("batch").alias("batch"))
 
 
 def iso_text(moment: Column) -> Column:

@@ -1,6 +1,6 @@
 """Continuous intake, stage boards, request limits and periodic risk scans.
 
-The writers are keyed upserts, so a replayed micro-batch leaves the same tables.
+A micro-batch writes partitions of its own, so one that is replayed leaves the same tables.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from millwright.operators.extraction import document_edges, inspection_events
 from millwright.operators.rate_limit import Limiter
 from millwright.operators.vectors import hash_entries
 from millwright.sources import files as fl
-from millwright.sources.stores import KeyedStore
+from millwright.sources.stores import BatchTables
 
 
 # ---- document intake --------------------------------------------------------
@@ -40,22 +40,16 @@ def readable_documents(files: DataFrame) -> DataFrame:
 INTAKE_TABLES = ("chunks", "chunk_vectors", "document_tags", "inspections", "edges", "stages", "documents")
 
 
-def intake_store(spark: SparkSession, folder: str, table: str) -> KeyedStore:
-    return KeyedStore(spark, f"{folder}/{table}", ("document_id",))
-
-
 def ingest_documents(documents: DataFrame, folder: str, batch: int) -> None:
-    """Take in one batch of ``documents(document_id, text, uploaded_at)`` under its number; the document rows come last.
+    """Take in one batch of ``documents(document_id, text, uploaded_at)`` under its number; all tables show it at once.
 
     A document that has been stored before loses everything its new text no longer gives.
     Documents without a chunk end as failed.
     """
-    spark = documents.sparkSession
+    tables = BatchTables(documents.sparkSession, folder)
     documents = documents.persist()
-    ids = documents.select("document_id")
-    put = lambda table, rows: intake_store(spark, folder, table).write(rows, batch, ids)
-    put("chunks", document_chunks(documents))
-    chunks = intake_store(spark, folder, "chunks").read().join(ids, "document_id", "left_semi")
+    put = lambda table, rows: tables.put(table, rows, batch)
+    chunks = put("chunks", document_chunks(documents))
     put("chunk_vectors", chunks.select("document_id", "chunk_index", hash_entries(F.col("text"), None).alias("entries")))
     put("document_tags", documents.select("document_id", F.explode(strict_tags(F.col("text"))).alias("tag")))
     put("inspections", inspection_events(documents).withColumnRenamed("source_document_id", "document_id"))
@@ -72,20 +66,21 @@ def ingest_documents(documents: DataFrame, folder: str, batch: int) -> None:
     )])
     put("stages", state.select("document_id", F.inline(stages)))
     put("documents", state)
+    tables.commit(documents, batch)
     documents.unpersist()
 
 
 def register_of(spark: SparkSession, folder: str, equipment: DataFrame) -> DataFrame:
     """Equipment that stored documents name and the register lacks, with the first document naming each."""
-    tags = intake_store(spark, folder, "document_tags").read()
-    dated = tags.join(intake_store(spark, folder, "documents").read().select("document_id", "uploaded_at"), "document_id")
+    tags = BatchTables(spark, folder).read("document_tags")
+    dated = tags.join(BatchTables(spark, folder).read("documents").select("document_id", "uploaded_at"), "document_id")
     first = dated.groupBy("tag").agg(F.min_by("document_id", F.struct("uploaded_at", "document_id")).alias("source_document_id"))
     return first.join(equipment.select("tag"), "tag", "left_anti")
 
 
 def links_of(spark: SparkSession, folder: str) -> DataFrame:
     """The stored links, each once; the last document that names a link keeps it."""
-    edges = intake_store(spark, folder, "edges").read()
+    edges = BatchTables(spark, folder).read("edges")
     last = F.max_by("document_id", F.struct("uploaded_at", "document_id"))
     return edges.groupBy("src", "dst").agg(last.alias("source_document_id")).withColumn("rel", F.lit("connected_to"))
 
@@ -111,32 +106,29 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
 STAGE_KEYS = ("document_id", "stage")
 
 
-def stage_board(spark: SparkSession, folder: str) -> KeyedStore:
-    return KeyedStore(spark, folder, STAGE_KEYS)
-
-
 def start_stage_board(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep the latest status of every (document, stage) of a stream of stage events.
 
-    No streaming state: a micro-batch is cut to its newest event per stage, compared with the
-    rows stored for the same stages, and written where it is newer, so late events change nothing.
+    The state is one row per stage, which a later event replaces, so late events change nothing; with many stages
+    it belongs in RocksDB (``prepare_state``). A micro-batch writes the stages it changed as a partition of its own, the same again
+    when it is replayed.
     """
-    value = F.struct("status", "message", "filename", "updated_at")
-
-    def store(batch: DataFrame, number: int) -> None:
-        board = stage_board(batch.sparkSession, folder)
-        rows = batch.select(*STAGE_KEYS, value.alias("s"))
-        if board.exists():
-            old = board.read().join(rows.select(*STAGE_KEYS), list(STAGE_KEYS), "left_semi")
-            rows = rows.unionByName(old.select(*STAGE_KEYS, value.alias("s")))
-        newest = F.max_by("s", F.struct(F.col("s.updated_at"), F.col("s.message")))
-        board.write(rows.groupBy(*STAGE_KEYS).agg(newest.alias("s")).select(*STAGE_KEYS, "s.*"), number)
-
+    newest = F.max_by(F.struct("status", "message", "filename", "updated_at"), F.struct("updated_at", "message"))
+    latest = events.groupBy(*STAGE_KEYS).agg(newest.alias("s")).select(*STAGE_KEYS, "s.*")
     return (
-        events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        latest.writeStream.outputMode("update")
+        .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/batch={number}"))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def stage_board(spark: SparkSession, folder: str) -> DataFrame:
+    """The board as it stands: of every stage the row of the last micro-batch that changed it."""
+    rows = spark.read.parquet(folder)
+    value = F.struct(*[c for c in rows.columns if c not in (*STAGE_KEYS, "batch")])
+    return rows.groupBy(*STAGE_KEYS).agg(F.max_by(value, "batch").alias("s")).select(*STAGE_KEYS, "s.*")
+
+
 # ---- request limits ---------------------------------------------------------
 VERDICTS = "client string, request_id long, us long, accepted boolean, remaining int"
 

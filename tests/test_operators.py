@@ -6,6 +6,7 @@ from collections import Counter, deque
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millwright.operators import graph_build as gb
@@ -305,35 +306,87 @@ def test_idle_clients_are_forgotten(spark, tmp_path):
     assert sorted(r["request_id"] for r in spark.table("idle_verdicts").collect() if r["accepted"]) == [0, 1, 2]
 
 
-def test_chunk_store_replaces_a_document_as_a_whole(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    layout = "document_id string, chunk_index int, chunk_id string, text string"
-    first = spark.createDataFrame([("D1", 0, "a", "one"), ("D1", 1, "b", "two"), ("D2", 0, "c", "keep")], layout)
-    again = spark.createDataFrame([("D1", 0, "a", "new")], layout)
-    store = stores.KeyedStore(spark, path, ("document_id",))
-    for batch, rows in enumerate((first, again, again)):
-        store.write(rows, batch)
-    assert sorted((r["document_id"], r["text"]) for r in store.read().collect()) == [("D1", "new"), ("D2", "keep")]
-
-
-def test_store_keeps_nothing_of_a_document_that_came_back_empty(spark, tmp_path):
-    store = stores.KeyedStore(spark, str(tmp_path / "s"), ("document_id",))
+def test_chunk_store_upserts_and_deletes_in_its_buckets(spark, tmp_path):
+    layout = "document_id string, chunk_index int, text string"
+    rows = lambda *found: spark.createDataFrame(list(found), layout)
+    store = stores.ChunkStore(spark, str(tmp_path / "chunks"), 16)
+    held = lambda: sorted(tuple(r) for r in store.read().collect())
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "chunks").rglob("*.parquet")}
+    store.write(rows(*((f"D{d}", i, "old") for d in range(40) for i in range(2))))
+    before, own = files(), store._touched(rows(("D1", 0, ""), ("D99", 0, "")))
+    for _ in range(2):  # the same again changes nothing
+        store.upsert(rows(("D1", 0, "new"), ("D99", 0, "added")), ["document_id", "chunk_index"])
+        assert ("D1", 0, "new") in held() and ("D1", 1, "old") in held() and ("D99", 0, "added") in held() and len(held()) == 81
+    assert {p.parent.name for p in before.items() - files().items() for p in [p[0]]} <= {f"bucket={b}" for b in own}
+    everyone = spark.createDataFrame([(f"D{d}",) for d in range(1, 40)] + [("D99",), ("unknown",)], "id string")
+    store.delete(everyone)  # empties whole buckets
+    assert held() == [("D0", 0, "old"), ("D0", 1, "old")]
+    store.delete(everyone.limit(0))
+    assert len(held()) == 2
+
+
+def test_batches_are_seen_as_a_whole(spark, tmp_path):
+    tables = stores.BatchTables(spark, str(tmp_path / "s"))
     rows = lambda *pairs: spark.createDataFrame(list(pairs), "document_id string, text string")
-    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
-    ids = spark.createDataFrame([("D1",), ("D2",)], "document_id string")
-    store.write(rows(("D1", "a"), ("D1", "b"), ("D2", "c"), ("D3", "d")), 0, ids)
-    before = files()
-    store.write(rows(("D2", "new")), 1, ids)
-    assert sorted(tuple(r) for r in store.read().collect()) == [("D2", "new"), ("D3", "d")]
-    assert before.items() <= files().items()
-    store.write(rows(("D2", "newer")), 1, ids)  # the same batch again replaces it
-    assert sorted(tuple(r) for r in store.read().collect()) == [("D2", "newer"), ("D3", "d")]
-    for batch in range(2, 20):
-        store.write(rows((f"D{batch}", "x")), batch)
-    assert len(store._runs()) < 12
-    store.vacuum()
-    want = [("D2", "x"), ("D3", "x"), *((f"D{i}", "x") for i in range(4, 20))]
-    assert sorted(tuple(r) for r in store.read().collect()) == sorted(want)
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "document_id string")
+    held = lambda: sorted(tuple(r) for r in tables.read("texts").collect())
+    tables.put("texts", rows(("D1", "a"), ("D1", "b"), ("D2", "c"), ("D3", "d")), 0)
+    tables.commit(ids("D1", "D2", "D3"), 0)
+    tables.put("texts", rows(("D2", "new")), 1)
+    assert len(held()) == 4  # not yet committed
+    tables.commit(ids("D1", "D2"), 1)
+    assert held() == [("D2", "new"), ("D3", "d")]
+    tables.put("texts", rows(("D2", "newer")), 1)
+    tables.commit(ids("D1", "D2"), 1)
+    assert held() == [("D2", "newer"), ("D3", "d")]
+    tables.put("texts", rows(("D2", "x")).limit(0), 2)
+    tables.commit(ids(), 2)
+    tables = tables.rewrite(str(tmp_path / "s2"), ("texts",))
+    assert held() == [("D2", "newer"), ("D3", "d")]
+    tables.put("texts", rows(("D3", "e")), 3)
+    tables.commit(ids("D3"), 3)
+    assert held() == [("D2", "newer"), ("D3", "e")]
+
+
+def test_intake_killed_between_two_tables(spark, tmp_path, monkeypatch):
+    folder, layout, now = str(tmp_path / "store"), "document_id string, text string, uploaded_at timestamp", datetime(2024, 1, 1)
+    text = lambda tag: f"Pump {tag} inspected, feeds V-101. " + "Routine words follow here. " * 5
+    batch = lambda *found: spark.createDataFrame([(d, t, now) for d, t in found], layout)
+    held = lambda place: {
+        table: sorted(str(r) for r in stores.BatchTables(spark, place).read(table).drop("processed_at").collect()) for table in jobs.INTAKE_TABLES
+    }
+    first, second = batch(("D1", text("P-201")), ("D2", text("P-202"))), batch(("D1", text("P-301")), ("D3", text("P-303")))
+    jobs.ingest_documents(first, folder, 0)
+    before, put = held(folder), stores.BatchTables.put
+
+    def broken(self, table, rows, number):
+        if table == "inspections":
+            raise RuntimeError("killed")
+        return put(self, table, rows, number)
+
+    monkeypatch.setattr(stores.BatchTables, "put", broken)
+    with pytest.raises(RuntimeError, match="killed"):
+        jobs.ingest_documents(second, folder, 1)
+    monkeypatch.undo()
+    assert held(folder) == before
+    jobs.ingest_documents(second, folder, 1)
+    whole = str(tmp_path / "undisturbed")
+    for number, rows in enumerate((first, second)):
+        jobs.ingest_documents(rows, whole, number)
+    assert held(folder) == held(whole) != before
+
+
+def test_stage_board_keeps_the_newest_over_batches(spark, tmp_path):
+    layout = "document_id string, stage string, status string, message string, filename string, updated_at timestamp"
+    at = lambda h: datetime(2024, 1, 1, h)
+    arrivals = [[("D1", "parse", "running", "m", "f", at(1)), ("D2", "parse", "done", "m", "f", at(5))],
+                [("D1", "parse", "done", "m", "f", at(3)), ("D2", "parse", "running", "late", "f", at(2))]]
+    for rows in arrivals:
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(layout).parquet(str(tmp_path / "in"))
+        jobs.start_stage_board(events, str(tmp_path / "board"), str(tmp_path / "cp")).awaitTermination(60)
+    board = jobs.stage_board(spark, str(tmp_path / "board"))
+    assert sorted((r["document_id"], r["status"], r["updated_at"]) for r in board.collect()) == [("D1", "done", at(3)), ("D2", "done", at(5))]
 
 
 def test_intake_of_an_emptied_document_leaves_no_row(spark, tmp_path):
@@ -344,8 +397,8 @@ def test_intake_of_an_emptied_document_leaves_no_row(spark, tmp_path):
     jobs.ingest_documents(spark.createDataFrame([("D1", full, now), ("D2", full, now)], layout), folder, 0)
     jobs.ingest_documents(spark.createDataFrame([("D1", "Short.", now)], layout), folder, 1)
     for table in jobs.INTAKE_TABLES[:-2]:
-        assert {r["document_id"] for r in jobs.intake_store(spark, folder, table).read().collect()} == {"D2"}, table
-    state = {r["document_id"]: (r["status"], r["total_chunks"]) for r in jobs.intake_store(spark, folder, "documents").read().collect()}
+        assert {r["document_id"] for r in stores.BatchTables(spark, folder).read(table).collect()} == {"D2"}, table
+    state = {r["document_id"]: (r["status"], r["total_chunks"]) for r in stores.BatchTables(spark, folder).read("documents").collect()}
     assert state["D1"] == ("failed", 0) and state["D2"][0] == "completed"
     known = spark.createDataFrame([("V-101",)], "tag string")
     assert [tuple(r) for r in jobs.register_of(spark, folder, known).collect()] == [("P-201", "D2")]
@@ -367,7 +420,7 @@ def test_files_stream_into_the_stores(spark, tmp_path):
     folder, cp = str(tmp_path / "store"), str(tmp_path / "cp")
     for _ in range(2):
         jobs.start_intake(jobs.arriving_files(spark, str(source)), jobs.readable_documents, folder, cp).awaitTermination()
-    stored = lambda name: jobs.intake_store(spark, folder, name).read()
+    stored = lambda name: stores.BatchTables(spark, folder).read(name)
     assert [r["equipment_tag"] for r in stored("inspections").orderBy("equipment_tag").collect()] == ["P-201", "V-101"]
     assert stored("edges").select("src", "dst").first() == ("P-201", "V-101")
     assert stored("documents").count() == 1
