@@ -45,14 +45,21 @@ def arriving(t, name: str):
           from v_documents d left join x_sizes s on s.document_id = d.id""",
 )
 def _(t):
-    """The document table taken in as a stream, then every third document once more with a text that gives
-    nothing; what is stored must equal the batch results of the other documents."""
-    def to_documents(batch):
-        rows = t.replacing(documents=batch.repartition(t.spark.sparkContext.defaultParallelism)).documents
-        return rows.select(F.col("id").alias("document_id"), "text", "uploaded_at")
-
+    """The documents written out as files and taken in by a stream of files, then every third document once more with a
+    text that gives nothing; what is stored must equal the batch results of the other documents."""
     folder = new_folder(t.spark, "run")
-    jobs.start_intake(arriving(t, "documents"), to_documents, folder, f"{folder}/checkpoint").awaitTermination()
+    lines = t.documents.select(F.concat_ws("\n", "id", F.coalesce("text", F.lit(""))))
+    lines.write.option("maxRecordsPerFile", 1).text(f"{folder}/files")
+    dated = t.documents.select(F.col("id").alias("document_id"), "uploaded_at")
+
+    def to_documents(files):
+        # a file's first line is its document's id, and its text ends with the line break of the text writer
+        whole = files.repartition(t.spark.sparkContext.defaultParallelism).select(F.col("content").cast("string").alias("s"))
+        document_id = F.substring_index("s", "\n", 1)
+        text = F.expr("substring(s, locate('\\n', s) + 1, length(s) - locate('\\n', s) - 1)")
+        return whole.select(document_id.alias("document_id"), text.alias("text")).join(dated, "document_id")
+
+    jobs.start_intake(jobs.arriving_files(t.spark, f"{folder}/files"), to_documents, folder, f"{folder}/checkpoint").awaitTermination()
     again = t.documents.where("doc_key % 3 = 0").select(F.col("id").alias("document_id"), F.lit("Short.").alias("text"), "uploaded_at")
     jobs.ingest_documents(again, folder, 1)
     stored = lambda name: BatchTables(t.spark, folder).read(name)

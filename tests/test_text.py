@@ -160,3 +160,32 @@ def test_mail_and_containers(spark, tmp_path):
     assert mail["text"] == "From: x@y.z\nTo: q@y.z\nSubject: Shift\nDate:\nPump P-201 leaks."
     decoded = files.where("name = 'e.txt'").select(fl.decode_text(F.col("content")).alias("d")).first()["d"]
     assert (decoded["text"], decoded["encoding"]) == ("café", "latin-1")
+
+
+def test_zip_members_are_read_from_the_directory(spark):
+    import io
+    import zipfile
+
+    def packed(*names, comment=b"", lead=b"", compression=zipfile.ZIP_DEFLATED):
+        data = io.BytesIO()
+        data.write(lead)
+        with zipfile.ZipFile(data, "w", compression) as z:
+            for name in names:
+                z.writestr(name, "word/document.xml xl/workbook.xml " * 20)
+            z.comment = comment
+        return data.getvalue()
+
+    word = packed("[Content_Types].xml", "word/document.xml")
+    many = packed(*(f"media/{i:05d}-{'x' * 60}.png" for i in range(2000)), "xl/workbook.xml")  # a directory beyond the last 64 KB
+    cases = {
+        "a.bin": (word, "docx"), "b.bin": (many, "xlsx"), "c.docx": (packed("xl/workbook.xml"), "xlsx"),
+        "d.bin": (packed("word/document.xml", comment=b"\xff" * 65535), "docx"),
+        "e.bin": (packed("word/document.xml", lead=b"PK\x03\x04 some other bytes \xfe"), "docx"),
+        "f.bin": (packed("x/word/document.xml", "word/document.xml.rels", compression=zipfile.ZIP_STORED), "unknown"),
+        "g.docx": (packed("other.txt"), "docx"), "h.xlsx": (word[:-10], "xlsx"), "i.bin": (word[:40], "unknown"), "j.bin": (b"PK\x03\x04", "unknown"),
+        "k.bin": (b"PK\x05\x06" + bytes(18), "unknown"), "l.bin": (b"PK\x03\x04" + b"PK\x05\x06" + b"\xff" * 18, "unknown"),
+    }
+    files = spark.createDataFrame([(n, bytearray(c)) for n, (c, _) in cases.items()], "name string, content binary")
+    plan = fl.detect_formats(files)
+    assert {r["name"]: r["format"] for r in plan.collect()} == {n: f for n, (_, f) in cases.items()}
+    assert "InPandas" not in plan._jdf.queryExecution().executedPlan().toString()
