@@ -178,11 +178,18 @@ def events_of_assets(edges: DataFrame, seeds: DataFrame, cap: int | None = 20) -
 RULE_TERM = "[A-Za-z][A-Za-z0-9_-]{2,}"
 
 
-def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int | None = 15) -> DataFrame:
+def _grams(word: str) -> Column:
+    """The distinct runs of three characters in a word of three or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, F.lit(3))))
+
+
+def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int | None = 15, runs_at_a_key: int = 4096) -> DataFrame:
     """Rules whose code, title, category, body or text contains a term of the question, the first by code.
 
     Containment is looked up word by word: a term can only lie inside an unbroken
-    run of term characters, and both meet on the term's first three.  Terms and
+    run of term characters, and both meet on that gram of three of the term's characters
+    which fewest runs hold; a term with a gram that no run holds goes nowhere.  Runs of a gram
+    are dealt into blocks of about ``runs_at_a_key``, which a term visits one by one.  Terms and
     runs are made distinct first, so the join is between vocabularies, and a run
     or term passes on no more rules than the cap can use.
     """
@@ -192,12 +199,14 @@ def rule_text_match(rules: DataFrame, questions: DataFrame, cap: int | None = 15
     whole = F.array_distinct(F.regexp_extract_all(F.upper(fields), F.lit("[A-Z0-9_-]{3,}"), F.lit(0)))
     runs = unnest(rules, ["rule_code"], whole, "run")
     run_rules = _first_rows(runs, ["run"], ["rule_code"], cap)
-    grams = run_rules.select("run").distinct().select(
-        "run",
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substring("run", i, F.lit(3))))).alias("gram"),
-    )
-    wanted = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
-    held = wanted.join(grams, "gram").where(F.contains("run", F.col("term"))).select("term", "run")
+    grams = run_rules.select("run").distinct().select("run", F.explode(_grams("run")).alias("gram"))
+    known = grams.groupBy("gram").agg(F.ceil(F.count("*") / runs_at_a_key).alias("blocks"), F.count("*").alias("held_by"))
+    wanted = terms.select("term").distinct().select("term", _grams("term").alias("grams"))
+    wanted = wanted.select("term", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(known, "gram")
+    rarest = wanted.groupBy("term", "n").agg(F.count("*").alias("met"), F.min(F.struct("held_by", "gram", "blocks")).alias("g")).where("met = n")
+    asked = rarest.select("term", "g.gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g.blocks") - 1)).alias("block"))
+    filed = grams.join(known, "gram").select("run", "gram", F.pmod(F.xxhash64("run"), "blocks").alias("block"))
+    held = asked.join(filed, ["gram", "block"]).where(F.contains("run", F.col("term"))).select("term", "run")
     term_rules = _first_rows(held.join(run_rules, "run").select("term", "rule_code").distinct(), ["term"], ["rule_code"], cap)
     matched = terms.join(term_rules, "term").select("question_id", F.col("rule_code").alias("code")).distinct()
     return _first_rows(matched, ["question_id"], ["code"], cap)

@@ -254,8 +254,8 @@ def vector_topk_approx(
 ) -> DataFrame:
     """Approximate k nearest: vectors are filed under their nearest pivot, queries probe a few lists.
 
-    There are about as many lists as the square root of the rows, and three eighths of them
-    are probed, unless told otherwise.  Pivots are the first rows by the md5 of their id.
+    There are about as many lists as the square root of the rows, but no more than fit a block that is shipped to
+    every task, and three eighths of them are probed, unless told otherwise.  Pivots are the first rows by the md5 of their id.
     A crowded list is salted into cells of about ``rows_per_cell`` vectors, so a
     popular pivot does not make one large group.
     """
@@ -263,7 +263,7 @@ def vector_topk_approx(
     q = _columns(queries, query_id_col, vec_col, None)
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, distance double"
     if lists is None:
-        lists = max(1, round(v.count() ** 0.5))
+        lists = max(1, min(round(v.count() ** 0.5), BROADCAST_BYTES // (DIMENSION * 8)))
     if probes is None:
         probes = -(-3 * lists // 8)
     if lists * DIMENSION * 8 > BROADCAST_BYTES:

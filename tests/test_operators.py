@@ -1,6 +1,7 @@
 """Operators against brute force on small, skewed or cyclic inputs."""
 
 import random
+import re
 import time
 from collections import Counter, deque
 from datetime import datetime, timedelta
@@ -197,6 +198,22 @@ def test_text_match_equals_containment(spark):
     assert got == {("1", "OISD-1"), ("2", "FA-2")}
 
 
+def test_text_match_of_crowded_grams(spark):
+    rnd = random.Random(3)
+    words = ["RE" + "".join(rnd.choice("ABCST-_0") for _ in range(rnd.randint(1, 5))) for _ in range(400)]  # most begin alike
+    texts = {f"R{i}": " ".join(rnd.sample(words, 12)) + " ." for i in range(60)}
+    rules = spark.createDataFrame(
+        [(code, None, None, None, text) for code, text in texts.items()], "rule_code string, title string, category string, regulation_body string, full_text string"
+    )
+    asks = {str(i): "REA " + rnd.choice(words)[: rnd.randint(3, 7)].lower() + " nowhere-held" for i in range(50)}
+    asked = spark.createDataFrame(list(asks.items()), "question_id string, question string")
+    want = {(q, code) for q, line in asks.items() for code, text in texts.items()
+            if any(term.upper() in text for term in re.findall("[A-Za-z][A-Za-z0-9_-]{2,}", line))}
+    for size in (1, 7, 4096):
+        got = [(r["question_id"], r["code"]) for r in gw.rule_text_match(rules, asked, None, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # ---- review queue -----------------------------------------------------------
 def drawings(spark):
     payload = """{"zone":"Area 1","equipment":[{"id":"p-901","type":"pump","confidence":"high"},{"id":"HX-901","type":"exchanger","confidence":"low"}],
