@@ -218,12 +218,12 @@ def cooccurrence_of(failures: DataFrame, window_days: int = 30, rows_per_cell: i
     )
 
 
-def failure_cooccurrence(inspections: DataFrame, window_days: int = 30, top: int = 10) -> DataFrame:
+def failure_cooccurrence(inspections: DataFrame, window_days: int = 30, top: int | None = 10) -> DataFrame:
     return _top_pairs(cooccurrence_pairs(inspections, window_days), top)
 
 
-def _top_pairs(pairs: DataFrame, top: int) -> DataFrame:
-    return pairs.orderBy(F.desc("co_occurrence_count"), "tag_a", "tag_b").limit(top)
+def _top_pairs(pairs: DataFrame, top: int | None) -> DataFrame:
+    return pairs if top is None else pairs.orderBy(F.desc("co_occurrence_count"), "tag_a", "tag_b").limit(top)
 
 
 def overall_risk(clusters: DataFrame, overdue: DataFrame) -> DataFrame:
@@ -246,33 +246,34 @@ def overall_risk(clusters: DataFrame, overdue: DataFrame) -> DataFrame:
     )
 
 
-def _top_clusters(inspections: DataFrame, n: int) -> DataFrame:
-    return ranked_clusters(inspections).limit(n)
+def _top_clusters(inspections: DataFrame, n: int | None) -> DataFrame:
+    return failure_clusters(inspections) if n is None else ranked_clusters(inspections).limit(n)
 
 
 def _high_overdue(inspections: DataFrame, equipment: DataFrame, as_of: Column) -> DataFrame:
     return overdue_inspections(inspections, equipment, as_of, risk_level="high")
 
 
-def risk_summary(inspections: DataFrame, equipment: DataFrame, as_of: Column) -> DataFrame:
+def risk_summary(
+    inspections: DataFrame, equipment: DataFrame, as_of: Column, top_clusters: int | None = 5, top_pairs: int | None = 3
+) -> DataFrame:
     """The summary as rows (part, rank, fields): 'level' (risk level and number of overdue assets), the top
-    five 'cluster' rows, the top three 'pair' rows, and a 'critical_overdue' row for every high-risk overdue asset.
+    'cluster' and 'pair' rows (None: all, without ranks), and a 'critical_overdue' row for every high-risk overdue asset.
 
     Rows, not lists: overdue assets grow with the register. Fields of other parts are null.
     """
     failures = cut_lineage(failure_records(inspections))
     clusters = cut_lineage(_clusters_of(failures))
     overdue = cut_lineage(overdue_inspections(inspections, equipment, as_of))
-    pairs = _top_pairs(cooccurrence_of(failures), 3)
+    pairs = _top_pairs(cooccurrence_of(failures), top_pairs)
     level = overall_risk(clusters, overdue).withColumn("part", F.lit("level"))
-    top = clusters.orderBy(F.desc("risk_score"), "equipment_tag").limit(5).withColumn("part", F.lit("cluster"))
-    order = W.orderBy(F.desc("risk_score"), "equipment_tag")
+    by_risk, by_count = (F.desc("risk_score"), "equipment_tag"), (F.desc("co_occurrence_count"), "tag_a", "tag_b")
+    top = clusters if top_clusters is None else clusters.orderBy(*by_risk).limit(top_clusters)
+    ranked = lambda rows, n, order: rows if n is None else rows.withColumn("rank", F.row_number().over(W.orderBy(*order)))
     parts = [
         level.withColumn("rank", F.lit(1)),
-        top.withColumn("rank", F.row_number().over(order)),
-        pairs.withColumn("part", F.lit("pair")).withColumn(
-            "rank", F.row_number().over(W.orderBy(F.desc("co_occurrence_count"), "tag_a", "tag_b"))
-        ),
+        ranked(top, top_clusters, by_risk).withColumn("part", F.lit("cluster")),
+        ranked(pairs, top_pairs, by_count).withColumn("part", F.lit("pair")),
         overdue.where("risk_level = 'high'").withColumn("part", F.lit("critical_overdue")),
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -286,12 +287,15 @@ ADVICE = {
 }
 
 
-def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
-    """At most three cluster warnings, three overdue ones and one isolation drift.
+def proactive_warnings(
+    inspections: DataFrame, equipment: DataFrame, links: DataFrame, as_of: Column,
+    top_clusters: int | None = 3, top_overdue: int | None = 3, drift_tags: int = 6,
+) -> DataFrame:
+    """The first cluster warnings by risk, the longest overdue ones (None: all) and one isolation drift.
 
-    ``links(tag, related_tag)`` names the assets connected to a warned one.
+    The drift is one row and names its first ``drift_tags`` assets. ``links(tag, related_tag)`` names the assets connected to a warned one.
     """
-    clusters = _top_clusters(inspections, 3).select(
+    clusters = _top_clusters(inspections, top_clusters).select(
         F.concat(F.lit("cluster-"), "equipment_tag").alias("id"),
         "equipment_tag",
         F.when(F.col("critical_count") > 0, "critical").otherwise("high").alias("severity"),
@@ -304,23 +308,21 @@ def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: Data
         F.lit(ADVICE["cluster"]).alias("recommended_action"),
         F.lit("incident_reports + inspection_history").alias("source_type"),
     )
-    overdue = (
-        _high_overdue(inspections, equipment, as_of)
-        .orderBy(F.desc("days_since_last_inspection"), "equipment_tag")
-        .limit(3)
-        .select(
-            F.concat(F.lit("overdue-"), "equipment_tag").alias("id"),
-            "equipment_tag",
-            F.lit("high").alias("severity"),
-            F.concat(F.lit("Inspection review overdue for "), "equipment_tag").alias("title"),
-            F.concat(F.col("days_since_last_inspection").cast("string"), F.lit(" days since last inspection")).alias("trigger"),
-            F.concat(
-                F.lit("Inspection is overdue by "), F.col("overdue_by_days").cast("string"),
-                F.lit(" days against the active review threshold."),
-            ).alias("evidence"),
-            F.lit(ADVICE["overdue"]).alias("recommended_action"),
-            F.lit("qms_review_cycle").alias("source_type"),
-        )
+    late = _high_overdue(inspections, equipment, as_of)
+    if top_overdue is not None:
+        late = late.orderBy(F.desc("days_since_last_inspection"), "equipment_tag").limit(top_overdue)
+    overdue = late.select(
+        F.concat(F.lit("overdue-"), "equipment_tag").alias("id"),
+        "equipment_tag",
+        F.lit("high").alias("severity"),
+        F.concat(F.lit("Inspection review overdue for "), "equipment_tag").alias("title"),
+        F.concat(F.col("days_since_last_inspection").cast("string"), F.lit(" days since last inspection")).alias("trigger"),
+        F.concat(
+            F.lit("Inspection is overdue by "), F.col("overdue_by_days").cast("string"),
+            F.lit(" days against the active review threshold."),
+        ).alias("evidence"),
+        F.lit(ADVICE["overdue"]).alias("recommended_action"),
+        F.lit("qms_review_cycle").alias("source_type"),
     )
     asset_warnings = clusters.unionByName(overdue)
     related = (
@@ -334,7 +336,7 @@ def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: Data
     )
     loto = inspections.where(contains_any(F.col("findings"), NEEDLES["loto"]))
     first = loto.agg(F.min_by("findings", F.struct("created_at", "id")).alias("evidence")).where("evidence is not null")
-    tags = loto.where("equipment_tag <> ''").select("equipment_tag").distinct().orderBy("equipment_tag").limit(6)
+    tags = loto.where("equipment_tag <> ''").select("equipment_tag").distinct().orderBy("equipment_tag").limit(drift_tags)
     drift = (
         first.select("evidence", F.lit(None).cast("string").alias("tag"))
         .unionByName(tags.select(F.lit(None).cast("string").alias("evidence"), F.col("equipment_tag").alias("tag")))
@@ -354,9 +356,11 @@ def proactive_warnings(inspections: DataFrame, equipment: DataFrame, links: Data
     return with_assets.drop("equipment_tag", "linked").unionByName(drift)
 
 
-def systemic_patterns(inspections: DataFrame) -> DataFrame:
-    """Up to three asset pairs, then up to three clusters, five rows in all."""
-    pairs = failure_cooccurrence(inspections, top=3).select(
+def systemic_patterns(
+    inspections: DataFrame, top_pairs: int | None = 3, top_clusters: int | None = 3, rows: int | None = 5
+) -> DataFrame:
+    """The first asset pairs, then the first clusters, ``rows`` in all (None: no cut, and in no order)."""
+    pairs = failure_cooccurrence(inspections, top=top_pairs).select(
         F.lit(0).alias("part"),
         (-F.col("co_occurrence_count")).cast("double").alias("rank"),
         F.lit("Cross-asset failure recurrence").alias("pattern"),
@@ -367,7 +371,7 @@ def systemic_patterns(inspections: DataFrame) -> DataFrame:
         ).alias("evidence"),
         F.lit("Inspect connected assets together instead of treating each event as isolated.").alias("lesson"),
     )
-    clusters = _top_clusters(inspections, 3).select(
+    clusters = _top_clusters(inspections, top_clusters).select(
         F.lit(1).alias("part"),
         (-F.col("risk_score")).alias("rank"),
         F.lit("Repeated defect on same equipment").alias("pattern"),
@@ -375,7 +379,8 @@ def systemic_patterns(inspections: DataFrame) -> DataFrame:
         F.concat(F.lit("Frequency "), F.col("frequency_per_month").cast("string"), F.lit(" events/month")).alias("evidence"),
         F.lit("Create a preventive maintenance action or engineering review trigger for this asset class.").alias("lesson"),
     )
-    return pairs.unionByName(clusters).orderBy("part", "rank", "assets").limit(5).drop("part", "rank")
+    both = pairs.unionByName(clusters)
+    return (both if rows is None else both.orderBy("part", "rank", "assets").limit(rows)).drop("part", "rank")
 
 
 def qms_signals(inspections: DataFrame, equipment: DataFrame, as_of: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.common import contains_any, join_lines
 from millwright.operators import reliability as rel
-from millwright.plans.registry import query
+from millwright.plans.registry import CHECKS, query
 from millwright.plans.views import AS_OF, CHECK_FRAGMENTS, duck_round
 
 DAY = 86400000000
@@ -244,3 +244,31 @@ def _(t):
     return t.inspections.select(
         "id", *[contains_any(F.col(field.get(k, "findings")), words).alias(k) for k, words in rel.NEEDLES.items()]
     )
+
+
+# ---- the same without cuts --------------------------------------------------
+CHECK_FRAGMENTS["x_every_warning"] = CHECK_FRAGMENTS["x_warnings"].replace("x_top_clusters", "x_clusters").replace("x_top_high", "x_high_overdue")
+
+
+@query("proactive_warnings_all", CHECKS["proactive_warnings"].replace("x_linked_warnings", "(" + CHECK_FRAGMENTS["x_linked_warnings"].replace(
+    "from x_warnings", "from x_every_warning") + ")"))
+def _(t):
+    found = rel.proactive_warnings(t.inspections, t.equipment, t.asset_links, as_of(), None, None)
+    return found.withColumn("related_assets", join_lines(F.col("related_assets")))
+
+
+@query("systemic_patterns_all", CHECKS["systemic_patterns"].replace("x_top_pairs", "x_pairs").replace("x_top_clusters", "x_clusters").replace(
+    "order by part, k, assets limit 5", ""))
+def _(t):
+    return rel.systemic_patterns(t.inspections, None, None, None)
+
+
+@query(
+    "risk_summary_all",
+    """select 'level' as part, 1 as rank, overall_risk_level, (select count(*) from x_overdue) as overdue_inspections_count from x_level
+       union all by name select 'cluster' as part, * from x_clusters
+       union all by name select 'pair' as part, * from x_pairs
+       union all by name select 'critical_overdue' as part, * from x_high_overdue""",
+)
+def _(t):
+    return rel.risk_summary(t.inspections, t.equipment, as_of(), None, None)
