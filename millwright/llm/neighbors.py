@@ -83,7 +83,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     n, width = x.shape
     half = 1
     while half < width:
-        pairs = x.reshape(n, -1, 2, half)
+        pairs = x.reshape(n, width // (2 * half), 2, half)
         x = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2).reshape(n, width)
         half *= 2
     return x / np.sqrt(width)
