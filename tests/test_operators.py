@@ -57,6 +57,22 @@ def test_cooccurrence_counts_survive_any_split(spark):
         assert got == {k: (n, round(t / n, 2), last) for k, (n, t, last) in expected.items()}
 
 
+def test_first_pairs_leave_out_assets_that_cannot_lead(spark):
+    base = datetime(2024, 1, 1)
+    rnd = random.Random(4)
+    rows = failures(300) + [
+        (f"R{i}", f"Q-{i:03d}", at, "routine", None, "major", at) for i in range(200) for at in [base + timedelta(hours=rnd.randrange(24 * 400))]
+    ]
+    rows += [("X", None, base, "routine", None, "major", base), ("Y", "P-101", None, "routine", None, "major", None)]
+    df = spark.createDataFrame(rows, INSPECTIONS)
+    every = sorted((-r["co_occurrence_count"], r["tag_a"], r["tag_b"], r["typical_gap_days"]) for r in rel.cooccurrence_pairs(df, 3).collect())
+    for top in (1, 4, 10, 100_000):
+        got = [(-r["co_occurrence_count"], r["tag_a"], r["tag_b"], r["typical_gap_days"]) for r in rel.failure_cooccurrence(df, 3, top).collect()]
+        assert got == every[:top]
+    able = {r[0] for r in rel._able_to_lead(rel.failure_records(df), 3, 4, leaders=5).select("equipment_tag").collect()}
+    assert {t for r in every[:4] for t in r[1:3]} <= able and not any(t.startswith("Q") for t in able)
+
+
 def test_clusters_and_overall_level(spark):
     base = datetime(2024, 1, 1)
     rows = [(f"I{i}", "P-1", base + timedelta(days=i), "x", None, "critical", base) for i in range(4)] + [("J", "P-2", base, "x", None, "major", base)]
