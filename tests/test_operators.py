@@ -16,6 +16,7 @@ from millwright.operators import rate_limit as rl
 from millwright.operators import reliability as rel
 from millwright.operators import trust as tr
 from millwright.operators import vectors as vec
+from millwright.plans.views import Tables
 from millwright.sources import payloads as pl
 from millwright.sources import stores
 from millwright.streaming import jobs
@@ -195,6 +196,19 @@ def test_paths_use_an_edge_once(spark):
     assert gw.rag_paths(edges, seeds, 2, 3).count() == 3
 
 
+def test_rule_edges_equal_their_view(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows = lambda df: Counter(tuple(r) for r in df.select("src", "rel", "dst").collect())
+    assert rows(t.rule_edges) == rows(Tables.__getattr__(t, "rule_edges"))
+
+
+def test_links_are_those_of_the_asked_nodes(spark):
+    _, edges = graph(spark)
+    asked = spark.createDataFrame([("E",), ("nowhere",)], "tag string")
+    both = {(s, d) for s, d in EDGES} | {(d, s) for s, d in EDGES}
+    assert sorted(tuple(r) for r in gw._links_from(edges, asked, "tag").collect()) == sorted(x for x in both if x[0] == "E")
+
+
 def test_shortest_paths(spark):
     _, edges = graph(spark)
     pairs = spark.createDataFrame([("A", "C"), ("A", "X007"), ("E", "A"), ("B", "B"), ("B", "E")], "src string, dst string")
