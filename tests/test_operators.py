@@ -91,6 +91,38 @@ def test_clusters_and_overall_level(spark):
 
 
 # ---- vectors ----------------------------------------------------------------
+def test_hashed_vectors_are_made_once_for_all_query_blocks(spark):
+    words = [f"w{i % 23} w{i % 7} pump-{i}" for i in range(60)]
+    texts = spark.createDataFrame([(f"T{i:02d}", w) for i, w in enumerate(words)], "key string, text string")
+    hashed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            hashed.add(len(batch))
+            yield batch
+
+    stored = vec.hash_vectors(texts, "key", F.col("text"), None)
+    counted = stored.mapInPandas(seen, stored.schema)
+    find = lambda v, **blocks: sorted(
+        tuple(r) for r in vec.vector_topk(v, stored, 4, id_col="key", vec_col="entries", query_id_col="key", **blocks).collect())
+    assert find(counted, broadcast_bytes=384 * 8 * 10) == find(stored)
+    assert hashed.value == 60
+
+
+def test_nearest_in_single_precision_keeps_the_order_of_doubles():
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 16))
+    vectors[100:200] = vectors[0] + rng.normal(size=(100, 16)) * 1e-6
+    vectors[250] = np.nan
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    ids = rng.permutation(300)
+    distance = np.round(1 - vectors[:40] @ vectors.T, 9)
+    at, found, _ = vec._nearest(vectors[:40], None, vectors, None, ids, 5)
+    for q in range(40):
+        order = sorted((d, i) for d, i in zip(distance[q], ids) if d == d)[:5]
+        assert sorted(found[at == q]) == sorted(i for _, i in order)
+
+
 def test_grid_search_equals_broadcast_search_with_ties(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
