@@ -1,5 +1,6 @@
 """Operators against brute force on small, skewed or cyclic inputs."""
 
+import hashlib
 import random
 import re
 import time
@@ -7,6 +8,7 @@ from collections import Counter, deque
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,22 @@ def test_clusters_and_overall_level(spark):
 
 
 # ---- vectors ----------------------------------------------------------------
+def test_hash_entries_hash_a_token_once(spark):
+    texts = ["Pump P-101 pump\nP-101 ok", "", None, "!!", "K\u212a \u00e9t\u00e9 -"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    got = {r["key"]: r["entries"] for r in df.select("key", vec.hash_entries(F.col("text"), None).alias("entries")).collect()}
+    for key, text in enumerate(texts):
+        weights = Counter()
+        for token in re.findall("[a-z0-9-]+", (text or "").lower()):
+            digest = hashlib.sha256(token.encode()).digest()
+            weights[int.from_bytes(digest[:4], "big") % 384] += 1 - 2 * (digest[4] % 2)
+        expected = sorted((i, w) for i, w in weights.items() if w)
+        assert got[key] is None if text is None else [tuple(e) for e in got[key]] == expected
+    vec._token_code.cache_clear()
+    vec._entries_of(pa.array(["leak at pump", "pump leak"]))
+    assert vec._token_code.cache_info().misses == 3
+
+
 def test_hashed_vectors_are_made_once_for_all_query_blocks(spark):
     words = [f"w{i % 23} w{i % 7} pump-{i}" for i in range(60)]
     texts = spark.createDataFrame([(f"T{i:02d}", w) for i, w in enumerate(words)], "key string, text string")
