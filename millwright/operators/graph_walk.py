@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from millwright.functions import text as tx
 from millwright.functions.common import unnest
-from millwright.session import cut_lineage
+from millwright.session import cut_lineage, deal_rows
+
+# So many keys over the cap are too many to be sent to every task.
+MANY_KEYS = 100_000
 
 
 def _first_rows(rows: DataFrame, key: list[str], order: list[str], most: int | None) -> DataFrame:
@@ -27,18 +30,64 @@ def _first_rows(rows: DataFrame, key: list[str], order: list[str], most: int | N
     return numbered.where(F.col("_n") <= most).drop("_n")
 
 
-def _within_cap(rows: DataFrame, key: str, order: list[str], cap: int) -> DataFrame:
-    """Rows of one hop that fit under the cap with ``used`` earlier ones; ``used`` is carried on."""
-    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= cap)
-    kept = numbered.where(F.col("used") + F.col("_n") <= cap).drop("_n")
-    return kept.withColumn("used", F.col("used") + F.count("*").over(W.partitionBy(key)))
+class _Cap:
+    """Cuts a walk to the first ``cap`` rows of every key, hop by hop.
 
+    A key that cannot be past the cap yet is not sorted: as long as the most rows that any key can have, the product of the
+    widest hops, stay within the cap, nothing is counted. Past that, rows are counted per key, and only keys over the cap are cut.
+    """
 
-def _edges_ahead(out: DataFrame, frontier: DataFrame, order: list[str], most: int | None) -> DataFrame:
-    """The first edges of the nodes about to be expanded; the rest of the graph is not sorted."""
-    if most is None:
-        return out
-    return _first_rows(_edges_of(out, frontier), ["src"], order, most)
+    def __init__(self, key: str, cap: int | None):
+        self.key, self.cap = key, cap
+        self.levels: list[DataFrame] = []
+        self.reach, self.total = 1, 0
+
+    def hop(self, step: DataFrame, order: list[str], widest: int | None, last: bool) -> tuple[DataFrame, DataFrame]:
+        """(the rows of a hop that stay, those of them to walk on from); ``widest`` is the most edges ahead of a node, if known."""
+        if self.cap is None:
+            step = step if last else cut_lineage(step)
+            return step, step
+        if widest is None:
+            step = cut_lineage(step)
+            widest = step.groupBy(self.key).count().agg(F.max("count")).first()[0] or 0
+        self.reach *= widest
+        self.total += self.reach
+        if self.total <= self.cap:
+            step = step if last or self._stored(step) else cut_lineage(step)
+            self.levels.append(step)
+            return step, step
+        self.reach = self.total = self.cap
+        step = step if self._stored(step) else cut_lineage(step)
+        rows = [*[r.select(self.key, F.lit(0).alias("new")) for r in self.levels], step.select(self.key, F.lit(1).alias("new"))]
+        held = reduce(DataFrame.unionByName, rows).groupBy(self.key).agg(F.sum("new").alias("new"), F.count("*").alias("held"))
+        full = cut_lineage(held.where((F.col("held") >= self.cap) & (F.col("new") > 0)))
+        over = full.where(F.col("held") > self.cap).select(self.key, (F.col("held") - F.col("new")).alias("used"))
+        by_key = W.partitionBy(self.key).orderBy(*order)
+        crossed = full.count()
+        if not crossed:
+            self.levels.append(step)
+            return step, step
+        if crossed > MANY_KEYS:
+            step = deal_rows(step, step.count(), self.key)
+        numbered = step.join(over, self.key).withColumn("_n", F.row_number().over(by_key)).where(F.col("_n") <= self.cap)
+        cut = numbered.where(F.col("used") + F.col("_n") <= self.cap).select(*step.columns)
+        kept = step.join(over, self.key, "left_anti").select(*step.columns).unionByName(cut)
+        kept = kept if last else cut_lineage(kept)
+        self.levels.append(kept)
+        return kept, kept.join(full, self.key, "left_anti")
+
+    @staticmethod
+    def _stored(step: DataFrame) -> bool:
+        return getattr(step, "written_to", None) is not None
+
+
+def _edges_ahead(out: DataFrame, nodes: DataFrame, order: list[str], most: int | None) -> tuple[DataFrame, int]:
+    """(the first edges of ``nodes(node)``, stored, and the most of them that a node has).
+
+    Stored, a short list is known as such and sent to the walks, which are then not shuffled for it.
+    """
+    ahead = cut_lineage(_first_rows(_edges_of(out, nodes), ["src"], order, most))
+    return ahead, 0 if most is None else ahead.groupBy("src").count().agg(F.max("count")).first()[0] or 0
 
 
 def _edges_of(out: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -61,26 +110,27 @@ def neighbors_bfs(
     start in the order (depth, src, dst); a relationship filter applies after it.
     """
     out = edges.select("src", "dst", "rel")
-    frontier = starts.select("start").distinct().join(nodes.select(F.col("id").alias("start")), "start", "left_semi").select(
-        "start", F.col("start").alias("node"), F.lit(0).cast("long").alias("used")
-    )
-    visited = frontier.select("start", "node")
-    levels = []
+    order = ["dst", "rel"]
+    begun = cut_lineage(starts.select("start").distinct().join(nodes.select(F.col("id").alias("start")), "start", "left_semi"))
+    limit = _Cap("start", cap)
+    # the first hop's edges are the starts' own
+    out_by_start = deal_rows(out, edges.count(), "src")
+    own = _first_rows(_edges_of(out_by_start, begun.select(F.col("start").alias("node"))), ["src"], order, cap)
+    step = own.select(F.col("src").alias("start"), "src", "dst", "rel")
+    visited = begun.select("start", F.col("start").alias("node"))
+    levels, widest = [], None
     for hop in range(1, depth + 1):
-        ahead = _edges_ahead(out, frontier, ["dst", "rel"], cap)
-        step = frontier.join(ahead, frontier["node"] == ahead["src"]).select("start", "src", "dst", "rel", "used")
-        if cap is not None:
-            step = _within_cap(step, "start", ["src", "dst", "rel"], cap)
-        if hop < depth:
-            # read several times below; as long as the cap per start
-            step = cut_lineage(step)
-        levels.append(step.select("start", "src", F.col("dst").alias("tag"), F.col("rel").alias("relationship"), F.lit(hop).alias("depth")))
-        if hop < depth:
-            reached = step if cap is None else step.where(F.col("used") < cap)
-            fresh = reached.groupBy("start", F.col("dst").alias("node")).agg(F.max("used").alias("used"))
-            # read off the stored steps again where it is needed, which is cheaper than a second write
-            frontier = fresh.join(visited, ["start", "node"], "left_anti")
+        if hop > 1:
+            reached = going.select("start", F.col("dst").alias("node"))  # noqa: F821
+            met = _few_nodes(reached)
+            # of the nodes seen before only those met again matter, mostly none
+            again = cut_lineage(visited.join(met, "node", "left_semi").select("start", "node"))
+            frontier = reached.distinct().join(again, ["start", "node"], "left_anti")
             visited = visited.unionByName(step.select("start", F.col("dst").alias("node")))
+            ahead, widest = _edges_ahead(out, met, order, cap)
+            step = frontier.join(ahead, frontier["node"] == ahead["src"]).select("start", "src", "dst", "rel")
+        step, going = limit.hop(step, ["src", *order], widest, hop == depth)
+        levels.append(step.select("start", "src", F.col("dst").alias("tag"), F.col("rel").alias("relationship"), F.lit(hop).alias("depth")))
     found = reduce(DataFrame.unionByName, levels)
     return found if relationship is None else found.where(F.col("relationship") == relationship)
 
@@ -93,27 +143,28 @@ def _paths(out: DataFrame, seeds: DataFrame, key: str, depth: int, cap: int | No
     """
     # up to depth - 1 of a node's first edges may be spent already
     most = None if cap is None else cap + depth
-    walks = seeds.select(
-        key, F.col("tag").alias("node"), F.array(F.struct(F.col("tag").alias("id"), F.lit("").alias("rel"))).alias("steps"),
-        F.array().cast("array<string>").alias("taken"), F.lit(0).cast("long").alias("used"),
-    ).distinct()
+    order = ["dst", "rel", "edge_id"]
+    begun = cut_lineage(seeds.select(key, F.col("tag").alias("node")).distinct())
+    walks = begun.select(
+        key, "node", F.array(F.struct(F.col("node").alias("id"), F.lit("").alias("rel"))).alias("steps"), F.array().cast("array<string>").alias("taken")
+    )
+    limit = _Cap(key, cap)
     levels = []
     for hop in range(1, depth + 1):
-        ahead = _first_rows(_edges_of(out, _few_nodes(walks)), ["src"], ["dst", "rel", "edge_id"], most)
+        if hop == 1:
+            ahead, widest = _first_rows(_edges_of(out, begun.select("node").distinct()), ["src"], order, most), None
+        else:
+            ahead, widest = _edges_ahead(out, _few_nodes(walks), order, most)
         step = (
             walks.join(ahead, walks["node"] == ahead["src"])
             .where(~F.array_contains("taken", F.col("edge_id")))
             .select(
                 key, F.col("dst").alias("node"), F.array_append("steps", F.struct(F.col("dst").alias("id"), "rel")).alias("steps"),
-                F.array_append("taken", F.col("edge_id")).alias("taken"), "used",
+                F.array_append("taken", F.col("edge_id")).alias("taken"),
             )
         )
-        if cap is not None:
-            step = _within_cap(step, key, ["steps", "taken"], cap)
-        if hop < depth:
-            step = cut_lineage(step)
+        step, walks = limit.hop(step, ["steps", "taken"], widest, hop == depth)
         levels.append(step.select(key, "node", "steps", F.lit(hop).alias("depth")))
-        walks = step if cap is None else step.where(F.col("used") < cap)
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -50,7 +50,7 @@ def _(t):
          select *, row_number() over (partition by start order by depth, src, dst) as r from x_walk) where r <= 6 and rel = 'part_of'""",
 )
 def _(t):
-    return gw.neighbors_bfs(t.nodes, t.edges, starts(t), depth=3, cap=6, relationship="part_of")
+    return gw.neighbors_bfs(t.nodes, cut_lineage(t.edges), starts(t), depth=3, cap=6, relationship="part_of")
 
 
 _PATHS = """with x_p1 as (select start, dst as tag, rel, 1 as depth, start || '>' || dst as path, [dst, rel] as s from x_level1),

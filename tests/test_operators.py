@@ -521,3 +521,38 @@ def test_files_stream_into_the_stores(spark, tmp_path):
     assert [r["equipment_tag"] for r in stored("inspections").orderBy("equipment_tag").collect()] == ["P-201", "V-101"]
     assert stored("edges").select("src", "dst").first() == ("P-201", "V-101")
     assert stored("documents").count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walks_sort_only_keys_that_may_be_past_the_cap(spark, monkeypatch):
+    rows = [(f"s{i}", f"m{i % 3}", "r") for i in range(40)] + [(f"m{i}", f"e{j}", "r") for i in range(3) for j in range(2)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel string")
+    nodes = spark.createDataFrame([(n,) for n in sorted({x for r in rows for x in r[:2]})], "id string")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(40)], "start string")
+    walks = {"paths": gw.neighbors_paths(edges, starts, 2, 100), "bfs": gw.neighbors_bfs(nodes, edges, starts, 2, 50)}
+    for name, found in walks.items():
+        assert found.count() == 120, name
+        assert "Window" not in plan_of(found) and "SortMergeJoin" not in plan_of(found), name
+    # many keys over the cap beside keys that stay below it
+    hub = spark.createDataFrame(rows + [("s0", f"x{j:02}", "r") for j in range(30)] + [("m1", f"y{j}", "r") for j in range(9)], edges.schema)
+    everyone = spark.createDataFrame([(r["src"],) for r in hub.select("src").collect()] + [(r["dst"],) for r in hub.select("dst").collect()], "id string").distinct()
+    for most in (0, 100_000):
+        monkeypatch.setattr(gw, "MANY_KEYS", most)
+        for cap in (1, 3, 8):
+            whole = gw.neighbors_bfs(everyone, hub, starts, 2, None).collect()
+            expected = Counter()
+            for start in {r["start"] for r in whole}:
+                own = sorted((r["depth"], r["src"], r["tag"]) for r in whole if r["start"] == start)
+                expected.update((start, *r) for r in own[:cap])
+            got = Counter((r["start"], r["depth"], r["src"], r["tag"]) for r in gw.neighbors_bfs(everyone, hub, starts, 2, cap).collect())
+            assert got == expected, (most, cap)
+            whole = gw.neighbors_paths(hub, starts, 2, None).collect()
+            expected = Counter()
+            for start in {r["start"] for r in whole}:
+                expected.update(sorted((r["depth"], r["start"], r["path"]) for r in whole if r["start"] == start)[:cap])
+            got = Counter((r["depth"], r["start"], r["path"]) for r in gw.neighbors_paths(hub, starts, 2, cap).collect())
+            assert got == expected, (most, cap)
+
