@@ -319,42 +319,64 @@ def context_tags(context: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 # ---- shortest paths and statistics -----------------------------------------
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, store_every: int = 4) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Shortest directed path of every ``pairs(src, dst)`` that has one; the smallest by node ids among equals.
 
     One walk backwards from every distinct target finds, for each node that reaches it,
     the hops left and the smallest next node; it stops once all sources asked for are
-    met.  The paths are then read off forwards, so no state is kept per source and
+    met.  A node that nothing leads to can only be a path's source, so it is not walked to but for the targets
+    asked of it.  The paths are then read off forwards, each hop in the table of its distance, so no state is kept per source and
     none of the walks carries a path.
     """
-    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("before"))
     wanted = cut_lineage(pairs.select("src", "dst").distinct())
-    frontier = wanted.select(F.col("dst").alias("target"), F.col("dst").alias("node")).distinct()
-    visited, ways, hop = frontier, [], 0
-    missing = wanted.where("src <> dst")
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        live = frontier.join(missing.select(F.col("dst").alias("target")).distinct(), "target", "left_semi")
-        moved = live.join(into, "node").groupBy("target", F.col("before").alias("node")).agg(F.min("node").alias("next"))
-        way = cut_lineage(moved.join(visited, ["target", "node"], "left_anti"))
-        if way.isEmpty():
+    apart = wanted.where("src <> dst")
+    entered = edges.select(F.col("dst").alias("src")).distinct().withColumn("inner", F.lit(True))
+    steps = edges.select("src", F.col("dst").alias("node")).join(apart, "src", "left").join(entered, "src", "left")
+    steps = cut_lineage(steps.where("dst is not null or inner").select("src", "node", F.col("dst").alias("target"), "inner"))
+    asked = steps.where("target is not null").select("target", "src", "node")
+    inner = steps.where("inner").select("src", "node")
+    ask = cut_lineage(apart.groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("asked")))
+    frontier = visited = ask.select("target", F.col("target").alias("node"))
+    ways: list[DataFrame] = []
+    found: list[DataFrame] = []
+
+    def fewest(moved: DataFrame) -> DataFrame:
+        return moved.groupBy("target", F.col("src").alias("node")).agg(F.min("node").alias("next"))
+
+    def without(rows: DataFrame, known: list[DataFrame]) -> DataFrame:
+        return rows.join(reduce(DataFrame.unionByName, known), ["target", "node"], "left_anti") if known else rows
+
+    while max_hops is None or len(found) < max_hops:
+        if found:
+            met = reduce(DataFrame.unionByName, found).groupBy("target").agg(F.count("*").alias("met"))
+            still = ask.join(met, "target", "left").where("met is null or met < asked")
+            frontier = frontier.join(still, "target", "left_semi")
+        if frontier.isEmpty():
             break
+        found.append(cut_lineage(without(fewest(asked.join(frontier, ["target", "node"])), [f.select("target", "node") for f in found])))
+        way = cut_lineage(fewest(inner.join(frontier, "node")).join(visited, ["target", "node"], "left_anti"))
         ways.append(way)
         frontier = way.select("target", "node")
         visited = visited.unionByName(frontier)
-        missing = missing.join(frontier.select(F.col("node").alias("src"), F.col("target").alias("dst")), ["src", "dst"], "left_anti")
-        if hop % store_every == 0:
-            visited, missing = cut_lineage(visited), cut_lineage(missing)
-    walking = wanted.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path"))
-    arrived = [walking.where("src = dst")]
-    if ways:
-        onward = reduce(DataFrame.unionByName, ways).withColumnRenamed("target", "dst")
-        for _ in ways:
-            open_ = walking.where("node <> dst").join(onward, ["dst", "node"])
-            walking = cut_lineage(open_.select("src", "dst", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")))
-            arrived.append(walking.where("node = dst"))
-    found = reduce(DataFrame.unionByName, arrived)
-    return found.select("src", "dst", "path", (F.size("path") - 1).alias("length"))
+    arrived = [wanted.where("src = dst").select("src", "dst", F.array("src").alias("path"))]
+    walking = None
+    for left in range(len(found) - 1, -1, -1):
+        # sources this many hops and one away, after their first step
+        begun = found[left].select(
+            F.col("node").alias("src"), F.col("target").alias("dst"), F.col("next").alias("node"), F.array("node", "next").alias("path")
+        )
+        walking = begun if walking is None else walking.unionByName(begun)
+        if left == 0:
+            break
+        if left == 1:
+            walking = walking.select("src", "dst", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+            continue
+        onward = ways[left - 1].withColumnRenamed("target", "dst")
+        moved = walking.join(onward, ["dst", "node"])
+        walking = cut_lineage(moved.select("src", "dst", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")))
+    if walking is not None:
+        arrived.append(walking.select("src", "dst", "path"))
+    return reduce(DataFrame.unionByName, arrived).select("src", "dst", "path", (F.size("path") - 1).alias("length"))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:

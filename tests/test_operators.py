@@ -556,3 +556,21 @@ def test_walks_sort_only_keys_that_may_be_past_the_cap(spark, monkeypatch):
             got = Counter((r["depth"], r["start"], r["path"]) for r in gw.neighbors_paths(hub, starts, 2, cap).collect())
             assert got == expected, (most, cap)
 
+
+def test_shortest_paths_walk_back_to_a_source_for_its_own_target_only(spark, monkeypatch):
+    rows = [(f"s{i:02}", "m") for i in range(40)] + [("m", f"t{j}") for j in range(10)]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    pairs = spark.createDataFrame([(f"s{i:02}", f"t{i % 10}") for i in range(40)] + [("t1", "t1"), ("t1", "s01")], "src string, dst string")
+    written = []
+    whole = gw.cut_lineage
+
+    def counted(df):
+        table = whole(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(gw, "cut_lineage", counted)
+    got = {(r["src"], r["dst"]): list(r["path"]) for r in gw.shortest_paths(edges, pairs).collect()}
+    assert got == {(f"s{i:02}", f"t{i % 10}"): [f"s{i:02}", "m", f"t{i % 10}"] for i in range(40)} | {("t1", "t1"): ["t1"]}
+    # 10 targets times 40 sources would be 400
+    assert max(written) <= 60
