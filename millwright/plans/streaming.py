@@ -26,6 +26,22 @@ def arriving(t, name: str):
     return t.spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
+# Documents in one file, so that files are fewer than documents and none of them is large.
+BUNDLE = 100
+
+
+def bundled_files(documents, folder: str) -> None:
+    """``documents(id, text)`` as files of up to BUNDLE lines, a document as JSON in each."""
+    lines = documents.select(F.to_json(F.struct("id", F.coalesce("text", F.lit("")).alias("text"))).alias("value"))
+    lines.write.option("maxRecordsPerFile", BUNDLE).text(folder)
+
+
+def bundled_documents(files):
+    """The documents (document_id, text) of ``files(content)`` that ``bundled_files`` wrote."""
+    lines = files.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.from_json("line", "id string, text string").alias("d")).select(F.col("d.id").alias("document_id"), "d.text")
+
+
 @query(
     "stream_ingest",
     f"""with x_again as (select id from v_documents where doc_key % 3 = 0),
@@ -48,16 +64,11 @@ def _(t):
     """The documents written out as files and taken in by a stream of files, then every third document once more with a
     text that gives nothing; what is stored must equal the batch results of the other documents."""
     folder = new_folder(t.spark, "run")
-    lines = t.documents.select(F.concat_ws("\n", "id", F.coalesce("text", F.lit(""))))
-    lines.write.option("maxRecordsPerFile", 1).text(f"{folder}/files")
+    bundled_files(t.spread.documents, f"{folder}/files")
     dated = t.documents.select(F.col("id").alias("document_id"), "uploaded_at")
 
     def to_documents(files):
-        # a file's first line is its document's id, and its text ends with the line break of the text writer
-        whole = files.repartition(t.spark.sparkContext.defaultParallelism).select(F.col("content").cast("string").alias("s"))
-        document_id = F.substring_index("s", "\n", 1)
-        text = F.expr("substring(s, locate('\\n', s) + 1, length(s) - locate('\\n', s) - 1)")
-        return whole.select(document_id.alias("document_id"), text.alias("text")).join(dated, "document_id")
+        return bundled_documents(files.repartition(t.spark.sparkContext.defaultParallelism)).join(dated, "document_id")
 
     jobs.start_intake(jobs.arriving_files(t.spark, f"{folder}/files"), to_documents, folder, f"{folder}/checkpoint").awaitTermination()
     again = t.documents.where("doc_key % 3 = 0").select(F.col("id").alias("document_id"), F.lit("Short.").alias("text"), "uploaded_at")
