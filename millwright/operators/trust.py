@@ -204,14 +204,19 @@ def extractive_answer(
 ) -> DataFrame:
     """Answer made of the retrieved sentences that share most words with the question.
 
-    Chunks are split in their rows, so no text is shuffled but the sentences.
+    A chunk goes to its question's words once, is split and scored in its row and hands on the first ``sentences`` of its own: a sentence
+    that as many of its first chunk are ahead of is not among the question's. So no sentence is shuffled.
     """
     asked = questions.select("question_id", F.filter(_terms(F.col("question")), lambda x: F.length(x) > 2).alias("asked"))
     top = retrieved.where(F.col("rank") <= chunks)
     flat = strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
-    said = unnest(top, ["question_id", "rank"], tx.sentences(flat), "sentence", "place").withColumn("terms", _terms(F.col("sentence")))
-    scored = said.join(asked, "question_id").withColumn("score", F.size(F.array_intersect("asked", "terms")))
-    once = scored.groupBy("question_id", "sentence").agg(F.max("score").alias("score"), F.min(F.struct("rank", "place")).alias("at"))
+    said = F.array_distinct(tx.sentences(flat))
+    scored = F.transform(said, lambda x, i: F.struct((-F.size(F.array_intersect("asked", _terms(x)))).alias("behind"), i.alias("place"), x.alias("sentence")))
+    first = F.slice(F.array_sort(scored), 1, sentences)
+    found = unnest(top.join(asked, "question_id"), ["question_id", "rank"], first, "s")
+    once = found.groupBy("question_id", F.col("s.sentence").alias("sentence")).agg(
+        F.max(-F.col("s.behind")).alias("score"), F.min(F.struct("rank", "s.place")).alias("at")
+    )
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "at")
     chosen = once.withColumn("n", F.row_number().over(best)).where(F.col("n") <= sentences)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda x: x["sentence"]), " ")

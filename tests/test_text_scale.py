@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from millwright.operators import chunking as ch
+from millwright.operators import trust as tr
 
 
 def test_places_are_those_of_a_plain_search(spark):
@@ -20,3 +21,22 @@ def test_places_are_those_of_a_plain_search(spark):
                 at = row["text"].find(c["text"], offset)
                 offset, at = (offset, offset) if at < 0 else (at + len(c["text"]), at)
                 assert (c["char_start"], c["char_end"]) == (at, at + len(c["text"]))
+
+
+def test_answers_score_sentences_in_their_chunk(spark):
+    rnd = random.Random(4)
+    pool = [f"{' '.join(rnd.choices(['pump', 'seal', 'leak', 'valve', 'oil'], k=3))} {i}." for i in range(12)]
+    rows = [(f"q{q}", rank, " ".join(rnd.choices(pool, k=9)), "f") for q in range(8) for rank in range(1, 7)]
+    asked = {f"q{q}": rnd.choice(["Is the pump seal safe", "oil", "leak of valve"]) for q in range(8)}
+    retrieved = spark.createDataFrame(rows, "question_id string, rank int, text string, filename string")
+    found = tr.extractive_answer(spark.createDataFrame(list(asked.items()), "question_id string, question string"), retrieved, most_chars=None)
+    for row in found.collect():
+        want = {w for w in asked[row["question_id"]].lower().split() if len(w) > 2}
+        best = {}
+        for _, rank, text, _ in sorted(r for r in rows if r[0] == row["question_id"] and r[1] <= 5):
+            for place, s in enumerate(x + "." for x in text.rstrip(".").split(". ")):
+                best.setdefault(s, (-len(want & set(s.lower().rstrip(".").split())), rank, place))
+        chosen = sorted(best, key=best.get)[:4]
+        assert row["answer"].startswith("Based on f: " + " ".join(chosen) + "\n\n")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[plan.index("Generate"):]  # the question's words come to the chunk before it is split
