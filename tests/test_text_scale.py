@@ -1,4 +1,4 @@
-"""Chunk places and extracted answers against plain versions."""
+"""Chunk places, extracted answers and approximate search against plain versions."""
 
 import random
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millwright.operators import chunking as ch
 from millwright.operators import trust as tr
+from millwright.operators import vectors as vec
 
 
 def test_places_are_those_of_a_plain_search(spark):
@@ -40,3 +41,18 @@ def test_answers_score_sentences_in_their_chunk(spark):
         assert row["answer"].startswith("Based on f: " + " ".join(chosen) + "\n\n")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan[plan.index("Generate"):]  # the question's words come to the chunk before it is split
+
+
+def test_approximate_search_sends_no_query_to_its_lists_one_by_one(spark):
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = vec.vector_topk_approx(vectors, vectors, 3, rows_per_cell=20)
+    split = vec.vector_topk_approx(vectors, vectors, 3, rows_per_cell=20, broadcast_bytes=300_000)
+    assert "CoGroup" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    in_order = [sorted(map(tuple, d.select("query_id", "rank", "id", "distance").collect())) for d in (whole, split)]
+    assert in_order[0] == in_order[1] and len(in_order[0]) == 900
+    # with every list probed the search is exact
+    exact = sorted(map(tuple, vec.vector_topk(vectors, vectors, 3).select("query_id", "rank", "id", "distance").collect()))
+    every = vec.vector_topk_approx(vectors, vectors, 3, lists=5, probes=5, broadcast_bytes=300_000)
+    assert sorted(map(tuple, every.select("query_id", "rank", "id", "distance").collect())) == exact
