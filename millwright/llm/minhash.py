@@ -17,7 +17,7 @@ hands on no pair but the links that join two of them.
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -297,14 +297,19 @@ def _shared(left: np.ndarray, right: np.ndarray) -> int:
 def _links(sets: DataFrame, texts: DataFrame, members: DataFrame, size: int, threshold: float, miss: float, block: int) -> DataFrame:
     """(node, root): components of the sets over verified pairs."""
     offered = members.where("set_id <> pivot")
-    parts: list[DataFrame] = []
     roots = None
 
     def joined(links: DataFrame) -> DataFrame:
-        parts.append(links)
-        found = cut_lineage(components(reduce(DataFrame.union, parts)))
-        if roots is not None:
+        """The components with ``links`` added; those found before go in as stars, and stay as they are where no link is new."""
+        if roots is None:
+            found = cut_lineage(components(links))
+        elif links.isEmpty():
+            found = roots
+        else:
+            stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = cut_lineage(components(stars.union(links)))
             forget(roots)
+        forget(links)
         return found
 
     verified = lambda pairs: _verified(_pruned(pairs, sets, threshold, miss), texts, size, threshold)
@@ -313,9 +318,7 @@ def _links(sets: DataFrame, texts: DataFrame, members: DataFrame, size: int, thr
     others = offered.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     roots = joined(verified(_apart(others, roots)))
     whole = texts.select("set_id", _shingle_set(F.col("text"), size).alias("own"))
-    roots = joined(_crossing(members, sets, whole, roots, threshold, miss, block))
-    forget(*parts)
-    return roots
+    return joined(_crossing(members, sets, whole, roots, threshold, miss, block))
 
 
 def near_duplicates(

@@ -104,3 +104,14 @@ def test_signatures_estimate_similarity_and_batches_prune():
     assert not sigs[3].any() and not sigs[4].any()
     alive, matches = minhash.survivors(sigs[[0, 0, 0]], sigs[[0, 1, 2]], minhash.least_matches())
     assert alive.tolist() == [0, 1] and matches[0] == minhash.HASHES
+
+
+def test_components_are_not_worked_out_again_without_new_links(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join([*base, "y"]), " ".join(f"v{i}" for i in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls, whole = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda links: calls.append(1) or whole(links))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert len(calls) == 1
