@@ -11,23 +11,25 @@ from millwright.llm.common import cut_lineage, forget
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: longs), root being the smallest node reachable.
 
-    Alternates large-star and small-star steps until the links stand still as stars.
+    Alternates large-star and small-star steps until the links are stars around their smallest nodes.
     A hub's links meet only its one minimum, so they are combined before the shuffle
-    and a hub's join can be split. Each round is written to the shared folder.
+    and a hub's join can be split. The links and each round are written to the shared folder, so the
+    driver plans what ``links`` come from once, not once for each of a round's reads.
     Nulls and self-links are left out; an empty table gives an empty result.
     """
     edges = links.where("a is not null and b is not null and a <> b")
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
-    while True:
+    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _are_stars(edges):
         last, edges = edges, cut_lineage(_small_star(_large_star(edges)))
         forget(last)
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38, 0)))")).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v"), F.col("v")).distinct()
-            )
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end of a link has that link only."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("larger")).union(edges.select("v", F.lit(0)))
+    ends = ends.groupBy("node").agg(F.sum("larger").alias("links"), F.min("larger").alias("least"))
+    return not ends.agg(F.count_if(F.expr("links > 1 or links = 1 and least = 0"))).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

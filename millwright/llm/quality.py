@@ -149,8 +149,11 @@ def fit(docs: DataFrame, target: str, text: str = "text", smoothing: float = 10.
     counts = bounded_batches(docs).select(F.col(text).cast("string"), F.col(target)).mapInArrow(count, "kind int, bucket int, x long, y long")
     tables = [np.zeros((2, grams)), np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1))]
     sums = counts.groupBy("kind", "bucket").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    for row in sums.where("kind <> 1 or y >= 4").collect():  # a word in fewer unwanted documents does not warn
-        tables[row.kind][:, row.bucket] = row.x, row.y
+    found = sums.where("kind <> 1 or y >= 4").toArrow()  # a word in fewer unwanted documents does not warn
+    kinds, buckets, x, y = (found.column(c).to_numpy() for c in ("kind", "bucket", "x", "y"))
+    for kind, table in enumerate(tables):
+        own = kinds == kind
+        table[:, buckets[own]] = x[own], y[own]
     (raw, good), (of_good, of_bad), ((n_good,), (n_bad,)) = tables
     expected = raw * (good.sum() / max(raw.sum(), 1.0))
     usual = (of_good + 1) * n_bad / (n_good + 1)  # unwanted documents that would hold the word if they were like good ones

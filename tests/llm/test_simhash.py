@@ -98,3 +98,24 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain + hub + odd, "a long, b long")).collect()}
     want = {i: 1000 for i in range(1000, 1301)} | {i: 5 for i in range(10, 400)} | {5: 5, 1: 1, 2: 1}
     assert got == want
+
+
+def test_components_plan_their_links_once_and_end_at_stars(spark, monkeypatch):
+    plans, rounds, write, star = [], [], components.cut_lineage, components._large_star
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(components, "cut_lineage", written)
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    for links, want, most in (
+        ([(1, 2), (3, 1), (4, 5)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}, 0),
+        ([(1, 2), (2, 3), (5, 4)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}, 1),
+    ):
+        del plans[:], rounds[:]
+        made = spark.createDataFrame(links, "a long, b long").mapInArrow(lambda batches: batches, "a long, b long")
+        got = {r.node: r.root for r in components.components(made).collect()}
+        assert got == want
+        assert sum(plan.count("MapInArrow") for plan in plans) == 1
+        assert len(rounds) == most
