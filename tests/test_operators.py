@@ -127,6 +127,28 @@ def test_hashed_vectors_are_made_once_for_all_query_blocks(spark):
     assert hashed.value == 60
 
 
+def test_sparse_queries_travel_as_entries(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"T{i:02d}", f"w{i % 23} w{i % 7} pump-{i}" if i else "") for i in range(60)], "key string, text string")
+    stored = vec.hash_vectors(texts, "key", F.col("text"), None)
+    calls, scan = [], vec._scan_block
+    monkeypatch.setattr(vec, "_scan_block", lambda *a: calls.append(1) or scan(*a))
+    find = lambda size: sorted(
+        tuple(r) for r in vec.vector_topk(stored, stored, 4, id_col="key", vec_col="entries", query_id_col="key", broadcast_bytes=size).collect())
+    # as dense rows these would be six blocks
+    whole = find(384 * 8 * 10)
+    assert len(calls) == 1
+    assert find(384 * 8) == whole and len(calls) > 3
+
+
+def test_found_rows_are_merged_by_distance_then_id():
+    bound = np.full(3, np.inf)
+    rows = lambda *found: tuple(np.array(x, dtype=kind) for x, kind in zip(zip(*found), (np.int64, object, float)))
+    best = vec._merged(None, rows((0, "d", 0.5), (0, "b", 0.5), (0, "c", 0.1), (2, "z", 0.3)), 2, bound)
+    assert sorted(zip(*best)) == [(0, "b", 0.5), (0, "c", 0.1), (2, "z", 0.3)] and list(bound) == [0.5, np.inf, np.inf]
+    best = vec._merged(best, rows((0, "a", 0.5), (2, "y", 0.3), (2, "x", 0.3)), 2, bound)
+    assert sorted(zip(*best)) == [(0, "a", 0.5), (0, "c", 0.1), (2, "x", 0.3), (2, "y", 0.3)] and list(bound) == [0.5, np.inf, 0.3]
+
+
 def test_nearest_in_single_precision_keeps_the_order_of_doubles():
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(300, 16))
