@@ -19,6 +19,7 @@ from millwright.operators import reliability as rel
 from millwright.operators import trust as tr
 from millwright.operators import vectors as vec
 from millwright.plans.views import Tables
+from millwright.session import cut_lineage
 from millwright.sources import payloads as pl
 from millwright.sources import stores
 from millwright.streaming import jobs
@@ -268,6 +269,42 @@ def test_paths_use_an_edge_once(spark):
     assert gw.rag_paths(edges, seeds, 2, 3).count() == 3
 
 
+def test_rag_paths_are_walked_once_per_tag(spark, monkeypatch):
+    _, edges = graph(spark)
+    asked = [("q1", "E"), ("q2", "E"), ("q3", "B"), ("q3", "E"), ("q3", "E"), ("q4", "nowhere")]
+    seeds = spark.createDataFrame(asked, "question_id string, tag string")
+    walked, paths = [], gw._paths
+    monkeypatch.setattr(gw, "_paths", lambda out, seeds, *a, **k: walked.append(seeds.count()) or paths(out, seeds, *a, **k))
+    rows = lambda cap: Counter((r["question_id"], r["depth"], r["path"]) for r in gw.rag_paths(edges, seeds, 2, cap).collect())
+    every = rows(None)
+    assert walked == [3]
+    assert {path.split(" ")[-1] for q, _, path in every if q == "q1"} == {p[-1] for p, _ in brute_walks("E", 2, True)}
+    of = lambda question: Counter({x[1:]: n for x, n in every.items() if x[0] == question})
+    assert of("q1") == of("q2") and of("q1") < of("q3") and not of("q4")
+
+    def place(row):
+        names = row[1].split(" ")
+        return row[0], list(zip(names[0::2], ["", *names[1::2]]))
+
+    for cap in (1, 3, 5, 10_000):
+        first = rows(cap)
+        for question in ("q1", "q2", "q3"):
+            expected = Counter(sorted(of(question).elements(), key=place)[:cap])
+            assert Counter({x[1:]: n for x, n in first.items() if x[0] == question}) == expected
+
+
+def test_rule_edges_are_cut_below_their_joins(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    tags = cut_lineage(spark.createDataFrame([("P-100",)], "node string"))
+    plan = gw._edges_of(gw.both_ways(t.rule_edges), tags)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    cuts = [i for i, line in enumerate(plan) if "LeftSemi" in line]
+    assert cuts
+    for i in cuts:
+        below = [j for j in range(i + 1, len(plan)) if all(d > depth[i] for d in depth[i + 1:j + 1])]
+        assert not [plan[j] for j in below if "Join Inner" in plan[j]]
+
+
 def test_rule_edges_equal_their_view(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     rows = lambda df: Counter(tuple(r) for r in df.select("src", "rel", "dst").collect())
