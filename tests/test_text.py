@@ -189,3 +189,13 @@ def test_zip_members_are_read_from_the_directory(spark):
     plan = fl.detect_formats(files)
     assert {r["name"]: r["format"] for r in plan.collect()} == {n: f for n, (_, f) in cases.items()}
     assert "InPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_valid_tags_are_those_with_a_normal_form_that_is_one(spark):
+    cores = ["P-100", "p-100a", "XV-1234B", "ABCD-100", "P-12", "P-12345", "P-100AB", "\u017f-100", "P-\u0661\u0662\u0663", "P 100", "", "-100", "\u00df-100"]
+    around = ["", " ", "\n", "\r\n", "\u2028", "\u3000\t", "\u200b", "\x85", "x"]
+    values = [a + c + b for c in cores for a in around for b in around] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select("v", tx.valid_tag(F.col("v")).alias("got"), tx.normal_tag(F.col("v")).rlike(tx.TAG_EXACT).alias("expected")).collect()
+    assert not [r for r in rows if r["got"] != r["expected"]]
+    assert sum(bool(r["got"]) for r in rows) > 300 and "btrim" not in df.select(tx.valid_tag(F.col("v")))._jdf.queryExecution().toString()
