@@ -61,6 +61,39 @@ def test_cooccurrence_counts_survive_any_split(spark):
         assert got == {k: (n, round(t / n, 2), last) for k, (n, t, last) in expected.items()}
 
 
+@pytest.mark.parametrize("span, most", [(3, 10), (40, 10), (400, 300)])
+def test_records_met_are_those_of_plain_loops(span, most):
+    rng = np.random.default_rng(span)
+    day = rel.MICROS_PER_DAY
+    late, codes = np.sort(rng.integers(0, span * day, 250)), rng.integers(0, 9, 250)
+    final = np.array([np.flatnonzero(codes == c)[-1] for c in range(9)])
+    times = np.sort(np.concatenate([rng.integers(0, span * day, most - 1), late[:1]]))
+    expected = {}
+    for c in range(9):
+        gaps = [(abs(x - t) // day, max(x, t)) for x in late[codes == c] for t in times if abs(x - t) < 5 * day]
+        if gaps:
+            expected[c] = (len(gaps), sum(g for g, _ in gaps), max(x for _, x in gaps))
+    got = rel._met(times, late, codes, final, 4)
+    assert {c: row for c, *row in zip(*(x.tolist() for x in got))} == {c: list(map(int, row)) for c, row in expected.items()}
+
+
+def test_runs_over_positions_are_summed_up_either_way():
+    rng = np.random.default_rng(6)
+    for runs in (3, 400):
+        begin = rng.integers(0, 50, (2, runs))
+        end = begin + rng.integers(0, 51 - begin)
+        plain = [sum(w for b, e, w in zip(begin, end, (1000, 1)) for x, y in zip(b, e) if x <= at < y) for at in range(50)]
+        assert rel._cover(list(begin), list(end), [1000, 1], 50).tolist() == plain
+
+
+def test_latest_times_of_pairs_need_no_change_of_zone(spark):
+    df = spark.createDataFrame(failures(50), INSPECTIONS)
+    plain = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("inspection_date", "created_at")})
+    times = lambda rows: rel.cooccurrence_pairs(rows, 3).select("tag_a", "tag_b", F.col("last_occurrence").cast("timestamp_ntz")).collect()
+    assert dict(rel.cooccurrence_pairs(plain, 3).dtypes)["last_occurrence"] == "timestamp_ntz"
+    assert sorted(times(plain)) == sorted(times(df.withColumns({c: F.col(c).cast("timestamp") for c in ("inspection_date", "created_at")})))
+
+
 def test_first_pairs_leave_out_assets_that_cannot_lead(spark):
     base = datetime(2024, 1, 1)
     rnd = random.Random(4)
