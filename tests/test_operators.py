@@ -356,6 +356,16 @@ def test_checks_of_one_document_meet_its_tags_in_many_tasks(spark):
     assert len(met) > 2 and max(r["count"] for r in met) < sum(r["count"] for r in met) / 2
 
 
+def test_questions_of_one_event_follow_each_other(spark):
+    edges = spark.createDataFrame([(f"P-{i % 4}", "HAD_EVENT", f"I{i}") for i in range(40)], "src string, rel string, dst string")
+    seeds = spark.createDataFrame([(f"q{i}", f"P-{i % 5}") for i in range(50)], "question_id string, tag string")
+    rows = [tuple(r) for r in gw.events_of_assets(edges, seeds, None).collect()]
+    assert sorted(rows) == sorted(
+        (f"q{q}", f"P-{q % 5}", f"I{i}") for q in range(50) for i in range(40) if q % 5 == i % 4)
+    events = [r[2] for r in rows]
+    assert sum(a != b for a, b in zip(events, events[1:])) + 1 == len(set(events))
+
+
 def test_links_are_those_of_the_asked_nodes(spark):
     _, edges = graph(spark)
     asked = spark.createDataFrame([("E",), ("nowhere",)], "tag string")
